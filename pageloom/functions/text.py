@@ -8,8 +8,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The Unicode white space that counts as blank.
-WS = r"[\t\n\x0B\f\r    -     　﻿]"
+WS = r"[\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 NOT_WS = WS.replace("[", "[^", 1)
+WS_CHARS = ("\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B)))
+            + "\u2028\u2029\u202f\u205f\u3000\ufeff")
 
 # Patterns over font names.
 SANS_FIRST = r"(?i)sans[-_\s]*serif"
@@ -32,11 +34,11 @@ STANDARD_FONTS = [
 
 
 def utrim(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def utrim_end(c: Column) -> Column:
-    return F.regexp_replace(c, f"{WS}+$", "")
+    return F.rtrim(c, F.lit(WS_CHARS))
 
 
 def collapse_ws(c: Column) -> Column:
@@ -62,7 +64,7 @@ def font_italic(name: Column) -> Column:
 
 def is_indic(text: Column) -> Column:
     """Contains a Devanagari or Tamil character."""
-    return text.rlike(r"[ऀ-ॿ஀-௿]")
+    return text.rlike(r"[\u0900-\u097f\u0b80-\u0bff]")
 
 
 def is_standalone_number(text: Column) -> Column:
@@ -223,8 +225,7 @@ def decode_base64(text: Column) -> Column:
 
 def endpoint_path(url: Column, mount: str) -> Column:
     """URL path after the last ``/mount/``."""
-    return F.regexp_replace(F.parse_url(url, F.lit("PATH")),
-                            f"^.*/{mount}/", "")
+    return F.regexp_replace(F.parse_url(url, F.lit("PATH")), f"^.*/{mount}/", "")
 
 
 def join_url(base: Column, path: Column) -> Column:
