@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import re
 
 import pandas as pd
@@ -52,7 +53,7 @@ def _spans(tokens) -> list[dict]:
 
     for token in tokens:
         if not token.startswith("<") or token == "<":
-            put(token)
+            put(html.unescape(token))
             continue
         name = re.match(r"</?\s*([a-zA-Z][a-zA-Z0-9]*)", token)
         tag = name.group(1).lower() if name else ""
