@@ -29,30 +29,35 @@ NUMERIC_DATE = rf"\b{_NUMERIC}\b"
 CLOCK_TIME = rf"{_ANY_CASE}\b{_CLOCK}\b"
 
 
+_MARK, _NOT_MARK = "\ue000", "\ue001"  # private-use characters, neither blank nor word
+
+
 def _matches(text: Column, pattern: str) -> Column:
-    """array<struct<raw,start,stop>> with exact character offsets.
+    """array<struct<raw,start>> with exact character offsets.
 
-    The text between matches comes from splitting on the same pattern, so the
-    offsets are those of the regex engine itself.
+    The text between matches is what the same pattern leaves when its matches are
+    replaced by a mark, so the offsets are those of the regex engine itself.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
+    marked = F.regexp_replace(F.translate(text, _MARK, _NOT_MARK), pattern, _MARK)
+    between = F.split(marked, _MARK, -1)
     total = lambda a, n: F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda acc, s: acc + F.length(s))
     return F.transform(found, lambda raw, i: F.struct(
-        raw.alias("raw"),
-        (total(between, i + 1) + total(found, i)).alias("start"),
-        (total(between, i + 1) + total(found, i + 1)).alias("stop")))
+        raw.alias("raw"), (total(between, i + 1) + total(found, i)).alias("start")))
 
 
-def _detections(matches: Column, pattern: str, read) -> Column:
-    """Turn matches into detections; ``read(group, match)`` gives the ISO fields."""
-    def build(m: Column) -> Column:
-        group = lambda k: F.regexp_extract(m["raw"], pattern, k)
-        start, end, alt_start, alt_end = read(group)
-        return F.struct(m["raw"].alias("raw"), m["start"].alias("start"), m["stop"].alias("stop"),
-                        start.alias("start_iso"), end.alias("end_iso"), F.lit(True).alias("all_day"),
-                        alt_start.alias("alt_start_iso"), alt_end.alias("alt_end_iso"))
-    return F.filter(F.transform(matches, build), lambda d: d["start_iso"].isNotNull())
+def _staged(items: Column, *stages) -> Column:
+    """Apply struct-building lambdas one after another.
+
+    Each stage reads plain fields of the one before, so no expression is
+    evaluated more than once per match.
+    """
+    def build(stage):
+        return lambda m: F.struct(m["raw"].alias("raw"), m["start"].alias("start"),
+                                  *[c.alias(n) for n, c in stage(m).items()])
+    for stage in stages:
+        items = F.transform(items, build(stage))
+    return items
 
 
 def _none() -> Column:
@@ -63,46 +68,65 @@ def _int(c: Column) -> Column:
     return F.when(c != "", c).cast("int")
 
 
-def _read_named_range(as_of_year: Column):
-    def read(g):
-        first, second = g(3), g(6)
-        y1 = widen_year(F.when(first != "", first).otherwise(second), as_of_year)
-        y2 = widen_year(F.when(second != "", second).otherwise(first), as_of_year)
-        start = safe_date(y1, month_number(g(2)), _int(g(1)))
-        end = safe_date(y2, month_number(g(5)), _int(g(4)))
-        rolled = safe_date(y2 + 1, month_number(g(5)), _int(g(4)))
-        end = F.when((end < start) & (second == ""), rolled).otherwise(end)
-        both = start.isNotNull() & end.isNotNull()
-        return F.when(both, start), F.when(both, end), _none(), _none()
-    return read
-
-
-def _read_numeric_range(as_of_year: Column):
-    def read(g):
-        y1, y2 = widen_year(g(3), as_of_year), widen_year(g(6), as_of_year)
-        d1, m1, d2, m2 = (_int(g(k)) for k in (1, 2, 4, 5))
-        start, end = safe_date(y1, m1, d1), safe_date(y2, m2, d2)
-        both = start.isNotNull() & end.isNotNull()
-        alt_start = F.when((d1 <= 12) & (m1 <= 12), safe_date(y1, d1, m1))
-        alt_end = F.when((d2 <= 12) & (m2 <= 12), safe_date(y2, d2, m2))
-        return (F.when(both, start), F.when(both, end), alt_start,
-                F.when(alt_start.isNotNull() & alt_end.isNotNull(), alt_end))
-    return read
-
-
-def _read_named_date(as_of_year: Column):
-    return lambda g: (safe_date(widen_year(g(3), as_of_year), month_number(g(2)), _int(g(1))),
-                      _none(), _none(), _none())
-
-
-def _read_numeric_date(as_of_year: Column):
-    def read(g):
-        year, day, month = widen_year(g(3), as_of_year), _int(g(1)), _int(g(2))
-        day_month = safe_date(year, month, day)
-        month_day = F.when((day <= 12) & (month <= 12), safe_date(year, day, month))
-        differs = day_month.isNotNull() & month_day.isNotNull() & (day_month != month_day)
-        return F.coalesce(day_month, month_day), _none(), F.when(differs, month_day), _none()
-    return read
+def _groups(pattern: str, count: int):
+    return lambda m: {f"g{k}": F.regexp_extract(m["raw"], pattern, k) for k in range(1, count + 1)}
+
+
+def _as_detection(m: Column, end=None, alt_start=None, alt_end=None) -> dict:
+    return {"stop": m["start"] + F.length(m["raw"]), "start_iso": m["s"], "end_iso": _none() if end is None else end,
+            "all_day": F.lit(True), "alt_start_iso": _none() if alt_start is None else alt_start,
+            "alt_end_iso": _none() if alt_end is None else alt_end}
+
+
+def _named_ranges(text: Column, as_of_year: Column) -> Column:
+    blank = lambda a, b: F.when(a != "", a).otherwise(b)
+    return _staged(
+        _matches(text, NAMED_RANGE), _groups(NAMED_RANGE, 6),
+        lambda m: {"y1": blank(m["g3"], m["g6"]), "y2": blank(m["g6"], m["g3"]), "open": m["g6"] == "",
+                   "m1": month_number(m["g2"]), "m2": month_number(m["g5"]), "d1": _int(m["g1"]), "d2": _int(m["g4"])},
+        lambda m: {**{k: m[k] for k in ("open", "m1", "m2", "d1", "d2")},
+                   "y1": widen_year(m["y1"], as_of_year), "y2": widen_year(m["y2"], as_of_year)},
+        lambda m: {"open": m["open"], "s": safe_date(m["y1"], m["m1"], m["d1"]),
+                   "e": safe_date(m["y2"], m["m2"], m["d2"]), "later": safe_date(m["y2"] + 1, m["m2"], m["d2"])},
+        lambda m: {"s": m["s"], "e": F.when((m["e"] < m["s"]) & m["open"], m["later"]).otherwise(m["e"])},
+        lambda m: {"s": F.when(m["e"].isNotNull(), m["s"]), "e": m["e"]},
+        lambda m: _as_detection(m, end=m["e"]))
+
+
+def _numeric_ranges(text: Column, as_of_year: Column) -> Column:
+    small = lambda a, b: (a <= 12) & (b <= 12)
+    return _staged(
+        _matches(text, NUMERIC_RANGE), _groups(NUMERIC_RANGE, 6),
+        lambda m: {"y1": widen_year(m["g3"], as_of_year), "y2": widen_year(m["g6"], as_of_year),
+                   "d1": _int(m["g1"]), "m1": _int(m["g2"]), "d2": _int(m["g4"]), "m2": _int(m["g5"])},
+        lambda m: {"s": safe_date(m["y1"], m["m1"], m["d1"]), "e": safe_date(m["y2"], m["m2"], m["d2"]),
+                   "as": F.when(small(m["d1"], m["m1"]), safe_date(m["y1"], m["d1"], m["m1"])),
+                   "ae": F.when(small(m["d2"], m["m2"]), safe_date(m["y2"], m["d2"], m["m2"]))},
+        lambda m: {"s": F.when(m["e"].isNotNull(), m["s"]), "e": m["e"], "as": m["as"],
+                   "ae": F.when(m["as"].isNotNull(), m["ae"])},
+        lambda m: _as_detection(m, m["e"], m["as"], m["ae"]))
+
+
+def _named_dates(text: Column, as_of_year: Column) -> Column:
+    return _staged(
+        _matches(text, NAMED_DATE), _groups(NAMED_DATE, 3),
+        lambda m: {"y": widen_year(m["g3"], as_of_year), "m": month_number(m["g2"]), "d": _int(m["g1"])},
+        lambda m: {"s": safe_date(m["y"], m["m"], m["d"])},
+        lambda m: _as_detection(m))
+
+
+def _numeric_dates(text: Column, as_of_year: Column) -> Column:
+    return _staged(
+        _matches(text, NUMERIC_DATE), _groups(NUMERIC_DATE, 3),
+        lambda m: {"y": widen_year(m["g3"], as_of_year), "d": _int(m["g1"]), "m": _int(m["g2"])},
+        lambda m: {"dm": safe_date(m["y"], m["m"], m["d"]),
+                   "md": F.when((m["d"] <= 12) & (m["m"] <= 12), safe_date(m["y"], m["d"], m["m"]))},
+        lambda m: {"s": F.coalesce(m["dm"], m["md"]), "alt": F.when(m["dm"] != m["md"], m["md"])},
+        lambda m: _as_detection(m, alt_start=m["alt"]))
+
+
+def _dated(detections: Column) -> Column:
+    return F.filter(detections, lambda d: d["start_iso"].isNotNull())
 
 
 def _apart(accepted: Column, candidates: Column) -> Column:
@@ -110,19 +134,17 @@ def _apart(accepted: Column, candidates: Column) -> Column:
         accepted, lambda a: (c["start"] < a["stop"]) & (c["stop"] > a["start"])))
 
 
-def _times(matches: Column, accepted: Column, as_of: Column) -> Column:
-    def build(m: Column) -> Column:
-        group = lambda k: F.regexp_extract(m["raw"], CLOCK_TIME, k)
-        hour = hour_24(F.coalesce(_int(group(1)), _int(group(3))), group(4))
-        minute = F.coalesce(_int(group(2)), F.lit(0))
-        nearest = F.array_min(F.transform(accepted, lambda a, i: F.struct(
-            F.abs((a["start"] + a["stop"]) / 2 - m["start"]).alias("d"), i.alias("i"), a["start_iso"].alias("iso"))))
-        day = F.coalesce(nearest["iso"], F.date_format(as_of, "yyyy-MM-dd"))
-        return F.struct(m["raw"].alias("raw"), m["start"].alias("start"), m["stop"].alias("stop"),
-                        F.concat(day, F.format_string("T%02d:%02d:00Z", hour, minute)).alias("start_iso"),
-                        _none().alias("end_iso"), F.lit(False).alias("all_day"),
-                        _none().alias("alt_start_iso"), _none().alias("alt_end_iso"))
-    return F.transform(_apart(accepted, matches), build)
+def _times(text: Column, accepted: Column, as_of: Column) -> Column:
+    nearest = lambda m: F.array_min(F.transform(accepted, lambda a, i: F.struct(
+        F.abs((a["start"] + a["stop"]) / 2 - m["start"]).alias("d"), i.alias("i"), a["start_iso"].alias("iso"))))
+    found = _staged(
+        _matches(text, CLOCK_TIME), _groups(CLOCK_TIME, 4),
+        lambda m: {"h": F.coalesce(_int(m["g1"]), _int(m["g3"])), "n": F.coalesce(_int(m["g2"]), F.lit(0)),
+                   "half": m["g4"], "near": nearest(m)["iso"]},
+        lambda m: {"s": F.concat(F.coalesce(m["near"], F.date_format(as_of, "yyyy-MM-dd")),
+                                 F.format_string("T%02d:%02d:00Z", hour_24(m["h"], m["half"]), m["n"]))},
+        lambda m: {**_as_detection(m), "all_day": F.lit(False)})
+    return _apart(accepted, found)
 
 
 def span_rect(segments: Column, line_rect: Column, start: Column, stop: Column) -> Column:
@@ -151,14 +173,12 @@ def date_spans(line_rows: DataFrame, as_of) -> DataFrame:
     day = as_of if isinstance(as_of, Column) else F.lit(as_of)
     day = day.cast("date")
     year = F.year(day)
-    df = line_rows.where(F.col("text").rlike(r"\d"))
-    df = df.withColumn("_acc", _detections(_matches(F.col("text"), NAMED_RANGE), NAMED_RANGE, _read_named_range(year)))
-    for pattern, read in ((NUMERIC_RANGE, _read_numeric_range), (NAMED_DATE, _read_named_date),
-                          (NUMERIC_DATE, _read_numeric_date)):
-        df = df.withColumn("_m", _detections(_matches(F.col("text"), pattern), pattern, read(year)))
+    text = F.col("text")
+    df = line_rows.where(text.rlike(r"\d")).withColumn("_acc", _dated(_named_ranges(text, year)))
+    for detect in (_numeric_ranges, _named_dates, _numeric_dates):
+        df = df.withColumn("_m", _dated(detect(text, year)))
         df = df.withColumn("_acc", F.concat("_acc", _apart(F.col("_acc"), F.col("_m")))).drop("_m")
-    df = df.withColumn("_t", _matches(F.col("text"), CLOCK_TIME))
-    df = df.withColumn("_acc", F.concat("_acc", _times(F.col("_t"), F.col("_acc"), day))).drop("_t")
+    df = df.withColumn("_acc", F.concat("_acc", _times(text, F.col("_acc"), day)))
     df = df.withColumn("_d", F.explode("_acc"))
     rect = span_rect(F.col("segments"), F.struct("x", "y", "w", "h"), F.col("_d.start"), F.col("_d.stop"))
     keep = [c for c in line_rows.columns if c not in ("text", "segments", "x", "y", "w", "h", "style")]

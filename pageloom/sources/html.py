@@ -8,6 +8,9 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from pageloom.schemas import SPAN
 
 # Elements with a meaning for styling and line breaks.
 _BLOCK = {"div", "li", "p"}
@@ -82,7 +85,6 @@ def _spans(tokens) -> list[dict]:
     return out
 
 
-@F.pandas_udf("array<struct<text:string,bold:boolean,italic:boolean>>")
 def _fold_tokens(tokens: pd.Series) -> pd.Series:
     return tokens.map(_spans)
 
@@ -93,7 +95,8 @@ def styled_spans(pages: DataFrame) -> DataFrame:
     Tokenising runs in the JVM; only the nesting of styles is folded in Arrow batches.
     """
     tokens = F.regexp_extract_all(F.col("html"), F.lit(_TOKEN), F.lit(0))
-    return pages.select("page_id", _fold_tokens(tokens).alias("spans"))
+    fold = F.pandas_udf(_fold_tokens, T.ArrayType(SPAN))
+    return pages.select("page_id", fold(tokens).alias("spans"))
 
 
 def span_rows(spans: DataFrame) -> DataFrame:
