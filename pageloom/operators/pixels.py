@@ -62,14 +62,15 @@ def image_richness(pixels: DataFrame, min_colors: int = 64, keys: list[str] | No
     if not 1 <= min_colors < float("inf"):
         raise ValueError("min_colors must be a positive finite number")
     keys = keys or ["image_id"]
-    buckets = pixels.where("a <> 0").groupBy(*keys, _bucket().alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
+    # Transparent pixels share one bucket that counts nothing but keeps the image present.
+    bucket = F.when(F.col("a") != 0, _bucket()).otherwise(-1)
+    buckets = pixels.groupBy(*keys, bucket.alias("_bucket")).agg(F.count_if(F.col("a") != 0).alias("_n"))
     colors = buckets.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("color_count"), F.max("_n").alias("_top"), F.sum("_n").alias("_all"))
-    every = pixels.select(*keys).distinct()
-    stats = (every.join(colors, keys, "left").join(edge_ratio(pixels, keys).select(*keys, "edge_ratio"), keys, "left")
-                  .select(*keys, F.coalesce("color_count", F.lit(0)).alias("color_count"),
-                          F.coalesce(F.col("_top") / F.col("_all"), F.lit(0.0)).alias("dominant_fraction"),
-                          F.coalesce("edge_ratio", F.lit(0.0)).alias("edge_ratio")))
+        F.count_if(F.col("_n") > 0).alias("color_count"), F.max("_n").alias("_top"), F.sum("_n").alias("_all"))
+    stats = (colors.join(edge_ratio(pixels, keys).select(*keys, "edge_ratio"), keys, "left")
+                   .select(*keys, "color_count",
+                           F.when(F.col("_all") > 0, F.col("_top") / F.col("_all")).otherwise(0.0).alias("dominant_fraction"),
+                           F.coalesce("edge_ratio", F.lit(0.0)).alias("edge_ratio")))
     rich = (F.col("color_count") >= min_colors) & (F.col("dominant_fraction") < 0.6)
     return stats.withColumn("rich", rich).withColumn("raster_text_pattern", raster_text_pattern(
         F.col("rich"), F.col("color_count"), F.col("dominant_fraction"), F.col("edge_ratio")))
@@ -129,17 +130,16 @@ def dominant_color(pixels: DataFrame, keys: list[str], order: list[str] | None =
     Among equally full buckets the one that filled up first wins, which is the one
     whose last pixel comes first in ``order``. Groups without such pixels are white.
     """
-    position = F.struct(*(order or ["py", "px"]))
-    buckets = pixels.where("a >= 128").groupBy(*keys, _bucket().alias("_bucket")).agg(
-        F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_{c}") for c in ("r", "g", "b")],
+    solid = F.col("a") >= 128
+    position = F.when(solid, F.struct(*(order or ["py", "px"])))
+    buckets = pixels.groupBy(*keys, _bucket().alias("_bucket")).agg(
+        F.count_if(solid).alias("_n"), *[F.sum(F.when(solid, F.col(c))).alias(f"_{c}") for c in ("r", "g", "b")],
         F.max(position).alias("_last"))
-    top = buckets.groupBy(*keys).agg(F.max("_n").alias("_max"))
-    # Ties are settled among the few fullest buckets, earliest last pixel first.
-    best = buckets.join(top, keys).where("_n = _max").groupBy(*keys).agg(
-        F.min_by(F.struct("_n", "_r", "_g", "_b"), "_last").alias("_w"))
-    every = pixels.select(*keys).distinct()
-    share = lambda c: F.coalesce(F.col(f"_w._{c}") / F.col("_w._n") / 255, F.lit(1.0)).alias(c)
-    return every.join(best, keys, "left").select(*keys, share("r"), share("g"), share("b"))
+    # Fullest bucket first; among equals the one whose last pixel comes first.
+    best = buckets.groupBy(*keys).agg(
+        F.min_by(F.struct("_n", "_r", "_g", "_b"), F.struct(-F.col("_n"), F.col("_last"))).alias("_w"))
+    share = lambda c: F.when(F.col("_w._n") > 0, F.col(f"_w._{c}") / F.col("_w._n") / 255).otherwise(1.0).alias(c)
+    return best.select(*keys, share("r"), share("g"), share("b"))
 
 
 def outside_bands(regions: DataFrame, margin: float = 5.0) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pageloom.functions import text as tx
 from pageloom.operators import bullets, doctext, layout, regions
+from pageloom.plans.stage import staged
 from pageloom.schemas import PAGE
 from pageloom.sources import corpus, items, sinks
 from workloads import views as v
@@ -165,7 +166,7 @@ def exact_blocks(spark, sf):
 
 @query("page_guides")
 def page_guides(spark, sf):
-    return layout.page_guides(v.blocks(spark, sf), v.plain_pages(spark, sf))
+    return layout.page_guides(staged(v.blocks(spark, sf)), v.plain_pages(spark, sf))
 
 
 @query("line_covers", """
@@ -189,7 +190,7 @@ def block_covers(spark, sf):
 @query("block_line_height", """
 SELECT doc_id, page_index, CAST(block_ord AS BIGINT) AS block_ord,
        round(least(12 * 1.5, greatest(12 * 1.0, line_height_pt * (12 / greatest(1, size)))), 6) AS line_height,
-       round(12 * 1.2, 6) AS free_height FROM v_block""")
+       round(12 * 1.2::DOUBLE, 6) AS free_height FROM v_block""")
 def block_line_height(spark, sf):
     size = F.lit(12.0)
     return v.blocks(spark, sf).select(
@@ -229,7 +230,7 @@ def marker_candidates(spark, sf):
 
 
 def _markers(spark, sf):
-    lines = v.block_lines(spark, sf)
+    lines = staged(v.block_lines(spark, sf))
     return lines, bullets.bullet_markers(lines, v.regions(spark, sf))
 
 

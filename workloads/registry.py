@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+from pageloom.plans.stage import checkpoint_dir
 from workloads.sql_views import sql
 
 QUERIES: dict[str, Callable] = {}
@@ -24,9 +26,4 @@ def query(name: str, oracle: str | None = None):
 
 def shared_dir(spark, name: str) -> str:
     """A fresh folder under the cluster's shared checkpoint directory."""
-    import uuid
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        import tempfile
-        base = tempfile.mkdtemp(prefix="run-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
