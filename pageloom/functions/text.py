@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pageloom.functions.binding import let
+
 # The Unicode white space that counts as blank.
 WS = r"[\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 NOT_WS = WS.replace("[", "[^", 1)
@@ -119,17 +121,21 @@ def normalize_spans(spans: Column) -> Column:
     """
     clean = F.filter(F.transform(spans, lambda s: _span(unix_newlines(s["text"]), s["bold"], s["italic"])),
                      lambda s: s["text"] != "")
-    def breaks(a: Column) -> Column:
-        pos = F.sequence(F.lit(1), F.size(a))
-        return F.filter(pos, lambda i: (i == 1)
-                        | ~(F.element_at(a, i)["bold"].eqNullSafe(F.element_at(a, F.greatest(i - 1, F.lit(1)))["bold"]))
-                        | ~(F.element_at(a, i)["italic"].eqNullSafe(F.element_at(a, F.greatest(i - 1, F.lit(1)))["italic"])))
-    starts = breaks(clean)
-    merged = F.transform(starts, lambda s, k: _span(
-        F.array_join(F.slice(clean, s, F.when(k + 1 < F.size(starts), F.get(starts, k + 1) - s)
-                             .otherwise(F.size(clean) - s + 1))["text"], ""),
-        F.element_at(clean, s)["bold"], F.element_at(clean, s)["italic"]))
-    return F.when(F.size(clean) > 0, merged).otherwise(F.array().cast(_SPANS))
+
+    def starts_of(a: Column) -> Column:
+        def opens(i: Column) -> Column:
+            here, before = F.element_at(a, i), F.element_at(a, F.greatest(i - 1, F.lit(1)))
+            return ((i == 1) | ~here["bold"].eqNullSafe(before["bold"]) | ~here["italic"].eqNullSafe(before["italic"]))
+        return F.filter(F.sequence(F.lit(1), F.size(a)), opens)
+
+    def stretch(a: Column, starts: Column):
+        end = lambda k: F.coalesce(F.get(starts, k + 1), F.size(a) + 1)
+        return lambda s, k: let(F.slice(a, s, end(k) - s), lambda part: _span(
+            F.array_join(part["text"], ""), part[0]["bold"], part[0]["italic"]))
+
+    merge = lambda a: F.when(F.size(a) > 0, let(starts_of(a), lambda starts: F.transform(starts, stretch(a, starts)))).otherwise(
+        F.array().cast(_SPANS))
+    return let(clean, merge)
 
 
 def spans_text(spans: Column) -> Column:
@@ -138,36 +144,39 @@ def spans_text(spans: Column) -> Column:
 
 def effective_spans(text: Column, bold: Column, italic: Column, spans: Column) -> Column:
     """Normalised spans when they spell ``text``; otherwise one span in the base style."""
-    norm = normalize_spans(F.coalesce(spans, F.array().cast(_SPANS)))
-    usable = (F.size(norm) > 0) & (spans_text(norm) == text)
-    return (F.when(usable, norm).when(text != "", F.array(_span(text, bold, italic)))
-            .otherwise(F.array().cast(_SPANS)))
+    def choose(norm: Column) -> Column:
+        usable = (F.size(norm) > 0) & (spans_text(norm) == text)
+        return (F.when(usable, norm).when(text != "", F.array(_span(text, bold, italic)))
+                .otherwise(F.array().cast(_SPANS)))
+    return let(normalize_spans(F.coalesce(spans, F.array().cast(_SPANS))), choose)
 
 
 def finalize_spans(spans: Column, base_bold: Column, base_italic: Column) -> Column:
     """struct<text,bold,italic,spans>: uniform spans collapse into the base style."""
-    norm = normalize_spans(spans)
-    first = F.get(norm, F.lit(0))
-    uniform = (F.size(norm) > 0) & F.forall(
-        norm, lambda s: (s["bold"] == first["bold"]) & (s["italic"] == first["italic"]))
-    return F.struct(
-        spans_text(norm).alias("text"),
-        F.when(uniform, first["bold"]).otherwise(base_bold).alias("bold"),
-        F.when(uniform, first["italic"]).otherwise(base_italic).alias("italic"),
-        F.when(~uniform & (F.size(norm) > 0), norm).alias("spans"),
-    )
+    def collapse(norm: Column) -> Column:
+        # Neighbours differ after normalising, so uniform means a single span.
+        uniform = F.size(norm) == 1
+        first = F.get(norm, F.lit(0))
+        return F.struct(
+            spans_text(norm).alias("text"),
+            F.when(uniform, first["bold"]).otherwise(base_bold).alias("bold"),
+            F.when(uniform, first["italic"]).otherwise(base_italic).alias("italic"),
+            F.when(F.size(norm) > 1, norm).alias("spans"))
+    return let(normalize_spans(spans), collapse)
 
 
 def slice_spans(spans: Column, start: Column, end: Column) -> Column:
     """Characters ``[start, end)`` of a span array, styles kept."""
     before = lambda i: F.aggregate(F.slice(spans, F.lit(1), i), F.lit(0), lambda a, s: a + F.length(s["text"]))
-    cut = F.transform(spans, lambda s, i: _span(
-        F.substring(s["text"],
-                    F.greatest(start - before(i), F.lit(0)) + 1,
-                    F.greatest(F.least(end - before(i), F.length(s["text"]))
-                               - F.greatest(start - before(i), F.lit(0)), F.lit(0))),
-        s["bold"], s["italic"]))
-    return normalize_spans(cut)
+    zero = F.lit(0)
+
+    def cut(s: Column, i: Column) -> Column:
+        def part(at: Column) -> Column:
+            lo, hi = F.greatest(start - at, zero), F.least(end - at, F.length(s["text"]))
+            return _span(F.substring(s["text"], lo + 1, F.greatest(hi - lo, zero)), s["bold"], s["italic"])
+        return let(before(i), part)
+
+    return normalize_spans(F.transform(spans, cut))
 
 
 def escape_html(text: Column) -> Column:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pageloom.functions.binding import let
 from pageloom.functions.dates import hour_24, month_number, safe_date, widen_year
 from pageloom.functions.text import WS
 
@@ -156,11 +157,12 @@ def span_rect(segments: Column, line_rect: Column, start: Column, stop: Column)
         hi = (F.least(stop, s["end"]) - s["start"]) / length
         x = s["x"] + s["w"] * lo
         return F.struct(x.alias("x"), s["y"].alias("y"), (x + s["w"] * (hi - lo)).alias("r"), (s["y"] + s["h"]).alias("t"))
-    cuts = F.transform(hit, cut)
-    x, y = F.array_min(cuts["x"]), F.array_min(cuts["y"])
-    union = F.struct(x.alias("x"), y.alias("y"), (F.array_max(cuts["r"]) - x).alias("w"),
-                     (F.array_max(cuts["t"]) - y).alias("h"))
-    return F.when(F.size(hit) > 0, union).otherwise(line_rect)
+    def union(cuts: Column) -> Column:
+        x, y = F.array_min(cuts["x"]), F.array_min(cuts["y"])
+        box = F.struct(x.alias("x"), y.alias("y"), (F.array_max(cuts["r"]) - x).alias("w"), (F.array_max(cuts["t"]) - y).alias("h"))
+        return F.when(F.size(cuts) > 0, box).otherwise(line_rect)
+
+    return let(F.transform(hit, cut), union)
 
 
 def date_spans(line_rows: DataFrame, as_of) -> DataFrame:
@@ -179,7 +181,8 @@ def date_spans(line_rows: DataFrame, as_of) -> DataFrame:
         df = df.withColumn("_m", _dated(detect(text, year)))
         df = df.withColumn("_acc", F.concat("_acc", _apart(F.col("_acc"), F.col("_m")))).drop("_m")
     df = df.withColumn("_acc", F.concat("_acc", _times(text, F.col("_acc"), day)))
-    df = df.withColumn("_d", F.explode("_acc"))
+    # An outer explode keeps the optimiser from repeating the whole detection as a filter.
+    df = df.withColumn("_d", F.explode_outer("_acc")).where(F.col("_d").isNotNull())
     rect = span_rect(F.col("segments"), F.struct("x", "y", "w", "h"), F.col("_d.start"), F.col("_d.stop"))
     keep = [c for c in line_rows.columns if c not in ("text", "segments", "x", "y", "w", "h", "style")]
     return (df.withColumn("_r", rect)

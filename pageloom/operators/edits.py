@@ -109,14 +109,14 @@ class EditHistory:
 
 
 def after_last_reset(events: DataFrame) -> DataFrame:
-    """Events that can still matter: those after the last reset of their document.
+    """Events that can still matter: those from the last reset of their document on.
 
     A reset empties the state and the history, so earlier events are dropped
     before the shuffle to the ordered pass.
     """
     resets = events.where("action = 'reset'").groupBy("doc_id").agg(F.max("seq").alias("_reset"))
     return (events.join(resets, "doc_id", "left")
-                  .where(F.col("_reset").isNull() | (F.col("seq") > F.col("_reset"))).drop("_reset"))
+                  .where(F.col("_reset").isNull() | (F.col("seq") >= F.col("_reset"))).drop("_reset"))
 
 
 def replay_history(events: DataFrame, limit: int = HISTORY_LIMIT) -> DataFrame:

@@ -96,7 +96,7 @@ def _placements() -> Column:
 def painted_images(paint_ops: DataFrame) -> DataFrame:
     """Every painted image as a page-space rectangle, before removing repeats."""
     placed = (graphics_state(paint_ops).withColumn("_p", _placements()).where(F.col("_p").isNotNull())
-              .select(*PAGE, "op_ord", "ctm", F.posexplode("_p").alias("_k", "_m")))
+              .select(*PAGE, "op_ord", "ctm", F.posexplode_outer("_p").alias("_k", "_m")).where(F.col("_m").isNotNull()))
     boxed = placed.withColumn("_b", transformed_bbox(affine_mul(F.col("ctm"), F.col("_m"))))
     return (boxed.select(*PAGE, (F.col("op_ord") * (1 << 20) + F.col("_k")).alias("region_id"), "_b.*")
                  .where((F.col("w") > MIN_IMAGE_SIDE) & (F.col("h") > MIN_IMAGE_SIDE)))

@@ -101,4 +101,6 @@ def styled_spans(pages: DataFrame) -> DataFrame:
 
 def span_rows(spans: DataFrame) -> DataFrame:
     """One row per span: ``(page_id, ord, text, bold, italic)``."""
-    return spans.select("page_id", F.posexplode("spans").alias("ord", "_s")).select("page_id", "ord", "_s.*")
+    # An outer explode keeps the optimiser from repeating the fold as a filter.
+    rows = spans.select("page_id", F.posexplode_outer("spans").alias("ord", "_s")).where(F.col("_s").isNotNull())
+    return rows.select("page_id", "ord", "_s.*")

@@ -11,6 +11,7 @@ from pageloom.schemas import PAGE
 from pageloom.sources import corpus, items, sinks
 from workloads import views as v
 from workloads.registry import query
+from workloads.sql_views import FAMILY, wrap_sql
 
 RECT = ["x", "y", "w", "h"]
 
@@ -160,13 +161,50 @@ def spacing_median(spark, sf):
         w.rowsBetween(W.unboundedPreceding, -1)), 6).alias("expected_gap"))
 
 
-def exact_blocks(spark, sf):
-    return layout.assign_blocks(v.lines(spark, sf), mode="exact")
-
-
-@query("page_guides")
+# The open paragraphs of a page as a fold over its lines in reading order.
+EXACT_SQL = """
+SELECT doc_id, page_index, CAST(unnest(range(1, len(f.r) + 1)) AS INTEGER) AS line_ord, CAST(unnest(f.r) AS BIGINT) AS block_ord FROM (
+ SELECT doc_id, page_index, list_reduce(list_prepend({'g': []::G[], 'r': []::BIGINT[]}, list({'g': [
+     {'id': 0::BIGINT, 'y': baseline_y, 'x': x, 'w': w, 's': size, 'sk': sk, 'para': para, 'num': num, 'gaps': []::DOUBLE[]}], 'r': []::BIGINT[]} ORDER BY line_ord)),
+   lambda a, b: CASE WHEN BEST IS NULL
+     THEN {'g': list_append(a.g, {'id': len(a.g) + 1, 'y': L.y, 'x': L.x, 'w': L.w, 's': L.s, 'sk': L.sk, 'para': L.para, 'num': L.num, 'gaps': []::DOUBLE[]}),
+           'r': list_append(a.r, len(a.g) + 1)}
+     ELSE {'g': list_transform(a.g, lambda q: CASE WHEN q.id = BEST
+             THEN {'id': q.id, 'y': L.y, 'x': L.x, 'w': L.w, 's': L.s, 'sk': L.sk, 'para': L.para, 'num': L.num, 'gaps': list_append(q.gaps, q.y - L.y)} ELSE q END),
+           'r': list_append(a.r, BEST)} END) AS f
+ FROM (SELECT *, FAMILY || bold || italic AS sk, regexp_matches(text, '^[0-9.,/-]{1,6}$') AS num, length(text) >= 24 OR n_runs >= 3 AS para FROM v_line)
+ GROUP BY doc_id, page_index)"""
+_G = "STRUCT(id BIGINT, y DOUBLE, x DOUBLE, w DOUBLE, s DOUBLE, sk VARCHAR, para BOOLEAN, num BOOLEAN, gaps DOUBLE[])"
+_BEST = """(list_sort(list_transform(list_filter(a.g, lambda c: NOT c.num AND NOT L.num AND c.y - L.y > 0.5 AND c.y - L.y <= 1.85 * greatest(c.s, L.s)
+  AND abs(c.s - L.s) <= greatest(1.5, 0.22 * greatest(c.s, L.s)) AND c.sk = L.sk AND (c.para OR L.para)
+  AND NOT (abs(c.x - L.x) > greatest(9, greatest(c.s, L.s)) AND greatest(0, least(c.x + c.w, L.x + L.w) - greatest(c.x, L.x)) / greatest(1, least(c.w, L.w)) < 0.7)
+  AND (len(c.gaps) = 0 OR abs(c.y - L.y - list_aggregate(c.gaps, 'median')) <= greatest(2, 0.35 * list_aggregate(c.gaps, 'median')))),
+  lambda c: {'d': abs(c.x - L.x), 'id': c.id}))[1].id)"""
+EXACT_SQL = (EXACT_SQL.replace("BEST", _BEST).replace("L.", "b.g[1].").replace("::G[]", f"::{_G}[]")
+             .replace("FAMILY", FAMILY.format("font_name")))
+
+
+@query("block_lines_exact", EXACT_SQL)
+def block_lines_exact(spark, sf):
+    return layout.assign_blocks(v.lines(spark, sf), mode="exact").select(*PAGE, "line_ord", "block_ord")
+
+
+GUIDES_SQL = """
+SELECT doc_id, page_index, edge, unnest(list_reduce(list([pos] ORDER BY guide_ord),
+  lambda a, b: CASE WHEN len(list_filter(a, lambda p: abs(p - b[1]) <= 1)) = 0 THEN list_concat(a, b) ELSE a END)) AS pos
+FROM (
+  SELECT doc_id, page_index, 'mid' AS edge, 306.0::DOUBLE AS pos, 0 AS guide_ord FROM v_page
+  UNION ALL SELECT p.doc_id, p.page_index, 'min', coalesce(min(x), 0), 1 FROM v_page p LEFT JOIN v_block USING (doc_id, page_index) GROUP BY ALL
+  UNION ALL SELECT p.doc_id, p.page_index, 'max', coalesce(max(x + w), 612), 2 FROM v_page p LEFT JOIN v_block USING (doc_id, page_index) GROUP BY ALL
+  UNION ALL SELECT doc_id, page_index, 'min', x, block_ord * 3 FROM v_block
+  UNION ALL SELECT doc_id, page_index, 'mid', x + w / 2, block_ord * 3 + 1 FROM v_block
+  UNION ALL SELECT doc_id, page_index, 'max', x + w, block_ord * 3 + 2 FROM v_block)
+GROUP BY doc_id, page_index, edge"""
+
+
+@query("page_guides", GUIDES_SQL)
 def page_guides(spark, sf):
-    return layout.page_guides(staged(v.blocks(spark, sf)), v.plain_pages(spark, sf))
+    return layout.page_guides(staged(v.blocks(spark, sf)), v.plain_pages(spark, sf)).select(*PAGE, "edge", "pos")
 
 
 @query("line_covers", """
@@ -349,19 +387,8 @@ def run_predicates(spark, sf):
 
 # --- wrapping ------------------------------------------------------------------------
 
-# Greedy fold over the tokens of each logical line; 40 characters fit at size 10 in 220 points.
-WRAP_SQL = r"""
-SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY l, i) - 1 AS INTEGER) AS chunk_ord, chunk FROM (
- SELECT doc_id, l, unnest(lines) AS chunk, unnest(range(len(lines))) AS i FROM (
-  SELECT doc_id, l, CASE WHEN line = '' THEN [''] ELSE list_append(f.o, f.c) END AS lines FROM (
-   SELECT doc_id, l, line, list_reduce(list_prepend({'o': []::VARCHAR[], 'c': ''}, [{'o': []::VARCHAR[], 'c': t} FOR t IN regexp_extract_all(line, '\s+|\S+')]),
-     lambda a, b: CASE WHEN length(a.c || b.c) <= 40 THEN {'o': a.o, 'c': a.c || b.c}
-       WHEN length(b.c) <= 40 THEN {'o': CASE WHEN a.c = '' THEN a.o ELSE list_append(a.o, a.c) END, 'c': b.c}
-       ELSE {'o': list_concat(CASE WHEN a.c = '' THEN a.o ELSE list_append(a.o, a.c) END,
-                [b.c[k * 40 + 1 : k * 40 + 40] FOR k IN range((length(b.c) + 39) // 40 - 1)]),
-             'c': b.c[((length(b.c) + 39) // 40 - 1) * 40 + 1 :]} END) AS f
-   FROM (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS l
-         FROM (SELECT doc_id, string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)) AS ls FROM documents)))))"""
+WRAP_SQL = wrap_sql("SELECT doc_id, text FROM documents", """
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY l, i) - 1 AS INTEGER) AS chunk_ord, chunk FROM v_wrapped""")
 
 
 @query("wrap_chunks", WRAP_SQL)

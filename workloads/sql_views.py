@@ -331,3 +331,24 @@ FROM (SELECT *, tag IN ('div', 'li', 'p') AND so_far <> '' AND right(so_far, 1)
               OVER (PARTITION BY page_id ORDER BY tok_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS so_far
             FROM (SELECT *, count(nullif(txt, '')) OVER (PARTITION BY page_id ORDER BY tok_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 0 AS seen FROM v_piece) p))
 WHERE needs_break OR txt <> ''""")
+
+
+def wrap_sql(source: str, tail: str) -> str:
+    """Greedy wrap of ``source(doc_id, text)`` as ``v_wrapped(doc_id, l, i, chunk, line_at)``.
+
+    A fold over the tokens of each logical line; 40 characters fit at size 10 in 220 points.
+    """
+    wrapped = r"""
+ SELECT doc_id, l, line_at, unnest(lines) AS chunk, unnest(range(len(lines))) AS i FROM (
+  SELECT doc_id, l, line_at, CASE WHEN line = '' THEN [''] ELSE list_append(f.o, f.c) END AS lines FROM (
+   SELECT doc_id, l, line, line_at, list_reduce(list_prepend({'o': []::VARCHAR[], 'c': ''}, [{'o': []::VARCHAR[], 'c': t} FOR t IN regexp_extract_all(line, '\s+|\S+')]),
+     lambda a, b: CASE WHEN length(a.c || b.c) <= 40 THEN {'o': a.o, 'c': a.c || b.c}
+       WHEN length(b.c) <= 40 THEN {'o': CASE WHEN a.c = '' THEN a.o ELSE list_append(a.o, a.c) END, 'c': b.c}
+       ELSE {'o': list_concat(CASE WHEN a.c = '' THEN a.o ELSE list_append(a.o, a.c) END,
+                [b.c[k * 40 + 1 : k * 40 + 40] FOR k IN range((length(b.c) + 39) // 40 - 1)]),
+             'c': b.c[((length(b.c) + 39) // 40 - 1) * 40 + 1 :]} END) AS f
+   FROM (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY l ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line_at
+         FROM (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS l
+               FROM (SELECT doc_id, string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)) AS ls FROM (SOURCE))))))"""
+    wrapped = wrapped.replace("SOURCE", source)
+    return tail.replace("v_wrapped", f"({wrapped})")
