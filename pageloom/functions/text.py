@@ -165,18 +165,39 @@ def finalize_spans(spans: Column, base_bold: Column, base_italic: Column) -> Col
     return let(normalize_spans(spans), collapse)
 
 
-def slice_spans(spans: Column, start: Column, end: Column) -> Column:
-    """Characters ``[start, end)`` of a span array, styles kept."""
-    before = lambda i: F.aggregate(F.slice(spans, F.lit(1), i), F.lit(0), lambda a, s: a + F.length(s["text"]))
-    zero = F.lit(0)
+def running_starts(lengths: Column) -> Column:
+    """Start offset of each piece, given the lengths of consecutive pieces."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    return F.aggregate(lengths, start, lambda a, n: F.struct(
+        (a["at"] + n).alias("at"), F.array_append(a["starts"], a["at"]).alias("starts")), lambda a: a["starts"])
+
+
+def style_ranges(spans: Column) -> Column:
+    """array<struct<start,stop,bold,italic>>: where each style applies, without the text."""
+    def ranges(s: Column) -> Column:
+        lengths = F.transform(s, lambda p: F.length(p["text"]))
+        return let(running_starts(lengths), lambda starts: F.transform(s, lambda p, i: F.struct(
+            F.get(starts, i).alias("start"), (F.get(starts, i) + F.length(p["text"])).alias("stop"),
+            p["bold"].alias("bold"), p["italic"].alias("italic"))))
+    return let(spans, ranges)
+
 
-    def cut(s: Column, i: Column) -> Column:
-        def part(at: Column) -> Column:
-            lo, hi = F.greatest(start - at, zero), F.least(end - at, F.length(s["text"]))
-            return _span(F.substring(s["text"], lo + 1, F.greatest(hi - lo, zero)), s["bold"], s["italic"])
-        return let(before(i), part)
+def style_piece(text: Column, at: Column, ranges: Column) -> Column:
+    """Spans of a piece of text that starts at offset ``at`` of the styled text."""
+    end = at + F.length(text)
+    inside = F.filter(ranges, lambda r: (r["start"] < end) & (r["stop"] > at))
 
-    return normalize_spans(F.transform(spans, cut))
+    def cut(r: Column) -> Column:
+        lo, hi = F.greatest(r["start"], at), F.least(r["stop"], end)
+        return _span(F.substring(text, lo - at + 1, hi - lo), r["bold"], r["italic"])
+
+    return normalize_spans(F.transform(inside, cut))
+
+
+def slice_spans(spans: Column, start: Column, end: Column) -> Column:
+    """Characters ``[start, end)`` of a span array, styles kept."""
+    part = F.substring(spans_text(spans), start + 1, end - start)
+    return style_piece(part, start, style_ranges(spans))
 
 
 def escape_html(text: Column) -> Column:

@@ -60,9 +60,30 @@ def document_text(pages: DataFrame, max_chars: int = MAX_CHARS, pages_per_part:
 
 # --- wrapping ----------------------------------------------------------------
 
-def em_width(size_pt: float) -> tx.Measure:
+class CharWidth:
+    """Measure with one width for every character.
+
+    Wrapping with it runs as one regular expression per line; any other measure
+    is a function from a text column to its width.
+    """
+
+    def __init__(self, unit: float):
+        self.unit = unit
+
+    def __call__(self, text: Column) -> Column:
+        return F.length(text) * F.lit(self.unit)
+
+    def fit(self, max_width: float) -> int:
+        """Most characters that stay within the width, and at least one."""
+        n = int(max_width / self.unit)
+        n += (n + 1) * self.unit <= max_width
+        n -= n * self.unit > max_width
+        return max(1, n)
+
+
+def em_width(size_pt: float) -> CharWidth:
     """Measure a string by its length at the fallback glyph width."""
-    return lambda text: F.length(text) * F.lit(size_pt * GLYPH_EM)
+    return CharWidth(size_pt * GLYPH_EM)
 
 
 def _split_word(word: Column, max_width: float, measure: tx.Measure) -> Column:
@@ -78,6 +99,12 @@ def _split_word(word: Column, max_width: float, measure: tx.Measure) -> Column:
 
 
 def _wrap_line(line: Column, max_width: float, measure: tx.Measure) -> Column:
+    if isinstance(measure, CharWidth):
+        # The longest stretch ending between a word and a blank, or a cut inside a long word.
+        n, ws, word = measure.fit(max_width), tx.WS, tx.NOT_WS
+        stretch = f"(?s).{{1,{n}}}(?:(?<={ws})(?={word})|(?<={word})(?={ws})|\\z)|.{{1,{n}}}"
+        pieces = F.regexp_extract_all(line, F.lit(stretch), F.lit(0))
+        return F.when(line == "", F.array(F.lit(""))).otherwise(pieces)
     tokens = F.regexp_extract_all(line, F.lit(f"{tx.WS}+|{tx.NOT_WS}+"), F.lit(0))
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
 
@@ -116,21 +143,18 @@ def wrap_spans(docs: DataFrame, max_width: float, size_pt: float = 10.0,
     The text is wrapped as a whole, then every line takes its character range of
     the spans; the line break itself is a one-character gap in the source.
     """
-    text = tx.unix_newlines(tx.spans_text(F.col("spans")))
-    staged = docs.select("doc_id", tx.normalize_spans(F.col("spans")).alias("spans"), text.alias("_text"))
-    wrap = lambda s: _wrap_line(s, max_width, measure or em_width(size_pt))
     if not 0 < max_width < float("inf"):
         raise ValueError("max_width must be a positive finite number")
-    logical = staged.where(F.col("_text") != "").select(
-        "doc_id", "spans", F.split("_text", "\n").alias("_logical"))
-    logical = logical.withColumn("_starts", F.transform("_logical", lambda s, i: F.aggregate(
-        F.slice("_logical", F.lit(1), i), F.lit(0), lambda a, t: a + F.length(t) + 1)))
-    wrapped = logical.select("doc_id", "spans", F.posexplode(F.arrays_zip("_logical", "_starts")).alias("_l", "_z"))
-    wrapped = wrapped.withColumn("_lines", wrap(F.col("_z._logical"))).withColumn("_from", F.transform(
-        "_lines", lambda s, i: F.col("_z._starts") + F.aggregate(
-            F.slice("_lines", F.lit(1), i), F.lit(0), lambda a, t: a + F.length(t))))
-    out = wrapped.select("doc_id", "spans", F.col("_l").alias("line_ord"),
-                         F.posexplode(F.arrays_zip("_lines", "_from")).alias("wrap_ord", "_p"))
-    return out.select("doc_id", "line_ord", "wrap_ord", F.col("_p._lines").alias("text"),
-                      tx.slice_spans(F.col("spans"), F.col("_p._from"),
-                                     F.col("_p._from") + F.length("_p._lines")).alias("spans"))
+    staged = docs.select("doc_id", tx.normalize_spans(F.col("spans")).alias("_norm"))
+    staged = staged.select("doc_id", tx.style_ranges(F.col("_norm")).alias("_styles"),
+                           tx.spans_text(F.col("_norm")).alias("_text")).where(F.col("_text") != "")
+    logical = staged.withColumn("_lines", F.split("_text", "\n"))
+    starts = tx.running_starts(F.transform("_lines", lambda s: F.length(s) + 1))
+    rows = logical.withColumn("_starts", starts).select(
+        "doc_id", "_styles", F.posexplode(F.arrays_zip("_lines", "_starts")).alias("line_ord", "_z"))
+    rows = rows.withColumn("_wrapped", _wrap_line(F.col("_z._lines"), max_width, measure or em_width(size_pt)))
+    rows = rows.withColumn("_at", tx.running_starts(F.transform("_wrapped", lambda s: F.length(s))))
+    out = rows.select("doc_id", "_styles", "line_ord", F.col("_z._starts").alias("_start"),
+                      F.posexplode(F.arrays_zip("_wrapped", "_at")).alias("wrap_ord", "_p"))
+    return out.select("doc_id", "line_ord", "wrap_ord", F.col("_p._wrapped").alias("text"),
+                      tx.style_piece(F.col("_p._wrapped"), F.col("_start") + F.col("_p._at"), F.col("_styles")).alias("spans"))

@@ -29,14 +29,11 @@ def bullet_spans(docs: DataFrame) -> DataFrame:
     text = tx.unix_newlines(F.col("text"))
     staged = docs.select("doc_id", text.alias("text"),
                          tx.effective_spans(text, F.lit(False), F.lit(False), F.col("spans")).alias("spans"))
-    staged = staged.withColumn("_lines", F.split("text", "\n"))
-    staged = staged.withColumn("_from", F.transform("_lines", lambda s, i: F.aggregate(
-        F.slice("_lines", F.lit(1), i), F.lit(0), lambda a, t: a + F.length(t) + 1)))
-    rows = staged.select("doc_id", "spans", F.posexplode(F.arrays_zip("_lines", "_from")).alias("line_ord", "_l"))
+    staged = staged.withColumn("_styles", tx.style_ranges(F.col("spans"))).withColumn("_lines", F.split("text", "\n"))
+    staged = staged.withColumn("_from", tx.running_starts(F.transform("_lines", lambda s: F.length(s) + 1)))
+    rows = staged.select("doc_id", "_styles", F.posexplode(F.arrays_zip("_lines", "_from")).alias("line_ord", "_l"))
     body = F.regexp_replace("_l._lines", f"^{tx.WS}*•{tx.WS}?", "")
-    rows = (rows.withColumn("_body", body).withColumn("item", tx.utrim(F.col("_body"))).where("item <> ''"))
-    lead = F.length(F.col("_l._lines")) - F.length(F.ltrim(F.col("_body"), F.lit(tx.WS_CHARS)))
-    start = F.col("_l._from") + lead
-    rows = rows.withColumn("_start", start)
+    rows = rows.withColumn("_body", body).withColumn("item", tx.utrim(F.col("_body"))).where("item <> ''")
+    skipped = F.length("_l._lines") - F.length(F.ltrim(F.col("_body"), F.lit(tx.WS_CHARS)))
     return rows.select("doc_id", "line_ord", "item",
-                       tx.slice_spans(F.col("spans"), F.col("_start"), F.col("_start") + F.length("item")).alias("spans"))
+                       tx.style_piece(F.col("item"), F.col("_l._from") + skipped, F.col("_styles")).alias("spans"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pageloom.functions import text as tx
@@ -67,23 +68,22 @@ def runs_from_text(documents: DataFrame, words_per_row: int = 12, rows_per_page:
                      .repartition(expansion_partitions(documents), "doc_id").withColumn("_words", words))
     last_row = F.greatest(F.floor((F.size("_words") - 1) / words_per_row).cast("int"), F.lit(0))
 
-    def lay_row(r: Column) -> Column:
-        row = F.slice("_words", r * words_per_row + 1, F.lit(words_per_row))
-        steps = F.transform(row, lambda s, j: F.length(s) * glyph + gap(r.cast("long") * words_per_row + j))
-        return F.struct(row.alias("words"), steps.alias("steps"))
-
-    rows = docs.select("doc_id", "_font", F.posexplode(F.transform(F.sequence(F.lit(0), last_row), lay_row)).alias("_row", "_w"))
-    placed = F.transform(F.col("_w.words"), lambda s, j: F.struct(s.alias("word"), F.aggregate(
-        F.slice("_w.steps", F.lit(1), j), F.lit(left), lambda a, v: a + v).alias("x")))
-    runs = rows.select("doc_id", "_font", "_row", F.posexplode(placed).alias("_j", "_z"))
+    rows = docs.select("doc_id", "_font", F.posexplode(F.transform(
+        F.sequence(F.lit(0), last_row),
+        lambda r: F.slice("_words", r * words_per_row + 1, F.lit(words_per_row)))).alias("_row", "_w"))
+    runs = rows.select("doc_id", "_font", "_row", F.posexplode("_w").alias("_j", "_word"))
     index = lambda j: F.col("_row").cast("long") * words_per_row + j
+    # The window's key starts with doc_id, so the rows stay where they are.
+    before = W.partitionBy("doc_id", "_row").orderBy("_j").rowsBetween(W.unboundedPreceding, -1)
+    advance = F.sum(F.length("_word") * glyph + gap(index(F.col("_j")))).over(before)
+    runs = runs.withColumn("_x", F.coalesce(advance, F.lit(0.0)) + left)
     i, r = index(F.col("_j")), F.col("_row") % rows_per_page
     runs = runs.withColumn("_r", r).withColumn("run_ord", i)
     y = F.lit(top) - F.col("_r") * leading - drop(F.col("_r")) + lift(F.col("run_ord"))
     return runs.select(
         "doc_id", F.floor(F.col("_row") / rows_per_page).cast("int").alias("page_index"), "run_ord",
-        F.col("_z.word").alias("text"),
-        (F.col("_z.x") + shift(F.col("run_ord"))).alias("x"), y.alias("y"),
-        (F.length("_z.word") * glyph).alias("w"), F.lit(size).alias("h"),
+        F.col("_word").alias("text"),
+        (F.col("_x") + shift(F.col("run_ord"))).alias("x"), y.alias("y"),
+        (F.length("_word") * glyph).alias("w"), F.lit(size).alias("h"),
         style_struct(F.col("_font"), F.lit(size), bold(F.col("_r")) | tx.font_bold(F.col("_font")),
                      tx.font_italic(F.col("_font"))).alias("style"))
