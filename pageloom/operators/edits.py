@@ -137,8 +137,18 @@ def replay_history(events: DataFrame, limit: int = HISTORY_LIMIT) -> DataFrame:
 # --- reading an edit table ------------------------------------------------------
 
 def paint_order(edits: DataFrame, position: str = "log_pos") -> DataFrame:
-    """Adds ``paint_ord``: z order within the page, log order on ties."""
-    return edits.withColumn("paint_ord", F.row_number().over(W.partitionBy(*PAGE).orderBy("z", position)))
+    """Adds ``paint_ord``: z order within the page, log order on ties.
+
+    The position is the number of edits at lower z plus the rank among equal z, so
+    a page is ranked in one part per z and only its counts come together.
+    """
+    level = [*PAGE, "z"]
+    counts = edits.groupBy(*level).agg(F.count(F.lit(1)).alias("_n"))
+    below = F.sum("_n").over(W.partitionBy(*PAGE).orderBy("z").rowsBetween(W.unboundedPreceding, -1))
+    starts = counts.select(*level, F.coalesce(below, F.lit(0)).alias("_below"))
+    rank = F.row_number().over(W.partitionBy(*level).orderBy(position))
+    return (edits.withColumn("_rank", rank).join(starts, level)
+                 .withColumn("paint_ord", F.col("_below") + F.col("_rank")).drop("_rank", "_below"))
 
 
 def validate_edits(edits: DataFrame, pages: DataFrame) -> DataFrame:

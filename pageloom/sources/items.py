@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pageloom.functions import text as tx
 from pageloom.functions.geometry import affine_apply, bbox
+from pageloom.plans.sizing import expansion_partitions
 
 
 def style_struct(font_name: Column, size: Column, bold: Column, italic: Column) -> Column:
@@ -18,15 +19,6 @@ def style_struct(font_name: Column, size: Column, bold: Column, italic: Column)
                     bold.alias("bold"), italic.alias("italic"), black.alias("color"))
 
 
-def expansion_partitions(df: DataFrame) -> int:
-    """Partition count for rows that are about to be expanded.
-
-    A fixed count keeps adaptive execution from merging partitions by their small
-    size before the expansion.
-    """
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def runs_from_items(items: DataFrame) -> DataFrame:
     """Runs from ``(doc_id, page_index, item_ord, text, matrix, width, height, font_name)``.
 

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from pageloom.plans.stage import checkpoint_dir
+from pageloom.session import SETTINGS
 
 
 def run_available(stream: DataFrame, mode: str = "update", timeout_s: int = 600) -> DataFrame:
@@ -21,6 +22,10 @@ def run_available(stream: DataFrame, mode: str = "update", timeout_s: int = 600)
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
 
+    # Keyed state needs the RocksDB store; a session that never named one still has the default.
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+    spark.conf.set(store, SETTINGS[store])
     query = (stream.writeStream.outputMode(mode).foreachBatch(write)
                    .option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).start())
     try:
@@ -28,4 +33,5 @@ def run_available(stream: DataFrame, mode: str = "update", timeout_s: int = 600)
             raise TimeoutError(f"stream not finished after {timeout_s} s")
     finally:
         query.stop()
+        spark.conf.set(store, before)
     return spark.read.schema(stream.schema).parquet(f"{base}/out")

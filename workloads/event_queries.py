@@ -253,7 +253,7 @@ def replay_history(spark, sf):
 
 
 @query("paint_order", """
-SELECT doc_id, page_index, id, log_pos, CAST(row_number() OVER (PARTITION BY doc_id, page_index ORDER BY z, log_pos) AS INTEGER) AS paint_ord FROM v_edit""")
+SELECT doc_id, page_index, id, log_pos, row_number() OVER (PARTITION BY doc_id, page_index ORDER BY z, log_pos) AS paint_ord FROM v_edit""")
 def paint_order(spark, sf):
     return edits.paint_order(v.edits(spark, sf)).select(*PAGE, "id", "log_pos", "paint_ord")
 

@@ -253,8 +253,10 @@ def requests(spark: SparkSession, sf: str) -> DataFrame:
                .otherwise(base))
     paths = F.array(*[F.lit(p) for p in ("text-to-speech", "speech-to-text", "v1/chat/completions", "other")])
     path = F.element_at(paths, (n % 4 + 1).cast("int"))
+    # The stored time has no zone; it is taken as UTC whatever the session's zone is.
+    instant = F.timestamp_micros(F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"))
     return table(spark, sf, "events").select(
-        n.alias("request_no"), F.date_trunc("second", F.col("ts").cast("timestamp")).alias("ts"),
+        n.alias("request_no"), F.date_trunc("second", instant).alias("ts"),
         F.when(n % 11 == 0, "GET").otherwise("POST").alias("method"), path.alias("path"),
         F.concat(F.lit("https://app.example/api/relay/"), path, F.lit("?k=1")).alias("url"),
         F.when(n % 5 == 0, "https://other.example").when(n % 5 == 1, F.lit(None)).otherwise("https://app.example").alias("origin"),
