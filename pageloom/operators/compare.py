@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pageloom.plans.grid import near_pairs
-
 
 def diff_ratio(expected: DataFrame, actual: DataFrame, group: list[str], keys: list[str],
                values: list[str], threshold: float = 0.1, scale: float = 255.0) -> DataFrame:
@@ -44,10 +43,27 @@ def nearest_within(left: DataFrame, right: DataFrame, on: list[str], left_id: st
     """Nearest right position of each left row within ``threshold``, first on ties.
 
     Left rows without one are absent. The result has ``delta`` (right minus left).
+    Equal right positions are merged first. Positions are cut into buckets one
+    threshold wide and right rows are also put in both neighbours, so each left row
+    only looks at the right row before and after it in its own bucket: no pairs
+    are formed, and a busy key is spread over its buckets.
     """
-    pairs = near_pairs(left.select(*on, left_id, left_pos), right, on, left_pos, right_pos, threshold)
-    delta = F.col(right_pos) - F.col(left_pos)
     keep = [c for c in right.columns if c not in on]
-    return (pairs.groupBy(*on, left_id, left_pos)
-                 .agg(F.min_by(F.struct(*keep, delta.alias("delta")), F.struct(F.abs(delta), F.col(right_ord))).alias("_n"))
-                 .select(*on, left_id, left_pos, "_n.*"))
+    unique = right.groupBy(*on, F.col(right_pos).alias("_pos")).agg(
+        F.min_by(F.struct(*keep), right_ord).alias("_right"))
+    bucket = lambda c: F.floor(F.col(c) / threshold)
+    spread = unique.withColumn("_b", F.explode(F.array(*[bucket("_pos") + d for d in (-1, 0, 1)])))
+    rows = left.select(*on, F.col(left_pos).alias("_pos"), bucket(left_pos).alias("_b"), F.struct(left_id, left_pos).alias("_left"))
+    both = rows.unionByName(spread, allowMissingColumns=True)
+    # At one position the right row sorts first in both directions.
+    left_last = F.col("_left").isNotNull()
+    up = W.partitionBy(*on, "_b").orderBy(F.col("_pos"), left_last)
+    down = W.partitionBy(*on, "_b").orderBy(F.col("_pos").desc(), left_last)
+    seen = F.last("_right", ignorenulls=True)
+    near = both.withColumn("_lo", seen.over(up)).withColumn("_hi", seen.over(down)).where(left_last)
+    gap = lambda c: F.abs(F.col(c)[right_pos] - F.col("_pos"))
+    rank = lambda c: F.when(gap(c) <= threshold, F.struct(gap(c).alias("d"), F.col(c)[right_ord].alias("o"), F.col(c).alias("r")))
+    picked = near.withColumn("_n", F.array_min(F.filter(F.array(rank("_lo"), rank("_hi")), lambda r: r.isNotNull())))
+    return (picked.where(F.col("_n").isNotNull())
+                  .select(*on, f"_left.{left_id}", f"_left.{left_pos}", "_n.r.*",
+                          (F.col("_n.r")[right_pos] - F.col("_pos")).alias("delta")))

@@ -42,26 +42,29 @@ def dedupe_regions(regions: DataFrame) -> DataFrame:
     """Drop regions equal within 0.01 to an earlier kept one of the same page.
 
     Exact copies are merged map-side first. The rest are compared only inside
-    stretches of left edges that chain within the tolerance.
+    stretches of left edges, then of lower edges, that chain within the tolerance.
     """
     unique = regions.groupBy(*PAGE, "x", "y", "w", "h").agg(F.min("region_id").alias("region_id"))
     by_x = W.partitionBy(*PAGE).orderBy("x")
     apart = F.coalesce(F.col("x") - F.lag("x").over(by_x) > EPS, F.lit(True)).cast("int")
-    chained = unique.withColumn("_a", apart).withColumn("_g", F.sum("_a").over(by_x)).drop("_a")
+    chained = unique.withColumn("_a", apart).withColumn("_gx", F.sum("_a").over(by_x))
+    by_y = W.partitionBy(*PAGE, "_gx").orderBy("y")
+    apart = F.coalesce(F.col("y") - F.lag("y").over(by_y) > EPS, F.lit(True)).cast("int")
+    chained = chained.withColumn("_a", apart).withColumn("_gy", F.sum("_a").over(by_y)).drop("_a")
 
     def keep(kept: dict, row: tuple) -> tuple:
-        cell = tuple(int(v // 1) for v in row)
-        around = [()]
-        for c in cell:
-            around = [a + (c + d,) for a in around for d in (-1, 0, 1)]
-        for a in around:
-            for other in kept.get(a, ()):
+        # A kept rectangle within the tolerance is in the unit cell of v - EPS or of v + EPS.
+        near = [()]
+        for v in row:
+            near = [n + (c,) for n in near for c in {(v - EPS) // 1, (v + EPS) // 1}]
+        for cell in near:
+            for other in kept.get(cell, ()):
                 if all(abs(p - q) <= EPS for p, q in zip(row, other)):
                     return (False,)
-        kept.setdefault(cell, []).append(row)
+        kept.setdefault(tuple(v // 1 for v in row), []).append(row)
         return (True,)
 
-    folded = fold_columns(chained, [*PAGE, "_g"], ["region_id"], ["x", "y", "w", "h"], dict, keep,
+    folded = fold_columns(chained, [*PAGE, "_gx", "_gy"], ["region_id"], ["x", "y", "w", "h"], dict, keep,
                           T.StructType([T.StructField("_keep", T.BooleanType())]))
     return folded.where("_keep").select(*PAGE, "region_id", "x", "y", "w", "h")
 

@@ -51,15 +51,3 @@ def grid_pairs(left: DataFrame, right: DataFrame, keys: list[str], left_rect: Re
         on = on & condition
     return ldf.join(rdf, on).drop("_cx", "_cy", "_rcx", "_rcy", *renamed.values())
 
-
-def near_pairs(left: DataFrame, right: DataFrame, keys: list[str], left_pos: str, right_pos: str,
-               reach: float) -> DataFrame:
-    """Pairs with equal ``keys`` whose positions differ by at most ``reach``.
-
-    The left row is copied to three buckets of width ``reach``; the right row keeps
-    its own, so each pair meets once.
-    """
-    ldf = left.withColumn("_b", F.explode(F.array(*[F.floor(F.col(left_pos) / reach) + d for d in (-1, 0, 1)])))
-    rdf = right.withColumn("_b", F.floor(F.col(right_pos) / reach))
-    return (ldf.join(rdf, [*keys, "_b"])
-               .where(F.abs(F.col(left_pos) - F.col(right_pos)) <= reach).drop("_b"))

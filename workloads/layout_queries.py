@@ -269,7 +269,7 @@ def marker_candidates(spark, sf):
 
 def _markers(spark, sf):
     lines = staged(v.block_lines(spark, sf))
-    return lines, bullets.bullet_markers(lines, v.regions(spark, sf))
+    return lines, staged(bullets.bullet_markers(lines, v.regions(spark, sf)))
 
 
 @query("bullet_markers", "SELECT doc_id, page_index, CAST(line_ord AS INTEGER) AS line_ord, region_id FROM v_marker")
@@ -319,7 +319,7 @@ SELECT doc_id, page_index, CAST(block_ord AS BIGINT) AS block_ord, string_agg(te
 FROM v_item_line JOIN v_list USING (doc_id, page_index, block_ord) WHERE item_ord = 0 GROUP BY ALL""".replace("text, chr", "v_item_line.text, chr"))
 def list_headings(spark, sf):
     lines, marks = _markers(spark, sf)
-    lists = bullets.bullet_lists(lines, layout.blocks(lines), marks)
+    lists = staged(bullets.bullet_lists(lines, layout.blocks(lines), marks))
     return bullets.heading_blocks(lines, marks, lists).select(*PAGE, "block_ord", "text", "n_lines")
 
 
@@ -328,8 +328,8 @@ SELECT doc_id, page_index, CAST(block_ord AS BIGINT) AS block_ord, l.n_items IS
 FROM v_block LEFT JOIN (SELECT doc_id, page_index, block_ord, n_items FROM v_list) l USING (doc_id, page_index, block_ord)""")
 def owned_blocks(spark, sf):
     lines, marks = _markers(spark, sf)
-    rows = layout.blocks(lines)
-    lists = bullets.bullet_lists(lines, rows, marks)
+    rows = staged(layout.blocks(lines))
+    lists = staged(bullets.bullet_lists(lines, rows, marks))
     part = lambda owned: bullets.owned_blocks(rows, lists, owned).select(*PAGE, "block_ord", F.lit(owned).alias("owned"))
     return part(True).unionByName(part(False))
 
@@ -343,8 +343,9 @@ FROM v_list l LEFT JOIN v_block n ON n.doc_id = l.doc_id AND n.page_index = l.pa
 QUALIFY row_number() OVER (PARTITION BY l.doc_id, l.page_index, l.block_ord ORDER BY n.y + n.h DESC NULLS LAST, n.block_ord) = 1""")
 def next_block_below(spark, sf):
     lines, marks = _markers(spark, sf)
-    rows = layout.blocks(lines)
-    return layout.next_block_below(bullets.bullet_lists(lines, rows, marks), rows).select(
+    rows = staged(layout.blocks(lines))
+    lists = staged(bullets.bullet_lists(lines, rows, marks))
+    return layout.next_block_below(lists, rows).select(
         *PAGE, "block_ord", "next_block_ord", F.round("available_height_pt", 6).alias("available_height_pt"))
 
 
