@@ -231,3 +231,13 @@ def test_nearest_takes_first_on_ties(spark):
     right = spark.createDataFrame([(1, 8.0), (2, 12.0), (3, 17.0)], "ord long, b double").withColumn("k", F.lit(1))
     got = compare.nearest_within(left, right, ["k"], "id", "a", "b", "ord", 6.0).collect()
     assert [(r.id, r.ord, r.delta) for r in got] == [(1, 1, -2.0)]
+
+
+def test_repeated_answers_are_dropped_in_a_stream(spark, tmp_path):
+    from pageloom.streaming import logs
+    rows = [(1, 7, 0), (1, 7, 5), (1, 8, 9), (2, 7, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, request_id long, s int").withColumn("ts", F.timestamp_seconds("s"))
+    df.coalesce(1).write.parquet(str(tmp_path / "answers"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "answers"))
+    got = run_available(logs.latest_wins_stream(stream), mode="append").collect()
+    assert sorted((r.doc_id, r.request_id) for r in got) == [(1, 7), (1, 8), (2, 7)]

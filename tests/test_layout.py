@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pageloom.operators import bullets, doctext, layout, regions
-from pageloom.schemas import PAGE, REGION, RUN
+from pageloom.schemas import REGION, RUN
 
 STYLE = ("Helvetica", 10.0, False, False, (0.0, 0.0, 0.0))
 
