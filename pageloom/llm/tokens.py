@@ -1,14 +1,14 @@
 """Encoding whole texts with a public tokenizer, with a memory of the pieces seen.
 
 A space before a character that isn't white space always starts a new pre-token of a
-byte-level tokenizer, so a text falls into pieces that encode on their own. A worker
-remembers the ids of short pieces; unseen ones are encoded together by the library.
+byte-level tokenizer, and so does a line break between two such characters. A text thus
+falls into pieces that encode on their own; each worker remembers the ids of short ones.
 """
 
 from __future__ import annotations
 
-import bisect
 import re
+from array import array
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
@@ -20,13 +20,44 @@ from pyspark.sql import types as T
 from pageloom.llm.common import kept_in_worker, slices
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
-#: A worker forgets its pieces beyond this many; longer pieces are not remembered.
-REMEMBERED, LONGEST = 1_200_000, 64
-_SPACE_RUN, _CUT = re.compile(r" \s"), re.compile(r" (?=\S)")
+#: A generation of remembered pieces; a worker keeps this one and the last. Longer pieces are not remembered.
+REMEMBERED, LONGEST = 700_000, 64
+_WHITE_RUN, _CUT = re.compile(r"\s\s"), re.compile(r" (?=\S)")
+_TAIL = ".,;:!?"
+#: A byte-level vocabulary writes a space like this.
+_SPACE = "\u0120"
+
+
+class _Pieces(dict):
+    """Ids of a piece with a space before it, or of a piece that starts with its line break."""
+
+    def __init__(self, whole, merge):
+        self.whole, self.merge, self.older, self.tails = whole, merge, {}, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            word = piece.rstrip(_TAIL)
+            # A run of letters and the marks after it are pre-tokens of their own.
+            if word != piece and word.isalpha():
+                tail = piece[len(word):]
+                if tail not in self.tails and len(tail) <= 2:
+                    self.tails[tail] = self.whole(tail)
+                ids = self[word] + (self.tails.get(tail) or self.whole(tail))
+            elif piece.isascii() and piece.isalpha():  # one pre-token, and ASCII letters stand for themselves
+                ids = self.merge(piece)
+            else:
+                ids = self.whole(piece if piece[:1] == "\n" else " " + piece)
+        if len(piece) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = ids
+        return ids
 
 
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit (or 16-bit, if the vocabulary allows) bytes."""
+    """Ids of texts as little-endian unsigned integers, of 16 bits if the vocabulary allows, else of 32."""
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
@@ -34,40 +65,28 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(spec)
         self.size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
-        self.known: dict[str, bytes] = {}
+        self.kind = "H" if self.dtype.itemsize == 2 else "I"
+        self.known = _Pieces(self.whole, self._merge)
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of unseen pieces, each with a space before it, from one joined text."""
-        ends, at = [], 0
-        for p in pieces:
-            at += len(p) + 1
-            ends.append(at)
-        encoding = self.tokenizer.encode("".join([" " + p for p in pieces]), add_special_tokens=False)
-        ids = np.array(encoding.ids, self.dtype)
-        starts = [a for a, _ in encoding.offsets]
-        out, left = {}, 0
-        for p, end in zip(pieces, ends):
-            right = bisect.bisect_left(starts, end, left)
-            out[p] = ids[left:right].tobytes()
-            left = right
-        return out
+        return array(self.kind, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _merge(self, word: str) -> bytes:
+        return array(self.kind, [t.id for t in self.tokenizer.model.tokenize(_SPACE + word)]).tobytes()
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
-        split = [[] if not x else _CUT.split(x) if _SPACE_RUN.search(x) else x.split(" ") for x in texts]
-        split = [_CUT.split(x) if p and p[-1] == "" and len(p) > 1 else p for p, x in zip(split, texts)]
-        unseen = set().union(*(p[1:] for p in split)) - self.known.keys()
-        if len(self.known) + len(unseen) > REMEMBERED:
-            self.known.clear()
-            unseen = set().union(*(p[1:] for p in split))
-        learnt = self._learn(sorted(unseen)) if unseen else {}
-        self.known.update((p, b) for p, b in learnt.items() if len(p) <= LONGEST)
-        look = self.known.__getitem__
-        if any(len(p) > LONGEST for p in learnt):
-            look = lambda p: learnt[p] if p in learnt else self.known[p]
-        return [b"".join([self.whole(p[0]), *map(look, p[1:])]) if p else b"" for p in split]
+        out, look = [], self.known.__getitem__
+        for text in texts:
+            if not text:
+                out.append(b"")
+                continue
+            if _WHITE_RUN.search(text) or text[-1:].isspace():  # only spaces before other characters cut here
+                pieces = _CUT.split(text)
+            else:
+                pieces = text.replace("\n", " \n").split(" ")
+            first = pieces[0]
+            out.append(b"".join([self.whole(first) if first else b"", *map(look, pieces[1:])]))
+        return out
 
 
 def shipped(docs: DataFrame, vocabulary: str):
