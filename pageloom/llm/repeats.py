@@ -28,7 +28,7 @@ from pageloom.llm.common import STEP, covered, fresh, grams, mixed, slices, word
 
 WIDTH, ANCHOR = 13, 5
 #: Bytes of text that a task settles at a time.
-BATCH_BYTES = 24 << 20
+BATCH_BYTES = 8 << 20
 #: Per partition, a batch's windows: runs of neighbours, the documents they are in, and the hashes. Without
 #: ``hashes``, the starts of windows of one document that are settled already.
 SENT = "part int, doc_id long, text_hash long, starts binary, docs binary, hashes binary"
