@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import dac, mixing, quality, repeats, urls
+from pageloom.llm import dac, minhash, mixing, quality, repeats, urls
 from pageloom.llm.common import staged_table
 from pageloom.plans.stage import checkpoint_dir
 
@@ -96,3 +96,9 @@ def op9_weak_quality(spark, sf_dir):
 def op10_seed_extend(spark, sf_dir):
     kept = repeats.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_words", 256).alias("kept_sha256"))
+
+
+@query("op8_bayes_minhash")
+def op8_bayes_minhash(spark, sf_dir):
+    classes = minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+    return classes.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
