@@ -24,30 +24,29 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 REMEMBERED, LONGEST = 700_000, 64
 _WHITE_RUN, _CUT = re.compile(r"\s\s"), re.compile(r" (?=\S)")
 _TAIL = ".,;:!?"
-#: A byte-level vocabulary writes a space like this.
-_SPACE = "\u0120"
+#: A byte-level vocabulary shows a byte that isn't a visible Latin-1 character as one of the characters from 256 on.
+_HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
+_SHOWN = {b: 256 + k for k, b in enumerate(_HIDDEN)}
 
 
 class _Pieces(dict):
     """Ids of a piece with a space before it, or of a piece that starts with its line break."""
 
     def __init__(self, whole, merge):
-        self.whole, self.merge, self.older, self.tails = whole, merge, {}, {}
+        self.whole, self.merge, self.older, self.marks = whole, merge, {}, {}
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.older.get(piece)
         if ids is None:
             word = piece.rstrip(_TAIL)
-            # A run of letters and the marks after it are pre-tokens of their own.
-            if word != piece and word.isalpha():
-                tail = piece[len(word):]
-                if tail not in self.tails and len(tail) <= 2:
-                    self.tails[tail] = self.whole(tail)
-                ids = self[word] + (self.tails.get(tail) or self.whole(tail))
-            elif piece.isascii() and piece.isalpha():  # one pre-token, and ASCII letters stand for themselves
-                ids = self.merge(piece)
+            tail, broken = piece[len(word):], word[:1] == "\n"
+            letters = word[broken:]
+            # Letters, the marks after them and a line break before them are pre-tokens of their own.
+            if letters.isalpha() and len(tail) < 3:
+                ids = self.mark("\n") + self.merge(letters) if broken else self.merge(" " + letters)
+                ids += self.mark(tail)
             else:
-                ids = self.whole(piece if piece[:1] == "\n" else " " + piece)
+                ids = self.whole(piece if broken else " " + piece)
         if len(piece) <= LONGEST:
             if len(self) >= REMEMBERED:
                 self.older = dict(self)
@@ -55,6 +54,11 @@ class _Pieces(dict):
             self[piece] = ids
         return ids
 
+    def mark(self, text: str) -> bytes:
+        if text not in self.marks:
+            self.marks[text] = self.whole(text) if text else b""
+        return self.marks[text]
+
 
 class Encoder:
     """Ids of texts as little-endian unsigned integers, of 16 bits if the vocabulary allows, else of 32."""
@@ -72,7 +76,9 @@ class Encoder:
         return array(self.kind, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _merge(self, word: str) -> bytes:
-        return array(self.kind, [t.id for t in self.tokenizer.model.tokenize(_SPACE + word)]).tobytes()
+        """Ids of one pre-token."""
+        shown = word.encode().decode("latin-1").translate(_SHOWN)
+        return array(self.kind, [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         out, look = [], self.known.__getitem__
