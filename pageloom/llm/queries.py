@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import dac, minhash, mixing, quality, repeats, urls
+from pageloom.llm import dac, leaks, minhash, mixing, quality, repeats, urls
 from pageloom.llm.common import staged_table
 from pageloom.plans.stage import checkpoint_dir
 
@@ -29,6 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op3_seed_align")
+def op3_seed_align(spark, sf_dir):
+    return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op4_mixing")
 def op4_mixing(spark, sf_dir):
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
