@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import dac, leaks, minhash, mixing, quality, repeats, urls
+from pageloom.llm import dac, leaks, lengths, lines, minhash, mixing, quality, repeats, toxicity, urls
 from pageloom.llm.common import staged_table
 from pageloom.plans.stage import checkpoint_dir
 
@@ -29,6 +29,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_toxic_segments")
+def op1_toxic_segments(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+                         (F.col("score") >= 0.3).cast("int").alias("predicted"), "evidence")
+
+
+@query("op2_length_histogram")
+def op2_length_histogram(spark, sf_dir):
+    return lengths.suffix_sums(lengths.histogram(table(spark, sf_dir, "documents")))
+
+
 @query("op3_seed_align")
 def op3_seed_align(spark, sf_dir):
     return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -78,6 +91,11 @@ SELECT page_id, host, path, rule, CASE rule {verdict} ELSE
 FROM ruled"""
 
 
+@query("op6_line_join")
+def op6_line_join(spark, sf_dir):
+    return lines.repeated_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "n_links")
+
+
 @query("op7_url_vocabulary", _urls_sql())
 def op7_url_vocabulary(spark, sf_dir):
     judged = urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
