@@ -23,14 +23,16 @@ from dataclasses import asdict, dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pageloom.llm.common import kept_in_worker, slices, staged_table
+from pageloom.llm.common import grams, kept_in_worker, mixed, slices, staged_table, word_hasher
 
 WORD = re.compile(r"\w+")
-PREFIX = 5
-#: Cost of a token without a score; bounds of a score; how many standard errors make it certain.
-DRIFT, HIGHEST, CERTAIN = 0.25, 6.0, 3.0
+#: Lengths of the prefixes that stand for unseen words; the longest one with a score counts.
+PREFIXES = (5, 6, 7)
+#: Cost of a token without a score; highest score; how many standard errors make a score certain among very many words.
+DRIFT, HIGHEST, CERTAIN = 0.25, 6.0, 5.0
 #: Documents' worth of the priors of a prefix and of a word.
 PRIOR_PREFIX, PRIOR_WORD = 10.0, 2.0
 #: Bounds of the classifier: labelled rows that it is fitted on, and scored tokens and prefixes it keeps.
@@ -83,7 +85,7 @@ class _Scores(dict):
     def __missing__(self, word: str) -> float:
         s = self.features.get(word)
         if s is None:
-            s = self.features.get("^" + word[:PREFIX], 0.0) if len(word) > PREFIX else 0.0
+            s = next((self.features[f"^{word[:k]}"] for k in PREFIXES[::-1] if len(word) > k and f"^{word[:k]}" in self.features), 0.0)
         if len(self) >= 600_000:
             self.clear()
         if len(word) <= 64:
@@ -118,7 +120,12 @@ class Model:
 
 
 def _training(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, max_rows: int) -> DataFrame:
-    """``text, toxic, fold`` of the labelled rows that may be learnt from; at most about ``max_rows``, copies once."""
+    """``text, toxic, fold`` of the labelled rows that may be learnt from; at most about ``max_rows``.
+
+    Copies and most near copies count once, for they say nothing new about a word: a row
+    stays if no other of its class with the same least 5-word gram, by any of three
+    hashes, comes before it.
+    """
     marks = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull() & ~held_out(F.col(doc_id)))
     marks = marks.groupBy(F.col(doc_id).alias("_id")).agg(F.max(F.col(label).cast("int")).alias("toxic"))
     n = marks.count()
@@ -128,7 +135,24 @@ def _training(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label:
     rows = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("text")).join(F.broadcast(marks), F.col("_doc") == F.col("_id"))
     fold = F.when(F.crc32(F.col("_doc").cast("string")) % 4 == 3, 1).otherwise(0)
     rows = rows.where(F.col("text").isNotNull()).select("text", "toxic", fold.alias("fold"), F.xxhash64("text").alias("h"))
-    return rows.groupBy("h", "toxic").agg(F.first("text").alias("text"), F.min("fold").alias("fold")).drop("h")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        hasher, salts = word_hasher(), [np.uint64(x) for x in (0, 0x5555555555555555, 0x3333333333333333)]
+        for batch in slices(batches, "text", 4 << 20):
+            least = []
+            for value in batch.column("text").to_pylist():
+                h = hasher(value.lower().encode().split())
+                g = grams(h, min(5, len(h))) if len(h) else np.zeros(1, np.uint64)
+                least.append([int(mixed(g ^ s).min().astype(np.int64)) for s in salts])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.list_(pa.int64()))], names=[*batch.schema.names, "least"])
+
+    rows = staged_table(rows.mapInArrow(run, "text string, toxic int, fold int, h long, least array<long>"), "toxicity-sample")
+    place = F.struct("h", "fold")
+    narrow = rows.select("h", "toxic", "fold", "least").withColumn("place", place)
+    for k in range(3):
+        narrow = narrow.withColumn(f"first{k}", F.min("place").over(W.partitionBy("toxic", F.col("least")[k])))
+    kept = narrow.where(" and ".join(f"place = first{k}" for k in range(3))).select("h", "toxic", "fold").distinct()
+    return rows.join(kept, ["h", "toxic", "fold"], "left_semi").groupBy("h", "toxic", "fold").agg(F.first("text").alias("text")).drop("h")
 
 
 def _document_counts(rows: DataFrame) -> DataFrame:
@@ -140,7 +164,7 @@ def _document_counts(rows: DataFrame) -> DataFrame:
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
                 words = set(words_of(text))
                 n[toxic != 0].update(words)
-                n[toxic != 0].update({"^" + w[:PREFIX] for w in words if len(w) > PREFIX})
+                n[toxic != 0].update({f"^{w[:k]}" for w in words for k in PREFIXES if len(w) > k})
             names = [*(n[0].keys() | n[1].keys())]
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([n[1][x] for x in names], pa.int64()),
                                               pa.array([n[0][x] for x in names], pa.int64())], names=["feature", "n1", "n0"])
@@ -155,15 +179,15 @@ def log_odds(counts: DataFrame, toxic: int, clean: int, max_features: int) -> di
     n1, n0 = F.col("n1"), F.col("n0")
     odds = lambda q: F.log(q / (1 - q)) - math.log(share / (1 - share))
     prefix = counts.where("feature like '^%'").withColumn("q", (n1 + PRIOR_PREFIX * share) / (n1 + n0 + PRIOR_PREFIX))
-    words = counts.where("feature not like '^%'").withColumn("p", F.concat(F.lit("^"), F.substring("feature", 1, PREFIX)))
+    words = counts.where("feature not like '^%'").withColumn("p", F.concat(F.lit("^"), F.substring("feature", 1, PREFIXES[0])))
     words = words.join(prefix.select(F.col("feature").alias("p"), F.col("q").alias("pq")), "p", "left")
     prior = F.coalesce("pq", F.lit(share))
     words = words.withColumn("q", (n1 + PRIOR_WORD * prior) / (n1 + n0 + PRIOR_WORD))
-    both = prefix.select("feature", "q", F.lit(PRIOR_PREFIX).alias("w"), "n1", "n0").union(words.select("feature", "q", F.lit(PRIOR_WORD).alias("w"), "n1", "n0"))
-    error = F.sqrt(1 / (n1 + F.col("w") * F.col("q")) + 1 / (n0 + F.col("w") * (1 - F.col("q"))))
+    both = prefix.select("feature", "q", F.lit(share).alias("p"), F.lit(PRIOR_PREFIX).alias("w"), "n1", "n0").union(
+        words.select("feature", "q", prior.alias("p"), F.lit(PRIOR_WORD).alias("w"), "n1", "n0"))
+    error = F.sqrt(1 / (n1 + F.col("w") * F.col("p")) + 1 / (n0 + F.col("w") * (1 - F.col("p"))))
     both = both.withColumn("s", odds(F.col("q"))).withColumn("z", F.abs("s") / error)
-    # Scores below the drift say no more than a token without a score; they count only where they correct a prefix.
-    kept = both.where((F.col("z") >= CERTAIN) & (F.col("s") > 0) & (n1 >= 3))
+    kept = both.where((F.col("z") >= CERTAIN) & (F.col("s") > 0))
     rows = kept.orderBy(F.col("z").desc(), "feature").limit(max_features).collect()
     return {r["feature"]: min(r["s"], HIGHEST) for r in rows}
 
