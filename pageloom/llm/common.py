@@ -17,7 +17,7 @@ from pageloom.plans.stage import checkpoint_dir
 #: Odd multipliers of the rolling hash and of the final mix.
 STEP, MIX_A, MIX_B = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 #: A worker forgets its remembered words beyond this many; longer words are not remembered.
-REMEMBERED, LONGEST = 600_000, 80
+REMEMBERED, LONGEST = 200_000, 80
 
 
 def staged_table(df: DataFrame, name: str) -> DataFrame:
@@ -98,3 +98,4 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20)
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()  # workers live on between tasks

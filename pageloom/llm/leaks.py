@@ -13,7 +13,6 @@ joins decide. Words are compared in lower case without marks at their ends.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -31,7 +30,6 @@ SHARE, VERBATIM = 0.5, 13
 FILTER_BITS = 1 << 25
 #: Words of an item that are aligned at once; longer items are cut into such parts.
 PART = 256
-_EDGES = re.compile(rb"^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$")
 _MARKS = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
 
 

@@ -28,13 +28,13 @@ from pyspark.sql import functions as F
 from pageloom.llm.common import STEP, fresh, grams, mixed, slices, staged_table, word_hasher
 from pageloom.llm.graph import components
 
-#: 24 bands of 5 hashes miss a pair at similarity 0.85 with a chance of 8e-7; 60 bands of 2 per 5 are not needed.
+#: 24 bands of 5 hashes miss a pair at similarity 0.85 with a chance of 8e-7.
 BANDS, ROWS = 24, 5
 HASHES, BATCH = BANDS * ROWS, 24
 #: Chance at which the Bayesian test may drop a pair that reaches the threshold.
 MISS = 1e-9
 #: Shingles of a block of sets that are compared with another block.
-BLOCK_SHINGLES = 150_000
+BLOCK_SHINGLES = 80_000
 
 
 def _family(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -191,7 +191,7 @@ def _blocks(rows: DataFrame, keys: list[str], block: str) -> DataFrame:
         F.collect_list(F.struct("rep", "comp", "sig", "shingles")).alias("members"))
 
 
-def _linked(pairs: DataFrame, percent: int, hashes: int, within: bool) -> DataFrame:
+def _linked(pairs: DataFrame, percent: int, hashes: int) -> DataFrame:
     """Links between the sets of ``left`` and ``right`` in different components.
 
     A link that joins nothing new within its two blocks is not reported.
@@ -291,14 +291,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     left = _blocks(toward.join(sets, "rep"), ["main"], "l_block")
     inside = labelled.select("rep", "comp").distinct().join(toward.select(F.col("main").alias("comp")).distinct(), "comp", "left_semi")
     right = _blocks(inside.join(sets, "rep").withColumn("main", F.col("comp")), ["main"], "r_block")
-    found = _linked(_block_pairs(left, right, ["main"]), percent, hashes, within=False)
+    found = _linked(_block_pairs(left, right, ["main"]), percent, hashes)
 
     # Stragglers of a bucket against each other, where they are of several components.
     several = straggling.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
     among = straggling.join(several, "key", "left_semi").select("key", "rep", "comp").join(sets, "rep")
     blocks = _blocks(among, ["key"], "l_block")
     pairs = _block_pairs(blocks, blocks.withColumnRenamed("l_block", "r_block"), ["key"]).where("l_block <= r_block")
-    found = found.union(_linked(pairs, percent, hashes, within=True))
+    found = found.union(_linked(pairs, percent, hashes))
 
     final = components(links.union(found))
     labels = classes.select("hi", "lo", "rep").join(final, F.col("rep") == F.col("node"), "left").select(

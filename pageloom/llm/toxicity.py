@@ -86,7 +86,7 @@ class _Scores(dict):
         s = self.features.get(word)
         if s is None:
             s = next((self.features[f"^{word[:k]}"] for k in PREFIXES[::-1] if len(word) > k and f"^{word[:k]}" in self.features), 0.0)
-        if len(self) >= 600_000:
+        if len(self) >= 300_000:
             self.clear()
         if len(word) <= 64:
             self[word] = s
