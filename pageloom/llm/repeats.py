@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pageloom.llm.common import STEP, covered, fresh, grams, mixed, slices, word_hasher
 
@@ -233,7 +234,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def text_hashes(docs: DataFrame, name: str, text: str) -> DataFrame:
     """``docs`` with the 64-bit hash of the text's bytes (null: null), as the anchors carry it."""
-    schema = docs.select("*", F.lit(0).cast("long").alias(name)).schema
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
