@@ -17,7 +17,7 @@ from pageloom.plans.stage import checkpoint_dir
 #: Odd multipliers of the rolling hash and of the final mix.
 STEP, MIX_A, MIX_B = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 #: A worker forgets its remembered words beyond this many; longer words are not remembered.
-REMEMBERED, LONGEST = 200_000, 80
+REMEMBERED, LONGEST = 120_000, 80
 
 
 def staged_table(df: DataFrame, name: str) -> DataFrame:

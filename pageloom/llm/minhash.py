@@ -34,7 +34,7 @@ HASHES, BATCH = BANDS * ROWS, 24
 #: Chance at which the Bayesian test may drop a pair that reaches the threshold.
 MISS = 1e-9
 #: Shingles of a block of sets that are compared with another block.
-BLOCK_SHINGLES = 80_000
+BLOCK_SHINGLES = 40_000
 
 
 def _family(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -120,7 +120,7 @@ def sketches(docs: DataFrame, doc_id: str, text: str, size: int, bands: int, row
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         hasher, family = word_hasher(), _family(bands * rows)
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             made: list[list] = [[], [], [], []]
             for t in batch.column("text").to_pylist():
                 s = shingle_set(t, size, hasher)
@@ -139,7 +139,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, size:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         hasher, family = word_hasher(), _family(hashes)
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             sets = [shingle_set(t, size, hasher) for t in batch.column("text").to_pylist()]
             keep = np.array([len(s) > 0 for s in sets])
             sets = [s for s in sets if len(s)]
@@ -162,7 +162,7 @@ def verified_pairs(pairs: DataFrame, sets: DataFrame, percent: int, hashes: int)
     needed = _tests(percent, hashes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        for batch in slices(batches, "b_shingles", 4 << 20):
+        for batch in slices(batches, "b_shingles", 2 << 20):
             col = {c: batch.column(c).to_pylist() for c in batch.schema.names}
             a, b = (np.stack([np.frombuffer(x, np.uint32) for x in col[c]]) for c in ("a_sig", "b_sig"))
             alive, done, matches = np.ones(len(a), bool), 0, np.zeros(len(a), np.int64)

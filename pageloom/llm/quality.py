@@ -78,7 +78,7 @@ def with_stats(docs: DataFrame, name: str, text: str = "text", keep: list[str] |
     fields = [pa.field(c, pa.int64()) for c in LONGS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        for batch in slices(batches, text, 4 << 20):
+        for batch in slices(batches, text, 2 << 20):
             made = text_stats(batch.column(text).to_pylist())
             stats = pa.StructArray.from_arrays([pa.array(made[c].astype(np.int64)) for c in LONGS], fields=fields)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), stats], names=schema.names)
