@@ -22,10 +22,12 @@ def _unit(comps: Column, count: int) -> Column:
 
 
 def to_rgb(space: Column, comps: Column) -> Column:
-    """Colour struct of ``rgb``, ``gray`` or ``cmyk`` components; null when too few."""
+    """Colour struct of ``rgb``, ``gray`` or ``cmyk`` components; null when too few or when a used one is not a finite number."""
     c3, c1, c4 = _unit(comps, 3), _unit(comps, 1), _unit(comps, 4)
     ink = lambda i: 1 - F.least(F.lit(1.0), c4[i] + c4[3])
-    n = F.size(comps)
+    used = F.slice(comps, F.lit(1), F.when(space == "rgb", 3).when(space == "gray", 1).otherwise(4))
+    odd = F.exists(used, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    n = F.when(odd, 0).otherwise(F.size(comps))
     return (F.when((space == "rgb") & (n >= 3), rgb(F.get(c3, F.lit(0)), F.get(c3, F.lit(1)), F.get(c3, F.lit(2))))
             .when((space == "gray") & (n >= 1), rgb(F.get(c1, F.lit(0)), F.get(c1, F.lit(0)), F.get(c1, F.lit(0))))
             .when((space == "cmyk") & (n >= 4), rgb(ink(0), ink(1), ink(2))))

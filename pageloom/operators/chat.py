@@ -126,10 +126,12 @@ def first_success(attempts: DataFrame, capabilities: DataFrame) -> DataFrame:
             .agg(F.min_by(F.struct("provider", "seq", "ms"), "seq").alias("_w")).select("request_id", "method", "_w.*"))
 
 
-def failover_summary(attempts: DataFrame) -> DataFrame:
+def failover_summary(attempts: DataFrame, requests: DataFrame | None = None) -> DataFrame:
     """Per request: providers tried, errors before the winner, the winner, the final message.
 
     Attempts after the first success never happened in a chain, so they do not count.
+    With ``requests(request_id, method)`` every request has a row, also one that no
+    provider supports.
     """
     won = F.min(F.when(F.col("ok"), F.col("seq")))
     w = W.partitionBy("request_id", "method")
@@ -140,7 +142,11 @@ def failover_summary(attempts: DataFrame) -> DataFrame:
         F.max(F.when(F.col("ok"), F.col("provider"))).alias("winner"),
         F.sum("ms").alias("total_ms"),
         F.expr("listagg(CASE WHEN NOT ok THEN error END, '; ') WITHIN GROUP (ORDER BY seq)").alias("errors"))
+    if requests is not None:
+        asked = requests.select("request_id", "method").distinct()
+        summary = asked.join(summary, ["request_id", "method"], "left").fillna(0, ["n_supported", "n_errors"])
     noun = F.when(F.col("n_supported") == 1, "provider").otherwise("providers")
     failed = F.concat(F.lit("All "), F.col("n_supported").cast("string"), F.lit(" supporting "), noun,
                       F.lit(" failed for "), F.col("method"))
-    return summary.withColumn("message", F.when(F.col("winner").isNull(), failed))
+    nobody = F.concat(F.lit("No configured provider supports "), F.col("method"))
+    return summary.withColumn("message", F.when(F.col("n_supported") == 0, nobody).when(F.col("winner").isNull(), failed))

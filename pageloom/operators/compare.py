@@ -13,7 +13,7 @@ def diff_ratio(expected: DataFrame, actual: DataFrame, group: list[str], keys: l
 
     Rows are matched on ``group + keys`` and differ when a value differs by more
     than ``threshold * scale``. A group whose two sides have different extents
-    (a missing partner on either side) scores 1.
+    (a missing partner on either side) scores 1; one that a side lacks altogether is ``absent``.
     """
     side = lambda df, p: df.select(*group, *keys, *[F.col(v).alias(f"{p}{v}") for v in values], F.lit(1).alias(f"{p}here"))
     both = side(expected, "_e_").join(side(actual, "_a_"), [*group, *keys], "full")
@@ -22,7 +22,9 @@ def diff_ratio(expected: DataFrame, actual: DataFrame, group: list[str], keys: l
         off = off | (F.abs(F.col(f"_e_{v}") - F.col(f"_a_{v}")) > threshold * scale)
     lone = F.col("_e_here").isNull() | F.col("_a_here").isNull()
     counted = both.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count_if(off).alias("n_mismatched"), F.count_if(lone).alias("n_unmatched"))
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(off).alias("n_mismatched"), F.count_if(lone).alias("n_unmatched"),
+        (F.count("_e_here") == 0).alias("n_absent_expected"), (F.count("_a_here") == 0).alias("n_absent_actual"))
+    counted = counted.withColumn("absent", F.col("n_absent_expected") | F.col("n_absent_actual")).drop("n_absent_expected", "n_absent_actual")
     return counted.withColumn("ratio", F.when(F.col("n_unmatched") > 0, 1.0).otherwise(
         F.col("n_mismatched") / F.col("n_rows")))
 
@@ -31,9 +33,11 @@ def scenario_result(ratios: DataFrame, scenario: list[str], tolerance: float = 0
                     scored: Column | None = None) -> DataFrame:
     """Worst scored ratio of each scenario and whether it stays within the tolerance.
 
-    With a page missing on one side (``n_unmatched``) the whole scenario fails with 1.
+    With a page missing on one side (``absent``) the whole scenario fails with 1, whether
+    that page is scored or not.
     """
     counts = F.when(scored, F.col("ratio")).otherwise(0.0) if scored is not None else F.col("ratio")
+    counts = F.when(F.col("absent"), 1.0).otherwise(counts)
     worst = ratios.groupBy(*scenario).agg(F.max(counts).alias("ratio"), F.count(F.lit(1)).alias("n_groups"))
     return worst.withColumn("pass", F.col("ratio") <= tolerance)
 

@@ -25,8 +25,12 @@ def replay_edits(events: DataFrame) -> DataFrame:
     No fold: an added edit survives when it comes after the last reset of its
     document and the last removal of its id, and takes the last later update of
     its id. All three are map-side combined maxima, so a busy document or id is
-    merged before it is shuffled. ``(add_seq, add_ord)`` is the list order.
+    merged before it is shuffled. ``(add_seq, add_ord)`` is the list order. Any other
+    action (undo, redo) stops the job: it needs :func:`replay_history`.
     """
+    other = events.where("action IS NULL OR action NOT IN ('add', 'update', 'remove', 'replace', 'reset')")
+    refused = F.raise_error(F.concat(F.lit("replay_edits has no action "), F.coalesce("action", F.lit("null"))))
+    other = other.where(refused.cast("string").isNotNull())
     resets = events.where("action = 'reset'").groupBy("doc_id").agg(F.max("seq").alias("_reset"))
     gone = (events.where("action IN ('remove', 'replace')")
                   .select("doc_id", "seq", F.explode("ids").alias("_id"))
@@ -43,7 +47,9 @@ def replay_edits(events: DataFrame) -> DataFrame:
                    & (F.col("_gone").isNull() | (F.col("add_seq") > F.col("_gone"))
                       | ((F.col("add_seq") == F.col("_gone")) & (F.col("action") == "replace")))))
     now = F.when(F.col("_up_seq") > F.col("add_seq"), F.col("_up")).otherwise(F.col("_edit"))
-    return live.withColumn("_now", now).select("doc_id", "add_seq", "add_ord", "_now.*")
+    final = live.withColumn("_now", now).select("doc_id", "add_seq", "add_ord", "_now.*")
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in final.schema if f.name not in ("doc_id", "add_seq")]
+    return final.unionByName(other.select("doc_id", F.col("seq").alias("add_seq"), *none))
 
 
 def replace_edits(edits: DataFrame, ids: DataFrame, new: DataFrame) -> DataFrame:

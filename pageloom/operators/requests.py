@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pageloom.functions.text import utrim
+
 # The served paths and the body limit.
 PATHS = ("text-to-speech", "speech-to-text", "v1/chat/completions")
 MAX_BODY = 12_000_000
@@ -14,8 +16,8 @@ PASSED_THROUGH = ("content-type", "content-length")
 
 
 def client_ip(headers: Column) -> Column:
-    direct = F.nullif(F.trim(headers["cf-connecting-ip"]), F.lit(""))
-    via = F.nullif(F.trim(F.substring_index(headers["x-forwarded-for"], ",", 1)), F.lit(""))
+    direct = F.nullif(utrim(headers["cf-connecting-ip"]), F.lit(""))
+    via = F.nullif(utrim(F.substring_index(headers["x-forwarded-for"], ",", 1)), F.lit(""))
     return F.coalesce(direct, via, F.lit("unknown"))
 
 
@@ -30,7 +32,7 @@ def forward_headers(headers: Column, api_key: Column) -> Column:
 
 def parse_origins(text: Column) -> Column:
     """Comma list to array; null when nothing is left."""
-    items = F.filter(F.transform(F.split(text, ","), lambda s: F.trim(s)), lambda s: s != "")
+    items = F.filter(F.transform(F.split(text, ","), lambda s: utrim(s)), lambda s: s != "")
     return F.when(F.size(items) > 0, items)
 
 

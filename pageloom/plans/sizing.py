@@ -8,15 +8,12 @@ EXPANSION_BYTES = 32 << 20
 MOST = 200_000
 
 
-def scan_bytes(df: DataFrame) -> int | None:
-    """Estimated size of a scan; None where the session does not expose plan statistics."""
-    try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:
-        return None
+def scan_bytes(df: DataFrame) -> int:
+    """Estimated size of a scan, from the plan's statistics."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def expansion_partitions(df: DataFrame) -> int:
+def expansion_partitions(df: DataFrame, most: int = MOST) -> int:
     """Partition count for rows that are about to be expanded many-fold.
 
     At least the session's shuffle partitions, and enough to keep each one near
@@ -25,5 +22,4 @@ def expansion_partitions(df: DataFrame) -> int:
     its scan, where the size estimate is sound.
     """
     floor = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = scan_bytes(df)
-    return floor if size is None else min(MOST, max(floor, size // EXPANSION_BYTES))
+    return min(most, max(floor, scan_bytes(df) // EXPANSION_BYTES))

@@ -10,11 +10,12 @@ from pageloom.plans.stage import checkpoint_dir
 from pageloom.session import SETTINGS
 
 
-def run_available(stream: DataFrame, mode: str = "update", timeout_s: int = 600) -> DataFrame:
-    """Process all available input, then read the written batches back.
+def run_available(stream: DataFrame, mode: str = "update") -> DataFrame:
+    """Process all available input, however long it takes, then read the written batches back.
 
     Every micro-batch overwrites its own folder, so a retried batch leaves one
-    copy. Progress and output live under the shared checkpoint folder.
+    copy. Progress and output live under the shared checkpoint folder. Without input the
+    result is empty.
     """
     spark: SparkSession = stream.sparkSession
     base = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
@@ -22,16 +23,15 @@ def run_available(stream: DataFrame, mode: str = "update", timeout_s: int = 600)
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
 
-    # Keyed state needs the RocksDB store; a session that never named one still has the default.
+    # Keyed state needs the RocksDB store; a session that never named one gets it from here on.
     store = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(store)
-    spark.conf.set(store, SETTINGS[store])
+    if spark.conf.get(store) != SETTINGS[store]:
+        spark.conf.set(store, SETTINGS[store])
     query = (stream.writeStream.outputMode(mode).foreachBatch(write)
                    .option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).start())
     try:
-        if not query.awaitTermination(timeout_s):
-            raise TimeoutError(f"stream not finished after {timeout_s} s")
+        query.awaitTermination()
     finally:
         query.stop()
-        spark.conf.set(store, before)
+    spark.createDataFrame([], stream.schema).write.mode("append").parquet(f"{base}/out/batch=-1")
     return spark.read.schema(stream.schema).parquet(f"{base}/out")

@@ -12,6 +12,7 @@ from pageloom.sources import corpus, html, sinks
 from pageloom.streaming import logs, replay
 from pageloom.streaming.run import run_available
 from workloads import views as v
+from workloads.layout_queries import DOC_SQL
 from workloads.registry import query, shared_dir
 from workloads.sql_views import wrap_sql
 
@@ -193,14 +194,17 @@ def _events(spark, sf):
     return v.edit_events(spark, sf).where("action NOT IN ('undo', 'redo')")
 
 
-@query("replay_edits", """
+REPLAY_SQL = """
 SELECT doc_id, add_seq, 0 AS add_ord, e.id, coalesce(u.kind, e.kind) AS kind, coalesce(u.z, e.add_seq) AS z, 't' || coalesce(u.z, e.add_seq) AS text
 FROM (SELECT user_id AS doc_id, event_id AS add_seq, 'e' || (k % 10) AS id, action, ['text', 'cover', 'image', 'line'][CAST(k % 4 AS INTEGER) + 1] AS kind
       FROM v_event WHERE action IN ('add', 'replace')) e
 LEFT JOIN LATERAL (SELECT q.event_id AS z, ['text', 'cover', 'image', 'line'][CAST(q.k % 4 AS INTEGER) + 1] AS kind FROM v_event q
     WHERE q.user_id = e.doc_id AND q.action = 'update' AND 'e' || (q.k % 10) = e.id AND q.event_id > e.add_seq ORDER BY q.event_id DESC LIMIT 1) u ON true
 WHERE NOT EXISTS (SELECT 1 FROM v_event q WHERE q.user_id = e.doc_id AND q.event_id > e.add_seq
-    AND (q.action = 'reset' OR (q.action IN ('remove', 'replace') AND 'e' || (q.k % 10) = e.id)))""")
+    AND (q.action = 'reset' OR (q.action IN ('remove', 'replace') AND 'e' || (q.k % 10) = e.id)))"""
+
+
+@query("replay_edits", REPLAY_SQL)
 def replay_edits(spark, sf):
     return edits.replay_edits(_events(spark, sf)).select("doc_id", "add_seq", "add_ord", "id", "kind", "z", "text")
 
@@ -350,6 +354,20 @@ def export_sink(spark, sf):
     return spark.read.parquet(f"{path}/edits").groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.max("z").alias("top_z"))
 
 
+@query("export_replayed", f"""
+SELECT doc_id, count(*) AS n_edits, max(z) AS top_z, count(*) FILTER (WHERE z % 3 = 1) AS n_warnings FROM ({REPLAY_SQL}) GROUP BY doc_id""")
+def export_replayed(spark, sf):
+    """The replayed edits with a font each and the warnings of mapping it, written and read back."""
+    path = shared_dir(spark, "export")
+    font = F.when(F.col("z") % 3 == 0, "Helvetica").when(F.col("z") % 3 == 1, "Unknown-700").otherwise(F.lit(None))
+    live = edits.replay_edits(_events(spark, sf)).withColumns({"font_name": font, "bold": F.lit(False), "italic": F.lit(False)})
+    mapped = sinks.map_fonts(live)
+    sinks.write_export(mapped.drop("warning"), mapped.where("warning IS NOT NULL").select("doc_id", "id", "warning"), path)
+    kept = spark.read.parquet(f"{path}/edits").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_edits"), F.max("z").alias("top_z"))
+    warned = spark.read.parquet(f"{path}/warnings").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_warnings"))
+    return kept.join(warned, "doc_id", "left").select("doc_id", "n_edits", "top_z", F.coalesce("n_warnings", F.lit(0)).alias("n_warnings"))
+
+
 # --- chat -----------------------------------------------------------------------------------
 
 @query("recent_history", """
@@ -377,12 +395,12 @@ SELECT c.conv_id, CAST(2 + count(*) AS INTEGER) AS n_messages, string_agg(role,
        md5('{SYSTEM_HINDI}' || chr(10) || chr(10) || '<DOCUMENT>' || chr(10) || any_value(d.text) || chr(10) || '</DOCUMENT>') AS system_hash,
        '<QUESTION>' || chr(10) || 'What is it?' || chr(10) || '</QUESTION>' AS question
 FROM (SELECT * FROM v_chat QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 8) c
-JOIN documents d ON d.doc_id = c.conv_id GROUP BY c.conv_id""")
+JOIN (SELECT doc_id, "full" AS text FROM ({DOC_SQL.format(50000)})) d ON d.doc_id = c.conv_id GROUP BY c.conv_id""")
 def chat_prompts(spark, sf):
     turns = v.chat_turns(spark, sf)
     asks = turns.select("conv_id").distinct().select(
         "conv_id", F.col("conv_id").alias("doc_id"), F.lit("What is it?").alias("question"), F.lit("hi-IN").alias("language"))
-    docs = v.table(spark, sf, "documents").select("doc_id", F.col("text").alias("full"))
+    docs = doctext.document_text(doctext.page_text(v.lines(spark, sf))).select("doc_id", "full")
     m = chat.build_prompts(asks, docs, turns)
     inner = F.slice("messages", F.lit(2), F.size("messages") - 2)
     return m.select("conv_id", F.size("messages").alias("n_messages"), F.array_join(inner["role"], ",").alias("roles"),
@@ -399,6 +417,15 @@ def grounded_answers(spark, sf):
     return good.select("conv_id", "turn", "grounded", "answer")
 
 
+@query("empty_answers", """
+SELECT conv_id, turn, turn % 3 = 0 AS grounded FROM conversations WHERE turn % 3 = 0 OR turn % 3 = 1""")
+def empty_answers(spark, sf):
+    turns = v.table(spark, sf, "conversations")
+    text = F.when(F.col("turn") % 3 == 0, F.lit(" \t\u00a0\n")).when(F.col("turn") % 3 == 1, F.lit(" [[NOT_IN_DOCUMENT]] \u2003")).otherwise(F.lit("said"))
+    _, empty = chat.split_grounded(turns.withColumn("text", text))
+    return empty.select("conv_id", "turn", "grounded")
+
+
 @query("spoken_text", """
 SELECT conv_id, turn, left(trim(regexp_replace(regexp_replace(text, '(?i)\\[Page[^\\]]*\\]', '', 'g'), '\\s{2,}', ' ', 'g'), ' ' || chr(10) || chr(9)), 100) AS spoken
 FROM v_chat""".replace("\\\\", "\\"))
@@ -445,6 +472,21 @@ def failover_summary(spark, sf):
     return chat.failover_summary(tried).withColumn("total_ms", F.round("total_ms", 4))
 
 
+@query("failover_unsupported", """
+SELECT r.request_id, r.method, count(s.seq) AS n_supported, max(CASE WHEN s.ok THEN s.provider END) AS winner,
+       CASE WHEN count(s.seq) = 0 THEN 'No configured provider supports ' || r.method
+            WHEN NOT bool_or(s.ok) THEN 'All ' || count(s.seq) || ' supporting ' || CASE WHEN count(s.seq) = 1 THEN 'provider' ELSE 'providers' END || ' failed for ' || r.method END AS message
+FROM (SELECT DISTINCT request_id, method FROM v_attempt) r
+LEFT JOIN (SELECT * FROM (SELECT *, min(CASE WHEN ok THEN seq END) OVER (PARTITION BY request_id) AS won
+           FROM v_supported WHERE method NOT IN ('discuss', 'explain')) WHERE won IS NULL OR seq <= won) s USING (request_id, method)
+GROUP BY r.request_id, r.method""")
+def failover_unsupported(spark, sf):
+    attempts = v.attempts(spark, sf)
+    known = v.capabilities(spark).where("method NOT IN ('discuss', 'explain')")
+    asked = attempts.select("request_id", "method").distinct()
+    return chat.failover_summary(chat.supported_attempts(attempts, known), asked).select("request_id", "method", "n_supported", "winner", "message")
+
+
 @query("error_classes", """
 SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'permission' WHEN 1 THEN 'permission' WHEN 2 THEN 'empty' ELSE 'other' END AS class,
        CASE event_id % 4 WHEN 0 THEN 'HTTP 500' WHEN 1 THEN 'access Denied' WHEN 2 THEN 'Didn''t catch that' ELSE 'HTTP 503' END AS message
@@ -521,20 +563,9 @@ def rate_counts(spark, sf):
 # --- streams -------------------------------------------------------------------------------------
 
 def _stream(spark, sf, view):
-    """The view over ``events`` read as a stream of files."""
+    """The view over ``events`` read as a stream; the table may be one file or a folder of files."""
     schema = v.table(spark, sf, "events").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-
-    class _Tables:
-        """Stands in for the session inside a view so that ``events`` is the stream."""
-        @property
-        def read(self):
-            return self
-
-        def parquet(self, path):
-            return source
-
-    return view(_Tables(), sf)
+    return view(spark, sf, spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*"))
 
 
 @query("replay_stream", HISTORY_SQL)

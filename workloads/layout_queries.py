@@ -23,9 +23,15 @@ def style_cols():
 
 # --- sources -----------------------------------------------------------------
 
-@query("scan_corpus", "SELECT doc_id, lang, source, n_chars FROM documents WHERE n_chars > 100")
+@query("scan_corpus", "SELECT doc_id, lang, source, n_chars FROM documents")
 def scan_corpus(spark, sf):
-    return corpus.scan_corpus(spark, sf, "documents").where("n_chars > 100").select("doc_id", "lang", "source", "n_chars")
+    return corpus.scan_corpus(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
+
+
+@query("scan_filter", "SELECT doc_id, lang FROM documents WHERE n_chars > 100 AND lang = 'en'")
+def scan_filter(spark, sf):
+    """A filter and two columns, which reach the Parquet scan."""
+    return corpus.scan_corpus(spark, sf, "documents").where("n_chars > 100 AND lang = 'en'").select("doc_id", "lang")
 
 
 @query("page_geometry", """
@@ -135,9 +141,9 @@ def document_text_capped(spark, sf):
 # --- paragraph blocks -----------------------------------------------------------
 
 @query("block_lines_window", """
-SELECT doc_id, page_index, CAST(line_ord AS INTEGER) AS line_ord, CAST(block_ord AS BIGINT) AS block_ord FROM v_block_line""")
+SELECT doc_id, page_index, CAST(line_ord AS INTEGER) AS line_ord, CAST(block_ord AS BIGINT) AS block_ord FROM v_window_line""")
 def block_lines_window(spark, sf):
-    return v.block_lines(spark, sf).select(*PAGE, "line_ord", "block_ord")
+    return layout.assign_blocks(v.lines(spark, sf), mode="window").select(*PAGE, "line_ord", "block_ord")
 
 
 @query("text_blocks", """
@@ -161,30 +167,8 @@ def spacing_median(spark, sf):
         w.rowsBetween(W.unboundedPreceding, -1)), 6).alias("expected_gap"))
 
 
-# The open paragraphs of a page as a fold over its lines in reading order.
-EXACT_SQL = """
-SELECT doc_id, page_index, CAST(unnest(range(1, len(f.r) + 1)) AS INTEGER) AS line_ord, CAST(unnest(f.r) AS BIGINT) AS block_ord FROM (
- SELECT doc_id, page_index, list_reduce(list_prepend({'g': []::G[], 'r': []::BIGINT[]}, list({'g': [
-     {'id': 0::BIGINT, 'y': baseline_y, 'x': x, 'w': w, 's': size, 'sk': sk, 'para': para, 'num': num, 'gaps': []::DOUBLE[]}], 'r': []::BIGINT[]} ORDER BY line_ord)),
-   lambda a, b: CASE WHEN BEST IS NULL
-     THEN {'g': list_append(a.g, {'id': len(a.g) + 1, 'y': L.y, 'x': L.x, 'w': L.w, 's': L.s, 'sk': L.sk, 'para': L.para, 'num': L.num, 'gaps': []::DOUBLE[]}),
-           'r': list_append(a.r, len(a.g) + 1)}
-     ELSE {'g': list_transform(a.g, lambda q: CASE WHEN q.id = BEST
-             THEN {'id': q.id, 'y': L.y, 'x': L.x, 'w': L.w, 's': L.s, 'sk': L.sk, 'para': L.para, 'num': L.num, 'gaps': list_append(q.gaps, q.y - L.y)} ELSE q END),
-           'r': list_append(a.r, BEST)} END) AS f
- FROM (SELECT *, FAMILY || bold || italic AS sk, regexp_matches(text, '^[0-9.,/-]{1,6}$') AS num, length(text) >= 24 OR n_runs >= 3 AS para FROM v_line)
- GROUP BY doc_id, page_index)"""
-_G = "STRUCT(id BIGINT, y DOUBLE, x DOUBLE, w DOUBLE, s DOUBLE, sk VARCHAR, para BOOLEAN, num BOOLEAN, gaps DOUBLE[])"
-_BEST = """(list_sort(list_transform(list_filter(a.g, lambda c: NOT c.num AND NOT L.num AND c.y - L.y > 0.5 AND c.y - L.y <= 1.85 * greatest(c.s, L.s)
-  AND abs(c.s - L.s) <= greatest(1.5, 0.22 * greatest(c.s, L.s)) AND c.sk = L.sk AND (c.para OR L.para)
-  AND NOT (abs(c.x - L.x) > greatest(9, greatest(c.s, L.s)) AND greatest(0, least(c.x + c.w, L.x + L.w) - greatest(c.x, L.x)) / greatest(1, least(c.w, L.w)) < 0.7)
-  AND (len(c.gaps) = 0 OR abs(c.y - L.y - list_aggregate(c.gaps, 'median')) <= greatest(2, 0.35 * list_aggregate(c.gaps, 'median')))),
-  lambda c: {'d': abs(c.x - L.x), 'id': c.id}))[1].id)"""
-EXACT_SQL = (EXACT_SQL.replace("BEST", _BEST).replace("L.", "b.g[1].").replace("::G[]", f"::{_G}[]")
-             .replace("FAMILY", FAMILY.format("font_name")))
-
-
-@query("block_lines_exact", EXACT_SQL)
+@query("block_lines_exact", """
+SELECT doc_id, page_index, CAST(line_ord AS INTEGER) AS line_ord, CAST(block_ord AS BIGINT) AS block_ord FROM v_block_line""")
 def block_lines_exact(spark, sf):
     return layout.assign_blocks(v.lines(spark, sf), mode="exact").select(*PAGE, "line_ord", "block_ord")
 
@@ -247,6 +231,16 @@ def hit_test(spark, sf):
     return layout.hit_test(points, r).select(*PAGE, "point_id", "run_ord", "text")
 
 
+@query("hit_test_misses", """
+SELECT doc_id, page_index, run_ord AS point_id, CASE WHEN run_ord % 24 = 0 THEN run_ord END AS run_ord FROM v_run WHERE run_ord % 12 = 0""")
+def hit_test_misses(spark, sf):
+    """Every other point lies left of the page, where no run is."""
+    r = v.runs(spark, sf)
+    points = r.where("run_ord % 12 = 0").select(*PAGE, F.col("run_ord").alias("point_id"),
+                                                F.when(F.col("run_ord") % 24 == 0, F.col("x") + 0.01).otherwise(-50.0).alias("px"), (F.col("y") + 1).alias("py"))
+    return layout.hit_test(points, r).select(*PAGE, "point_id", "run_ord")
+
+
 # --- regions and bullets ------------------------------------------------------------
 
 @query("text_backed_regions", """

@@ -117,7 +117,7 @@ FROM (SELECT *, CASE WHEN NOT pnum AND NOT num AND gap > 0.5 AND gap <= 1.85 * g
               lag(sk) OVER w AS psk, lag(para) OVER w AS ppara
             FROM v_col WINDOW w AS (PARTITION BY {PK}, col ORDER BY baseline_y DESC, x, line_ord)))""")
 
-cte("v_block_line", f"""
+cte("v_window_line", f"""
 SELECT *, min(line_ord) OVER (PARTITION BY {PK}, col, blk) AS block_ord
 FROM (SELECT *, sum(CASE WHEN brk = 1 OR abs(gap - earlier) > greatest(2, 0.35 * earlier) THEN 1 ELSE 0 END)
           OVER (PARTITION BY {PK}, col ORDER BY baseline_y DESC, x, line_ord ROWS UNBOUNDED PRECEDING) AS blk
@@ -126,6 +126,30 @@ FROM (SELECT *, sum(CASE WHEN brk = 1 OR abs(gap - earlier) > greatest(2, 0.35 *
                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier
             FROM v_chain))""")
 
+# The open paragraphs of a page as a fold over its lines in reading order.
+EXACT_SQL = """
+SELECT doc_id, page_index, unnest(range(1, len(f.r) + 1)) AS line_ord, unnest(f.r) AS block_ord FROM (
+ SELECT doc_id, page_index, list_reduce(list_prepend({'g': []::G[], 'r': []::BIGINT[]}, list({'g': [
+     {'id': 0::BIGINT, 'y': baseline_y, 'x': x, 'w': w, 's': size, 'sk': sk, 'para': para, 'num': num, 'gaps': []::DOUBLE[]}], 'r': []::BIGINT[]} ORDER BY line_ord)),
+   lambda a, b: CASE WHEN BEST IS NULL
+     THEN {'g': list_append(a.g, {'id': len(a.g) + 1, 'y': L.y, 'x': L.x, 'w': L.w, 's': L.s, 'sk': L.sk, 'para': L.para, 'num': L.num, 'gaps': []::DOUBLE[]}),
+           'r': list_append(a.r, len(a.g) + 1)}
+     ELSE {'g': list_transform(a.g, lambda q: CASE WHEN q.id = BEST
+             THEN {'id': q.id, 'y': L.y, 'x': L.x, 'w': L.w, 's': L.s, 'sk': L.sk, 'para': L.para, 'num': L.num, 'gaps': list_append(q.gaps, q.y - L.y)} ELSE q END),
+           'r': list_append(a.r, BEST)} END) AS f
+ FROM (SELECT *, FAMILY || bold || italic AS sk, regexp_matches(text, '^[0-9.,/-]{1,6}$') AS num, length(text) >= 24 OR n_runs >= 3 AS para FROM v_line)
+ GROUP BY doc_id, page_index)"""
+_G = "STRUCT(id BIGINT, y DOUBLE, x DOUBLE, w DOUBLE, s DOUBLE, sk VARCHAR, para BOOLEAN, num BOOLEAN, gaps DOUBLE[])"
+_BEST = """(list_sort(list_transform(list_filter(a.g, lambda c: NOT c.num AND NOT L.num AND c.y - L.y > 0.5 AND c.y - L.y <= 1.85 * greatest(c.s, L.s)
+  AND abs(c.s - L.s) <= greatest(1.5, 0.22 * greatest(c.s, L.s)) AND c.sk = L.sk AND (c.para OR L.para)
+  AND NOT (abs(c.x - L.x) > greatest(9, greatest(c.s, L.s)) AND greatest(0, least(c.x + c.w, L.x + L.w) - greatest(c.x, L.x)) / greatest(1, least(c.w, L.w)) < 0.7)
+  AND (len(c.gaps) = 0 OR abs(c.y - L.y - list_aggregate(c.gaps, 'median')) <= greatest(2, 0.35 * list_aggregate(c.gaps, 'median')))),
+  lambda c: {'d': abs(c.x - L.x), 'id': c.id}))[1].id)"""
+EXACT_SQL = (EXACT_SQL.replace("BEST", _BEST).replace("L.", "b.g[1].").replace("::G[]", f"::{_G}[]")
+             .replace("FAMILY", FAMILY.format("font_name")))
+
+cte("v_block_line", f"SELECT l.*, e.block_ord FROM v_line l JOIN ({EXACT_SQL}) e USING (doc_id, page_index, line_ord)")
+
 cte("v_block", f"""
 SELECT {PK}, block_ord, string_agg(text, chr(10) ORDER BY line_ord) AS text, min(x) AS x, min(y) AS y,
        max(x + w) - min(x) AS w, max(y + h) - min(y) AS h, max(baseline_y) AS top_baseline_y,

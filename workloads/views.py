@@ -22,6 +22,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _events(spark: SparkSession, sf: str, events: DataFrame | None) -> DataFrame:
+    """The ``events`` table, or what stands in for it: the same rows as a stream."""
+    return table(spark, sf, "events") if events is None else events
+
+
 def runs(spark: SparkSession, sf: str) -> DataFrame:
     """Words of ``documents`` set on pages: 12 per row, 48 rows per page."""
     doc = F.col("doc_id")
@@ -42,7 +47,7 @@ def lines(spark: SparkSession, sf: str, segments: bool = False) -> DataFrame:
 
 
 def block_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return layout.assign_blocks(lines(spark, sf), mode="window")
+    return layout.assign_blocks(lines(spark, sf))
 
 
 def blocks(spark: SparkSession, sf: str) -> DataFrame:
@@ -186,9 +191,9 @@ def _k(props):
     return F.regexp_extract(props, r"(\d+)", 1).cast("long")
 
 
-def edit_events(spark: SparkSession, sf: str) -> DataFrame:
+def edit_events(spark: SparkSession, sf: str, events: DataFrame | None = None) -> DataFrame:
     """Edit actions from ``events``: one log per user, ids reused by ``k mod 10``."""
-    e = table(spark, sf, "events").withColumn("k", _k(F.col("props")))
+    e = _events(spark, sf, events).withColumn("k", _k(F.col("props")))
     act = (F.when(F.col("event_id") % 97 == 0, "reset")
            .when(F.col("event_type") == "view", "add").when(F.col("event_type") == "click", "update")
            .when(F.col("event_type") == "error", "remove").when(F.col("event_type") == "purchase", "replace")
@@ -224,12 +229,12 @@ def edits(spark: SparkSession, sf: str) -> DataFrame:
              .withColumn("sample_background", F.col("log_pos") % 2 == 0))
 
 
-def attempts(spark: SparkSession, sf: str) -> DataFrame:
+def attempts(spark: SparkSession, sf: str, events: DataFrame | None = None) -> DataFrame:
     """Provider calls from ``events``: three providers in turn per request."""
     pick = lambda names, c: F.element_at(F.array(*[F.lit(n) for n in names]), (c + 1).cast("int"))
     rid, seq = F.floor(F.col("event_id") / 3), F.col("event_id") % 3
     ok = F.col("event_type") != "error"
-    return table(spark, sf, "events").select(
+    return _events(spark, sf, events).select(
         rid.alias("request_id"), seq.alias("seq"), pick(["primary", "backup", "local"], seq).alias("provider"),
         pick(["translate", "explain", "speak", "transcribe", "discuss"], rid % 5).alias("method"), ok.alias("ok"),
         F.col("value").alias("ms"),
@@ -243,7 +248,7 @@ def capabilities(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([*full, ("local", "speak")], "provider string, method string")
 
 
-def requests(spark: SparkSession, sf: str) -> DataFrame:
+def requests(spark: SparkSession, sf: str, events: DataFrame | None = None) -> DataFrame:
     """Proxy requests from ``events``; instants are UTC and cut to the second."""
     n, u = F.col("event_id"), F.col("user_id")
     ip = F.concat(F.lit("10.0.0."), u.cast("string"))
@@ -255,7 +260,7 @@ def requests(spark: SparkSession, sf: str) -> DataFrame:
     path = F.element_at(paths, (n % 4 + 1).cast("int"))
     # The stored time has no zone; it is taken as UTC whatever the session's zone is.
     instant = F.timestamp_micros(F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"))
-    return table(spark, sf, "events").select(
+    return _events(spark, sf, events).select(
         n.alias("request_no"), F.date_trunc("second", instant).alias("ts"),
         F.when(n % 11 == 0, "GET").otherwise("POST").alias("method"), path.alias("path"),
         F.concat(F.lit("https://app.example/api/relay/"), path, F.lit("?k=1")).alias("url"),
