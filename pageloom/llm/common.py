@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 import uuid
@@ -88,6 +89,14 @@ def covered(hit: np.ndarray, width: int, n: int) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers live on between tasks, idle or with other work."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # in the GNU C library only
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The rows in batches of at most about ``limit`` bytes of ``column`` (one row at least)."""
     for batch in batches:
@@ -98,4 +107,4 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20)
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             yield batch.slice(a, b - a)
-    pa.default_memory_pool().release_unused()  # workers live on between tasks
+    give_back()

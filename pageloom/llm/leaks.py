@@ -219,7 +219,7 @@ def _aligned(docs: DataFrame, places: DataFrame, seeds: DataFrame, share: float,
                 if not enough(MATCH * int(np.isin(there, own).sum()), len(own), share, verbatim):
                     continue
                 if (words, passage) not in known:
-                    if len(known) > 20_000:
+                    if len(known) > 4_000:
                         known.clear()
                     known[words, passage] = align(own, there)
                 value, a, b = known[words, passage]

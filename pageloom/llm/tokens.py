@@ -21,7 +21,7 @@ from pageloom.llm.common import kept_in_worker, slices
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 #: A generation of remembered pieces; a worker keeps this one and the last. Longer pieces are not remembered.
-REMEMBERED, LONGEST = 200_000, 64
+REMEMBERED, LONGEST = 150_000, 64
 _WHITE_RUN, _CUT = re.compile(r"\s\s"), re.compile(r" (?=\S)")
 _TAIL = ".,;:!?"
 #: A byte-level vocabulary shows a byte that isn't a visible Latin-1 character as one of the characters from 256 on.
