@@ -347,28 +347,34 @@ def block_cover_rects(line_rows: DataFrame) -> DataFrame:
         *union_aggs(Rect.of("cover_"), "cover_"))
 
 
-def page_guides(block_rows: DataFrame, pages: DataFrame, within: float = 1.0) -> DataFrame:
-    """Vertical alignment positions of a page, one per edge kind and ``within`` points.
+def page_guides(block_rows: DataFrame, pages: DataFrame, within: float = 1.0, axis: str = "x") -> DataFrame:
+    """Alignment positions of a page along ``axis``, one per edge kind and ``within`` points.
 
-    Guides come in a fixed order (page centre, content edges, then each block's
-    left, centre, right); an earlier guide suppresses later ones close to it.
+    Guides come in a fixed order; an earlier guide suppresses later ones close to it. Along
+    ``x``: page centre, content edges, then each block's left, centre, right. Along ``y``,
+    measured down from the page's top: page centre, then each block's top, middle, bottom.
     """
+    if axis not in ("x", "y"):
+        raise ValueError(f"unknown axis {axis!r}")
     content = block_rows.groupBy(*PAGE).agg(
         F.min("x").alias("content_left"), F.max(F.col("x") + F.col("w")).alias("content_right"))
-    base = pages.select(*PAGE, "width_pt").join(content, PAGE, "left")
+    base = pages.select(*PAGE, "width_pt", "height_pt").join(content, PAGE, "left")
     guide = lambda pos, edge, label, k: F.struct(
         F.lit(k).cast("long").alias("guide_ord"), pos.alias("pos"), F.lit(edge).alias("edge"), F.lit(label).alias("label"))
+    across = axis == "x"
     page_level = base.select(*PAGE, F.explode(F.array(
         guide(F.col("width_pt") / 2, "mid", "page center", 0),
         guide(F.coalesce("content_left", F.lit(0.0)), "min", "left column", 1),
-        guide(F.coalesce("content_right", F.col("width_pt")), "max", "right margin", 2))).alias("g"))
-    order = F.col("block_ord") * 3
-    block_level = block_rows.select(*PAGE, F.explode(F.array(*[
+        guide(F.coalesce("content_right", F.col("width_pt")), "max", "right margin", 2)) if across else F.array(
+        guide(F.col("height_pt") / 2, "mid", "page center", 0))).alias("g"))
+    order, top = F.col("block_ord") * 3, F.col("height_pt") - F.col("y") - F.col("h")
+    edges = ((F.col("x"), "min", "left column"), (F.col("x") + F.col("w") / 2, "mid", "block center"),
+             (F.col("x") + F.col("w"), "max", "right edge")) if across else (
+        (top, "min", "top edge"), (top + F.col("h") / 2, "mid", "block middle"), (top + F.col("h"), "max", "bottom edge"))
+    placed = block_rows if across else block_rows.join(pages.select(*PAGE, "height_pt"), PAGE)
+    block_level = placed.select(*PAGE, F.explode(F.array(*[
         F.struct((order + k).alias("guide_ord"), pos.alias("pos"), F.lit(edge).alias("edge"), F.lit(label).alias("label"))
-        for k, pos, edge, label in (
-            (0, F.col("x"), "min", "left column"),
-            (1, F.col("x") + F.col("w") / 2, "mid", "block center"),
-            (2, F.col("x") + F.col("w"), "max", "right edge"))])).alias("g"))
+        for k, (pos, edge, label) in enumerate(edges)])).alias("g"))
     every = page_level.unionByName(block_level).select(*PAGE, "g.*")
     # Equal positions collapse map-side before the ordered pass sees them.
     unique = every.groupBy(*PAGE, "edge", "pos").agg(

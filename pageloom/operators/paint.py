@@ -200,7 +200,7 @@ def _from_along(df: DataFrame) -> DataFrame:
               .select(*PAGE, "rule_ord", "orientation", "x1", "y1", "x2", "y2", "thickness_pt", "color"))
 
 
-def merge_rules(candidates: DataFrame, mode: str = "window") -> DataFrame:
+def merge_rules(candidates: DataFrame, mode: str = "exact") -> DataFrame:
     """Join collinear touching rules of one colour.
 
     ``window`` clusters by colour (equal to two decimals) and perpendicular
@@ -284,7 +284,7 @@ def drop_underlines(rules: DataFrame, hints: DataFrame) -> DataFrame:
     return rules.join(near.select(*PAGE, "rule_ord").distinct(), [*PAGE, "rule_ord"], "left_anti")
 
 
-def rules(paint_ops: DataFrame, pages: DataFrame, hints: DataFrame, mode: str = "window") -> DataFrame:
+def rules(paint_ops: DataFrame, pages: DataFrame, hints: DataFrame, mode: str = "exact") -> DataFrame:
     """Divider rules of each page, from paint log to final list."""
     candidates = drop_page_frame(rule_candidates(rule_paints(paint_ops)), pages)
     return drop_underlines(long_rules(merge_rules(candidates, mode)), hints)

@@ -34,4 +34,4 @@ def run_available(stream: DataFrame, mode: str = "update") -> DataFrame:
     finally:
         query.stop()
     spark.createDataFrame([], stream.schema).write.mode("append").parquet(f"{base}/out/batch=-1")
-    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+    return spark.read.schema(stream.schema).parquet(f"{base}/out").select(*stream.columns)

@@ -4,12 +4,13 @@ import pytest
 
 import __spark_entry__ as entry
 from workloads.check import compare
-
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+from workloads.registry import ORACLES as SQL
+from workloads.registry import QUERIES
 
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
 
 
 def test_entry(spark):

@@ -191,6 +191,19 @@ def page_guides(spark, sf):
     return layout.page_guides(staged(v.blocks(spark, sf)), v.plain_pages(spark, sf)).select(*PAGE, "edge", "pos")
 
 
+@query("page_guides_down", """
+SELECT doc_id, page_index, edge, unnest(list_reduce(list([pos] ORDER BY guide_ord),
+  lambda a, b: CASE WHEN len(list_filter(a, lambda p: abs(p - b[1]) <= 1)) = 0 THEN list_concat(a, b) ELSE a END)) AS pos
+FROM (
+  SELECT doc_id, page_index, 'mid' AS edge, 396.0::DOUBLE AS pos, 0 AS guide_ord FROM v_page
+  UNION ALL SELECT doc_id, page_index, 'min', 792.0::DOUBLE - y - h, block_ord * 3 FROM v_block
+  UNION ALL SELECT doc_id, page_index, 'mid', 792.0::DOUBLE - y - h + h / 2, block_ord * 3 + 1 FROM v_block
+  UNION ALL SELECT doc_id, page_index, 'max', 792.0::DOUBLE - y - h + h, block_ord * 3 + 2 FROM v_block)
+GROUP BY doc_id, page_index, edge""")
+def page_guides_down(spark, sf):
+    return layout.page_guides(staged(v.blocks(spark, sf)), v.plain_pages(spark, sf), axis="y").select(*PAGE, "edge", "pos")
+
+
 @query("line_covers", """
 SELECT doc_id, page_index, CAST(line_ord AS INTEGER) AS line_ord, round(x - p, 6) AS cover_x, round(y - q, 6) AS cover_y,
        round(w + 2 * p, 6) AS cover_w, round(h + 2 * q, 6) AS cover_h

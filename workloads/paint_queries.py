@@ -225,7 +225,7 @@ SELECT doc_id, page_index, CAST(CASE WHEN op_ord = 16 THEN 14 ELSE op_ord END AS
 
 @query("merged_rules", MERGED)
 def merged_rules(spark, sf):
-    return paint.merge_rules(_framed(spark, sf)).select(*PAGE, "rule_ord", *RULE)
+    return paint.merge_rules(_framed(spark, sf), "window").select(*PAGE, "rule_ord", *RULE)
 
 
 @query("merged_rules_exact", MERGED)
