@@ -287,7 +287,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     toward = toward.join(alone.select(F.col("comp").alias("main"), "members"), "main")
     known = star.select("a", "b").union(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
     known = known.select(F.col("a").alias("main"), F.col("b").alias("rep"), F.lit(1).cast("long").alias("members"))
-    toward = toward.join(known, ["main", "rep", "members"], "left_anti").drop("members")
+    toward = staged_table(toward.join(known, ["main", "rep", "members"], "left_anti").drop("members"), "toward")
     left = _blocks(toward.join(sets, "rep"), ["main"], "l_block")
     inside = labelled.select("rep", "comp").distinct().join(toward.select(F.col("main").alias("comp")).distinct(), "comp", "left_semi")
     right = _blocks(inside.join(sets, "rep").withColumn("main", F.col("comp")), ["main"], "r_block")
@@ -300,7 +300,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     pairs = _block_pairs(blocks, blocks.withColumnRenamed("l_block", "r_block"), ["key"]).where("l_block <= r_block")
     found = found.union(_linked(pairs, percent, hashes))
 
-    final = components(links.union(found))
+    final = components(links.union(staged_table(found, "later-links")))
     labels = classes.select("hi", "lo", "rep").join(final, F.col("rep") == F.col("node"), "left").select(
         F.col("hi").alias("h2"), F.col("lo").alias("l2"), F.coalesce("label", "rep").alias("label"))
     out = sketch.join(labels, (F.col("hi") == F.col("h2")) & (F.col("lo") == F.col("l2")) & (F.col("n") > 0) & F.col("node").isNotNull(), "left")
