@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pageloom.llm.common import staged_table
 from pageloom.llm.tokens import VOCABULARY, token_counts
 
 #: Lengths whose suffix sums are taken in one task.
@@ -26,8 +27,10 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
 
     ``truncated_total`` counts the ids that remain if every document is cut at this
     length. Blocks of lengths are summed first, so that one task sees one row a block.
-    An empty histogram gives an empty result.
+    An empty histogram gives an empty result. The histogram has two readers, so it is
+    written once; texts are encoded once.
     """
+    hist = staged_table(hist, "length-histogram")
     rows = hist.withColumn("tokens", F.col("length") * F.col("n_docs")).withColumn("block", F.floor(F.col("length") / BLOCK))
     blocks = rows.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
     later = W.orderBy(F.col("block").desc()).rowsBetween(W.unboundedPreceding, -1)
