@@ -19,6 +19,8 @@ from pageloom.plans.stage import checkpoint_dir
 STEP, MIX_A, MIX_B = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 #: A worker forgets its remembered words beyond this many; longer words are not remembered.
 REMEMBERED, LONGEST = 120_000, 80
+#: Spark's limit on the bytes of a batch that goes to a worker, and the value for sessions that name none.
+BATCH_SETTING, BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20)
 
 
 def staged_table(df: DataFrame, name: str) -> DataFrame:
@@ -29,6 +31,14 @@ def staged_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow``; a session that names no bytes per batch gets a limit, as a number of rows bounds no texts."""
+    conf = df.sparkSession.conf
+    if BATCH_SETTING not in conf.getAll:
+        conf.set(BATCH_SETTING, BATCH_LIMIT)
+    return df.mapInArrow(run, schema)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, with underscores added until ``df`` has no such column."""
     taken = {c.lower() for c in df.columns}

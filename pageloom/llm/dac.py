@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pageloom.llm.common import slices
+from pageloom.llm.common import in_arrow, slices
 from pageloom.llm.tokens import VOCABULARY, encoder, shipped
 
 MAGIC, HEADER, BLOCK = b"DAC1", "<4sBxxxQQ", 512
@@ -152,7 +152,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_i
         if keys:
             yield shard()
 
-    ordered.mapInArrow(run, SHARD_SCHEMA).write.parquet(path)
+    ordered.transform(in_arrow, run, SHARD_SCHEMA).write.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -172,8 +172,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                      pa.array(s.starts[:-1]), pa.array(np.diff(s.starts)), pa.array(crcs, pa.int64())],
                     names=["part", "seq", "doc_id", "at", "n_tokens", "ids_crc32"])
 
-    rows = shards.select("part", "seq", "data").mapInArrow(
-        run, "part int, seq int, doc_id long, at long, n_tokens long, ids_crc32 long")
+    rows = shards.select("part", "seq", "data").transform(
+        in_arrow, run, "part int, seq int, doc_id long, at long, n_tokens long, ids_crc32 long")
     # Parts are summed first, so that only one row a part meets in one task.
     totals = shards.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     ahead = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.common import fresh, grams, mixed, slices, staged_table, word_hasher
+from pageloom.llm.common import fresh, grams, in_arrow, mixed, slices, staged_table, word_hasher
 
 NGRAM = 3
 MATCH, MISS = 2, -1
@@ -72,7 +72,7 @@ def item_grams(items: DataFrame, item_id: str, text: str, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.binary(), pa.int64()))],
                                              names=["item", "part", "words", "gram"])
 
-    return narrow.mapInArrow(run, "item long, part int, words binary, gram long")
+    return narrow.transform(in_arrow, run, "item long, part int, words binary, gram long")
 
 
 def _document_grams(docs: DataFrame, bits, sizes: list[int]) -> DataFrame:
@@ -100,7 +100,7 @@ def _document_grams(docs: DataFrame, bits, sizes: list[int]) -> DataFrame:
                         [pa.array([keys[i] for i in doc[h]], pa.int64()), pa.array(g[h].view(np.int64)),
                          pa.array((h - start[doc[h]]).astype(np.int32))], names=["doc", "gram", "at"])
 
-    return docs.mapInArrow(run, "doc long, gram long, at int")
+    return docs.transform(in_arrow, run, "doc long, gram long, at int")
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
@@ -206,7 +206,7 @@ def _aligned(docs: DataFrame, places: DataFrame, seeds: DataFrame, share: float,
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))],
                                                  names=["doc", "item", "part", "first", "passage"])
 
-    stretches = passages.mapInArrow(cut, "doc long, item long, part int, first int, passage binary").join(parts, ["item", "part"])
+    stretches = passages.transform(in_arrow, cut, "doc long, item long, part int, first int, passage binary").join(parts, ["item", "part"])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         known: dict[tuple[bytes, bytes], tuple[int, int, int]] = {}
@@ -230,7 +230,7 @@ def _aligned(docs: DataFrame, places: DataFrame, seeds: DataFrame, share: float,
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)],
                                              names=["doc", "item", "part", "score", "share", "start", "stop"])
 
-    scored = stretches.mapInArrow(score, "doc long, item long, part int, score int, share double, start int, stop int")
+    scored = stretches.transform(in_arrow, score, "doc long, item long, part int, score int, share double, start int, stop int")
     best = scored.groupBy("doc", "item", "part").agg(F.max(F.struct("score", "share", (-F.col("start")).alias("s"), "stop")).alias("b"))
     return best.select("doc", "item", "part", "b.score", "b.share", (-F.col("b.s")).alias("start"), "b.stop")
 

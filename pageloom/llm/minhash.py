@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pageloom.llm.common import STEP, fresh, grams, mixed, slices, staged_table, word_hasher
+from pageloom.llm.common import STEP, fresh, grams, in_arrow, mixed, slices, staged_table, word_hasher
 from pageloom.llm.graph import components
 
 #: 24 bands of 5 hashes miss a pair at similarity 0.85 with a chance of 8e-7.
@@ -130,7 +130,7 @@ def sketches(docs: DataFrame, doc_id: str, text: str, size: int, bands: int, row
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column("node"), *map(pa.array, made, kinds)], names=["node", "n", "hi", "lo", "bands"])
 
-    return narrow.mapInArrow(run, "node long, n long, hi long, lo long, bands array<long>")
+    return narrow.transform(in_arrow, run, "node long, n long, hi long, lo long, bands array<long>")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, size: int, hashes: int) -> DataFrame:
@@ -148,7 +148,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, size:
                  pa.array([signature(s, family).tobytes() for s in sets], pa.binary()),
                  pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "n", "sig", "shingles"])
 
-    return narrow.join(wanted, "rep", "left_semi").mapInArrow(run, "rep long, n long, sig binary, shingles binary")
+    return narrow.join(wanted, "rep", "left_semi").transform(in_arrow, run, "rep long, n long, sig binary, shingles binary")
 
 
 def _tests(percent: int, hashes: int) -> list[tuple[int, int]]:
@@ -177,7 +177,7 @@ def verified_pairs(pairs: DataFrame, sets: DataFrame, percent: int, hashes: int)
                     out.append(i)
             yield pa.RecordBatch.from_arrays([pa.array([col[c][i] for i in out], pa.int64()) for c in ("a", "b")], names=["a", "b"])
 
-    return both.select("a", "b", "a_sig", "b_sig", "a_shingles", "b_shingles").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "a_sig", "b_sig", "a_shingles", "b_shingles").transform(in_arrow, run, "a long, b long")
 
 
 _MEMBER = "array<struct<rep:long,comp:long,sig:binary,shingles:binary>>"
@@ -233,7 +233,7 @@ def _linked(pairs: DataFrame, percent: int, hashes: int) -> DataFrame:
                 found = links(batch.column("left")[i].as_py(), batch.column("right")[i].as_py())
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return pairs.select("left", "right").mapInArrow(run, "a long, b long")
+    return pairs.select("left", "right").transform(in_arrow, run, "a long, b long")
 
 
 def _block_pairs(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pageloom.llm.common import covered, fresh, grams, slices, word_hasher
+from pageloom.llm.common import covered, fresh, grams, in_arrow, slices, word_hasher
 
 SYMBOLS, SEPARATORS, WINDOW = "#*$%&|<>", " \t\n\x0b\x0c\r", 8
 MIN_WORDS = 20
@@ -83,7 +83,7 @@ def with_stats(docs: DataFrame, name: str, text: str = "text", keep: list[str] |
             stats = pa.StructArray.from_arrays([pa.array(made[c].astype(np.int64)) for c in LONGS], fields=fields)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), stats], names=schema.names)
 
-    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*keep, text])).transform(in_arrow, run, schema)
 
 
 def base_failed(s: Column) -> Column:

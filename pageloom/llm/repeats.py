@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pageloom.llm.common import STEP, covered, fresh, grams, mixed, slices, word_hasher
+from pageloom.llm.common import STEP, covered, fresh, grams, in_arrow, mixed, slices, word_hasher
 
 WIDTH, ANCHOR = 13, 5
 #: Bytes of text that a task settles at a time.
@@ -187,7 +187,7 @@ def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         return pa.table([pa.array(x, k) for x, k in zip(made, (pa.int64(), pa.int64(), pa.int64(), pa.int64()))],
                         names=["doc_id", "text_hash", "start", "n_windows"])
 
-    return narrow.mapInArrow(send, SENT).groupBy("part").applyInArrow(
+    return narrow.transform(in_arrow, send, SENT).groupBy("part").applyInArrow(
         meet, "doc_id long, text_hash long, start long, n_windows long")
 
 
@@ -229,7 +229,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(n_words, pa.int64()),
                                               pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=schema.names)
 
-    return joined.mapInArrow(cut, schema)
+    return joined.transform(in_arrow, cut, schema)
 
 
 def text_hashes(docs: DataFrame, name: str, text: str) -> DataFrame:
@@ -242,7 +242,7 @@ def text_hashes(docs: DataFrame, name: str, text: str) -> DataFrame:
             values = [None if v is None else v - (1 << 64) if v >> 63 else v for v in values]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.int64())], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.transform(in_arrow, run, schema)
 
 
 def removed_by_brute_force(rows: list[tuple[int, str | None]], width: int = WIDTH) -> list[tuple[int, int, int, str]]:

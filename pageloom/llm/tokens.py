@@ -17,7 +17,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from pageloom.llm.common import kept_in_worker, slices
+from pageloom.llm.common import in_arrow, kept_in_worker, slices
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 #: A generation of remembered pieces; a worker keeps this one and the last. Longer pieces are not remembered.
@@ -117,4 +117,4 @@ def token_counts(docs: DataFrame, name: str, text: str = "text", vocabulary: str
             n = [len(x) // enc.dtype.itemsize for x in enc.encode(batch.column(text).to_pylist())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(n, pa.int64())], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.transform(in_arrow, run, schema)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pageloom.llm.common import grams, kept_in_worker, mixed, slices, staged_table, word_hasher
+from pageloom.llm.common import grams, in_arrow, kept_in_worker, mixed, slices, staged_table, word_hasher
 
 WORD = re.compile(r"\w+")
 #: Lengths of the prefixes that stand for unseen words; the longest one with a score counts.
@@ -146,7 +146,7 @@ def _training(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label:
                 least.append([int(mixed(g ^ s).min().astype(np.int64)) for s in salts])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.list_(pa.int64()))], names=[*batch.schema.names, "least"])
 
-    rows = staged_table(rows.mapInArrow(run, "text string, toxic int, fold int, h long, least array<long>"), "toxicity-sample")
+    rows = staged_table(rows.transform(in_arrow, run, "text string, toxic int, fold int, h long, least array<long>"), "toxicity-sample")
     place = F.struct("h", "fold")
     narrow = rows.select("h", "toxic", "fold", "least").withColumn("place", place)
     for k in range(3):
@@ -169,7 +169,7 @@ def _document_counts(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([n[1][x] for x in names], pa.int64()),
                                               pa.array([n[0][x] for x in names], pa.int64())], names=["feature", "n1", "n0"])
 
-    counted = rows.select("text", "toxic").mapInArrow(run, "feature string, n1 long, n0 long")
+    counted = rows.select("text", "toxic").transform(in_arrow, run, "feature string, n1 long, n0 long")
     return counted.groupBy("feature").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
 
 
@@ -204,7 +204,7 @@ def _scans(rows: DataFrame, features: dict[str, float]) -> list:
                 [batch.column("toxic"), pa.array([d[0] for d in done], pa.int64()), pa.array([d[1] for d in done], pa.list_(pa.float64())),
                  pa.array([[s[0] for s in d[2]] for d in done], pa.list_(pa.float64()))], names=["toxic", "n", "scores", "segments"])
 
-    return rows.select("text", "toxic").mapInArrow(run, "toxic int, n long, scores array<double>, segments array<double>").collect()
+    return rows.select("text", "toxic").transform(in_arrow, run, "toxic int, n long, scores array<double>, segments array<double>").collect()
 
 
 def calibrate(model: Model, scans: list) -> Model:
@@ -283,5 +283,5 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
 
     names = ["doc_id", "score", "evidence", *["passages"] * passages]
     extra = ", passages array<struct<score:double,start:long,end:long>>" if passages else ""
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        run, f"doc_id {dict(docs.dtypes)[doc_id]}, score double, evidence double{extra}")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).transform(
+        in_arrow, run, f"doc_id {dict(docs.dtypes)[doc_id]}, score double, evidence double{extra}")

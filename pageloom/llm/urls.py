@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from pageloom.llm.common import in_arrow
+
 #: The contract's rules: verdict, host, path.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
          ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -99,4 +101,4 @@ def judge_urls(pages: DataFrame, url: str = "url", rules: Iterable[tuple[str, st
             kinds = [pa.string()] * 4 + [pa.int64()] * 2 + [pa.float64()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in out), *map(pa.array, made, kinds)], names=schema.names)
 
-    return pages.mapInArrow(run, schema)
+    return pages.transform(in_arrow, run, schema)
