@@ -1,11 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Every test item is cut into word n-grams. The corpus tells how many documents hold each;
-an item's seeds are those no more frequent than its middle one, so an item that leaked
-everywhere still has seeds, and phrases that are common anyway are none. Documents with
-a seed meet the item, and the passage around the seeds is aligned with the item: equal
-words score 2, replaced, missing or added ones -1. A passage is a leak if the alignment
-reaches a share of the item's own score, or is as good as a long verbatim quote.
+Every test item is cut into word n-grams, and all of them are seeds, however frequent: a
+copy with many edits may keep none but common ones. Documents with a seed meet the item,
+and the passage around the seeds is aligned with the item: equal words score 2, replaced,
+missing or added ones -1. A passage is a leak if the alignment reaches a share of the
+item's own score, or is as good as a long verbatim quote. An alignment without n words
+in a row that are equal has no seed and is not found.
 
 A Bloom filter of fixed size, broadcast, holds back most of the documents' n-grams; the
 joins decide. Words are compared in lower case without marks at their ends.
@@ -30,6 +30,8 @@ SHARE, VERBATIM = 0.5, 13
 FILTER_BITS = 1 << 25
 #: Words of an item that are aligned at once; longer items are cut into such parts.
 PART = 256
+#: Bytes of items and passages whose alignments a task remembers.
+KNOWN_BYTES = 16 << 20
 _MARKS = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
 
 
@@ -131,7 +133,22 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
 
 
 def enough(score: int, n_item: int, share: float, verbatim: int) -> bool:
-    return score >= MATCH * min(share * n_item, verbatim) if n_item >= NGRAM else score >= MATCH * n_item
+    return score >= needed(n_item, share, verbatim)
+
+
+def needed(n_item: int, share: float, verbatim: int) -> float:
+    return MATCH * min(share * n_item, verbatim) if n_item >= NGRAM else MATCH * n_item
+
+
+def reach(n_item: int, share: float, verbatim: int) -> int:
+    """The most words of a document that an alignment can span and still score enough."""
+    return n_item + max(0, int(MATCH * n_item - needed(n_item, share, verbatim))) // -MISS
+
+
+def best_possible(item: np.ndarray, passage: np.ndarray) -> int:
+    """No alignment scores more: a match for every word that the item has, a miss for every other in between."""
+    total = np.concatenate([[0], np.cumsum(np.where(np.isin(passage, item), MATCH, MISS))])
+    return int((total - np.minimum.accumulate(total)).max())
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
@@ -155,14 +172,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
         bits[at] |= row["value"] & 0xFF
     sent = spark.sparkContext.broadcast(bits.tobytes())
     places = staged_table(_document_grams(narrow, sent, list(range(1, n + 1))), "gram-places")
-    # The exact join drops what passed the filter by chance; then every gram's number of documents.
-    wanted = grams_.select("gram").distinct()
-    counted = places.join(wanted, "gram", "left_semi").groupBy("gram", "doc").agg(F.count(F.lit(1)).alias("times"))
-    found = counted.groupBy("gram").agg(F.count(F.lit(1)).alias("n_docs"))
-    rated = grams_.join(found, "gram", "left").withColumn("n_docs", F.coalesce("n_docs", F.lit(0)))
-    middle = rated.groupBy("item", "part").agg(F.expr("percentile_approx(n_docs, 0.5, 10000)").alias("middle"))
-    seeds = staged_table(rated.join(middle, ["item", "part"]).where("n_docs <= middle").select("item", "part", "words", "gram"), "seeds")
-    return _aligned(narrow, places, seeds, share, verbatim).select(
+    return _aligned(narrow, places, grams_, share, verbatim).select(
         F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "part", "score", "share", "start", "stop")
 
 
@@ -177,7 +187,7 @@ def _filter_parts(grams_: DataFrame) -> DataFrame:
 
 def _aligned(docs: DataFrame, places: DataFrame, seeds: DataFrame, share: float, verbatim: int) -> DataFrame:
     """Align every item part with the passages of a document around its seeds."""
-    # Where a part's seeds lie in a document, in stretches of the part's length; neighbouring stretches overlap.
+    # Where a part's seeds lie in a document, in stretches of the part's length. The exact join drops what passed the filter by chance.
     where = places.join(seeds.select("item", "part", "gram", (F.length("words") / 8).cast("int").alias("n_item")), "gram")
     cell = F.floor(F.col("at") / F.col("n_item")).cast("int")
     hits = where.select("doc", "item", "part", "n_item", cell.alias("cell")).groupBy("doc", "item", "part", "n_item", "cell").agg(
@@ -187,40 +197,52 @@ def _aligned(docs: DataFrame, places: DataFrame, seeds: DataFrame, share: float,
     passages = docs.join(windows, "doc")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        """The words of every stretch with half a stretch on both sides; stretches that touch are one passage."""
+        """The words of every stretch and as many on both sides as an alignment can reach; stretches that overlap are one passage."""
         hasher = word_hasher()
         for batch in slices(batches, "text", 2 << 20):
-            rows = []
+            rows, held = [], 0
             for doc, value, cells in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist(), batch.column("cells").to_pylist()):
                 h = hasher(normal_words(value))
                 by: dict[tuple, list[int]] = {}
                 for c in cells:
                     by.setdefault((c["item"], c["part"], c["n_item"]), []).append(c["cell"])
                 for (item, part, size), at in by.items():
+                    more, spans = reach(size, share, verbatim), []
                     for c in sorted(at):
-                        a, b = max(0, (c - 1) * size), min(len(h), (c + 2) * size)
-                        if a < len(h):
-                            rows.append((doc, item, part, a, h[a:b].tobytes()))
-            for i in range(0, len(rows), 2000):
-                cols = list(zip(*rows[i:i + 2000]))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))],
-                                                 names=["doc", "item", "part", "first", "passage"])
+                        a, b = max(0, c * size - more), min(len(h), (c + 1) * size + more)
+                        if spans and a <= spans[-1][1]:
+                            spans[-1][1] = b
+                        elif a < b:
+                            spans.append([a, b])
+                    rows += [(doc, item, part, a, h[a:b].tobytes()) for a, b in spans]
+                    held += sum(8 * (b - a) for a, b in spans)
+                    if held >= 2 << 20:
+                        yield made(rows)
+                        rows, held = [], 0
+            if rows:
+                yield made(rows)
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))],
+                                          names=["doc", "item", "part", "first", "passage"])
 
     stretches = passages.transform(in_arrow, cut, "doc long, item long, part int, first int, passage binary").join(parts, ["item", "part"])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         known: dict[tuple[bytes, bytes], tuple[int, int, int]] = {}
+        held = 0
         for batch in batches:
             rows = []
             for doc, item, part, first, passage, words in zip(*(batch.column(c).to_pylist() for c in ("doc", "item", "part", "first", "passage", "words"))):
                 own = np.frombuffer(words, np.uint64)
                 there = np.frombuffer(passage, np.uint64)
-                # No alignment scores more than the words that both have.
-                if not enough(MATCH * int(np.isin(there, own).sum()), len(own), share, verbatim):
+                if not enough(best_possible(own, there), len(own), share, verbatim):
                     continue
                 if (words, passage) not in known:
-                    if len(known) > 4_000:
+                    held += len(words) + len(passage)
+                    if held > KNOWN_BYTES:
                         known.clear()
+                        held = len(words) + len(passage)
                     known[words, passage] = align(own, there)
                 value, a, b = known[words, passage]
                 if enough(value, len(own), share, verbatim):

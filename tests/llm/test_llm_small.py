@@ -216,6 +216,41 @@ def test_leaks(spark, docs, empty):
     assert leaks.find_leaks(docs, tests.limit(0)).count() == 0
 
 
+def brute_leaks(data, items):
+    """(doc, item) -> the best alignment of the whole item in the whole document, of those that are enough."""
+    coded, out = {}, {}
+    code = lambda t: np.array([coded.setdefault(w, len(coded)) for w in leaks.normal_words(t)], np.uint64)
+    for i, t in data:
+        for k, x in items.items():
+            own, there = code(x), code(t)
+            score = leaks.align(own, there)[0]
+            if leaks.enough(score, len(own), leaks.SHARE, leaks.VERBATIM):
+                out[i, k] = max(score, out.get((i, k), 0))
+    return out
+
+
+def found_leaks(spark, data, items):
+    got = leaks.find_leaks(frame(spark, data), spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()
+    assert len({(r["doc_id"], r["item_id"]) for r in got}) == len(got)
+    return {(r["doc_id"], r["item_id"]): r["score"] for r in got}
+
+
+def test_edited_and_partial_leaks_against_brute_force(spark):
+    """Copies of which most n-grams, or all but the most frequent ones, are gone."""
+    rng = random.Random(61)
+    items = {0: made(rng, 40), 1: made(rng, 40), 2: made(rng, 59), 3: made(rng, 59), 4: made(rng, 44), 5: made(rng, 16)}
+    edited = lambda t, k: " ".join(f"edit{i}" if i % k == k - 1 else w for i, w in enumerate(t.split()))
+    inside = lambda t: made(rng, rng.randrange(0, 90)) + " " + t + " " + made(rng, rng.randrange(0, 90))
+    w2, w3, w4 = (items[k].split() for k in (2, 3, 4))
+    gaps = " ".join([*w3[:12], made(rng, 20), *w3[12:22], made(rng, 20), *w3[22:32], made(rng, 20), *w3[32:42], made(rng, 20), *w3[42:54]])
+    data = [(1, inside(edited(items[0], 5))), (2, inside(edited(items[1], 4))), (3, inside(" ".join(w2[20:45]))), (4, inside(gaps)),
+            (5, inside(" ".join(w4[:18]))), (6, inside(edited(items[5], 4))), (8, inside(" ".join(w2[:8]))),
+            *((i, inside(" ".join(w4[25:44]))) for i in range(20, 60)), *((i, inside(" ".join(w2[50:56]))) for i in range(60, 90))]
+    want = brute_leaks(data, items)
+    assert {(1, 0), (2, 1), (3, 2), (4, 3), (5, 4), (6, 5), (20, 4), (59, 4)} <= set(want) and not {(8, 2), (60, 2)} & set(want)
+    assert found_leaks(spark, data, items) == want
+
+
 # --- mixing ------------------------------------------------------------------------------------
 
 def test_mix(spark, docs, empty):
