@@ -28,8 +28,6 @@ MATCH, MISS = 2, -1
 SHARE, VERBATIM = 0.5, 13
 #: Bits of the filter: 4 MB, whatever the number of items.
 FILTER_BITS = 1 << 25
-#: Words of an item that are aligned at once; longer items are cut into such parts.
-PART = 256
 #: Bytes of items and passages whose alignments a task remembers.
 KNOWN_BYTES = 16 << 20
 _MARKS = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
@@ -56,7 +54,7 @@ def _maybe(bits: np.ndarray, seeds: np.ndarray) -> np.ndarray:
 
 
 def item_grams(items: DataFrame, item_id: str, text: str, n: int) -> DataFrame:
-    """``item, part, words, gram`` (one row per distinct gram of a part; ``words`` are hashes of the part's words)."""
+    """``item, n_item, words, gram``: one row per distinct gram of an item, the first with the hashes of all its words."""
     narrow = items.where(F.col(item_id).isNotNull()).select(F.col(item_id).cast("long").alias("item"), F.col(text).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
@@ -65,16 +63,14 @@ def item_grams(items: DataFrame, item_id: str, text: str, n: int) -> DataFrame:
             rows = []
             for item, value in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist()):
                 h = hasher(normal_words(value))
-                for part, a in enumerate(range(0, max(len(h), 1), PART)):
-                    piece = h[a:a + PART]
-                    size = min(n, len(piece))  # an item of fewer words than n is one gram
-                    for g in np.unique(grams(piece, size)).view(np.int64).tolist() if size else []:
-                        rows.append((item, part, piece.tobytes(), g))
+                size = min(n, len(h))  # an item of fewer words than n is one gram
+                for i, g in enumerate(np.unique(grams(h, size)).view(np.int64).tolist() if size else []):
+                    rows.append((item, len(h), None if i else h.tobytes(), g))
             cols = list(zip(*rows)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.binary(), pa.int64()))],
-                                             names=["item", "part", "words", "gram"])
+                                             names=["item", "n_item", "words", "gram"])
 
-    return narrow.transform(in_arrow, run, "item long, part int, words binary, gram long")
+    return narrow.transform(in_arrow, run, "item long, n_item int, words binary, gram long")
 
 
 def _document_grams(docs: DataFrame, bits, sizes: list[int]) -> DataFrame:
@@ -153,10 +149,11 @@ def best_possible(item: np.ndarray, passage: np.ndarray) -> int:
 
 def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
                item_text: str = "text", n: int = NGRAM, share: float = SHARE, verbatim: int = VERBATIM) -> DataFrame:
-    """One row per leaked item part in a document: ``doc_id, item_id, part, score, share, start, stop``.
+    """One row per leaked item in a document: ``doc_id, item_id, part, score, share, start, stop``.
 
-    ``score`` is the best alignment's, ``share`` is it by the part's own score, and words
-    ``start`` up to ``stop`` of the document's normalised words are the passage. Items of
+    ``score`` is the best alignment's, ``share`` is it by the item's own score, and words
+    ``start`` up to ``stop`` of the document's normalised words are the passage. Items are
+    aligned whole, however long, so ``part`` is always 0. Items of
     fewer than ``n`` words leak where they stand whole. Documents and items without an id
     or words have no part in this; rows that share an id are searched together and give
     the best of their passages; equal items each give rows; an empty table on either side
@@ -173,7 +170,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     sent = spark.sparkContext.broadcast(bits.tobytes())
     places = staged_table(_document_grams(narrow, sent, list(range(1, n + 1))), "gram-places")
     return _aligned(narrow, places, grams_, share, verbatim).select(
-        F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "part", "score", "share", "start", "stop")
+        F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), F.lit(0).alias("part"), "score", "share", "start", "stop")
 
 
 def _filter_parts(grams_: DataFrame) -> DataFrame:
@@ -186,14 +183,13 @@ def _filter_parts(grams_: DataFrame) -> DataFrame:
 
 
 def _aligned(docs: DataFrame, places: DataFrame, seeds: DataFrame, share: float, verbatim: int) -> DataFrame:
-    """Align every item part with the passages of a document around its seeds."""
-    # Where a part's seeds lie in a document, in stretches of the part's length. The exact join drops what passed the filter by chance.
-    where = places.join(seeds.select("item", "part", "gram", (F.length("words") / 8).cast("int").alias("n_item")), "gram")
+    """Align every item with the passages of a document around its seeds."""
+    # Where an item's seeds lie in a document, in stretches of the item's length. The exact join drops what passed the filter by chance.
+    where = places.join(seeds.select("item", "n_item", "gram"), "gram")
     cell = F.floor(F.col("at") / F.col("n_item")).cast("int")
-    hits = where.select("doc", "item", "part", "n_item", cell.alias("cell")).groupBy("doc", "item", "part", "n_item", "cell").agg(
-        F.count(F.lit(1)).alias("hits"))
-    windows = hits.groupBy("doc").agg(F.collect_set(F.struct("item", "part", "n_item", "cell")).alias("cells"))
-    parts = seeds.groupBy("item", "part").agg(F.first("words").alias("words"))
+    hits = where.select("doc", "item", "n_item", cell.alias("cell")).distinct()
+    windows = hits.groupBy("doc").agg(F.collect_set(F.struct("item", "n_item", "cell")).alias("cells"))
+    wholes = seeds.where(F.col("words").isNotNull()).select("item", "n_item", "words").distinct()
     passages = docs.join(windows, "doc")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
@@ -205,8 +201,8 @@ def _aligned(docs: DataFrame, places: DataFrame, seeds: DataFrame, share: float,
                 h = hasher(normal_words(value))
                 by: dict[tuple, list[int]] = {}
                 for c in cells:
-                    by.setdefault((c["item"], c["part"], c["n_item"]), []).append(c["cell"])
-                for (item, part, size), at in by.items():
+                    by.setdefault((c["item"], c["n_item"]), []).append(c["cell"])
+                for (item, size), at in by.items():
                     more, spans = reach(size, share, verbatim), []
                     for c in sorted(at):
                         a, b = max(0, c * size - more), min(len(h), (c + 1) * size + more)
@@ -214,7 +210,7 @@ def _aligned(docs: DataFrame, places: DataFrame, seeds: DataFrame, share: float,
                             spans[-1][1] = b
                         elif a < b:
                             spans.append([a, b])
-                    rows += [(doc, item, part, a, h[a:b].tobytes()) for a, b in spans]
+                    rows += [(doc, item, size, a, h[a:b].tobytes()) for a, b in spans]
                     held += sum(8 * (b - a) for a, b in spans)
                     if held >= 2 << 20:
                         yield made(rows)
@@ -224,16 +220,16 @@ def _aligned(docs: DataFrame, places: DataFrame, seeds: DataFrame, share: float,
 
     def made(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))],
-                                          names=["doc", "item", "part", "first", "passage"])
+                                          names=["doc", "item", "n_item", "first", "passage"])
 
-    stretches = passages.transform(in_arrow, cut, "doc long, item long, part int, first int, passage binary").join(parts, ["item", "part"])
+    stretches = passages.transform(in_arrow, cut, "doc long, item long, n_item int, first int, passage binary").join(wholes, ["item", "n_item"])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         known: dict[tuple[bytes, bytes], tuple[int, int, int]] = {}
         held = 0
         for batch in batches:
             rows = []
-            for doc, item, part, first, passage, words in zip(*(batch.column(c).to_pylist() for c in ("doc", "item", "part", "first", "passage", "words"))):
+            for doc, item, first, passage, words in zip(*(batch.column(c).to_pylist() for c in ("doc", "item", "first", "passage", "words"))):
                 own = np.frombuffer(words, np.uint64)
                 there = np.frombuffer(passage, np.uint64)
                 if not enough(best_possible(own, there), len(own), share, verbatim):
@@ -246,15 +242,15 @@ def _aligned(docs: DataFrame, places: DataFrame, seeds: DataFrame, share: float,
                     known[words, passage] = align(own, there)
                 value, a, b = known[words, passage]
                 if enough(value, len(own), share, verbatim):
-                    rows.append((doc, item, part, value, value / (MATCH * len(own)), first + a, first + b))
-            cols = list(zip(*rows)) or [()] * 7
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.int32())
+                    rows.append((doc, item, value, value / (MATCH * len(own)), first + a, first + b))
+            cols = list(zip(*rows)) or [()] * 6
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)],
-                                             names=["doc", "item", "part", "score", "share", "start", "stop"])
+                                             names=["doc", "item", "score", "share", "start", "stop"])
 
-    scored = stretches.transform(in_arrow, score, "doc long, item long, part int, score int, share double, start int, stop int")
-    best = scored.groupBy("doc", "item", "part").agg(F.max(F.struct("score", "share", (-F.col("start")).alias("s"), "stop")).alias("b"))
-    return best.select("doc", "item", "part", "b.score", "b.share", (-F.col("b.s")).alias("start"), "b.stop")
+    scored = stretches.transform(in_arrow, score, "doc long, item long, score int, share double, start int, stop int")
+    best = scored.groupBy("doc", "item").agg(F.max(F.struct("score", "share", (-F.col("start")).alias("s"), "stop")).alias("b"))
+    return best.select("doc", "item", "b.score", "b.share", (-F.col("b.s")).alias("start"), "b.stop")
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, **how) -> DataFrame:

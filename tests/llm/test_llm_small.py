@@ -251,6 +251,19 @@ def test_edited_and_partial_leaks_against_brute_force(spark):
     assert found_leaks(spark, data, items) == want
 
 
+def test_leaks_of_long_items_against_brute_force(spark):
+    """A long item leaks by what the whole item needs, wherever a quote lies in it, and not by its last words."""
+    rng = random.Random(62)
+    items = {0: made(rng, 257), 1: made(rng, 260), 2: made(rng, 700), 3: made(rng, 256)}
+    w0, w1, w2 = (items[k].split() for k in (0, 1, 2))
+    inside = lambda t: made(rng, rng.randrange(0, 90)) + " " + t + " " + made(rng, rng.randrange(0, 90))
+    data = [(1, inside(w0[256])), (2, inside(" ".join(w1[256:260]))), (3, inside(" ".join(w1[246:266]))), (4, inside(" ".join(w2[500:524]))),
+            (5, inside(items[2])), (6, inside(items[0])), (7, inside(" ".join(w2[500:512]))), (8, inside(" ".join(w2[250:262] + w2[270:282])))]
+    want = brute_leaks(data, items)
+    assert set(want) == {(3, 1), (4, 2), (5, 2), (6, 0), (8, 2)}
+    assert found_leaks(spark, data, items) == want
+
+
 # --- mixing ------------------------------------------------------------------------------------
 
 def test_mix(spark, docs, empty):
