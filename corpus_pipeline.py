@@ -2,7 +2,7 @@
 
 Every stage works on all rows that the one before kept. All but the last return the
 columns of ``documents``; mixing repeats a document's row for every copy that training
-reads. No SQL can state the fitted quality model, the alignment or the tokenizer, so
+reads and adds the copy's training position, by which the token files are ordered. No SQL can state the fitted quality model, the alignment or the tokenizer, so
 ``ORACLE_SQL`` is None; the tests run the stages against brute force.
 """
 
@@ -21,6 +21,9 @@ ORACLE_SQL = None
 #: Near duplicates here: five-word shingles, similarity 0.8; 30 bands of 4 miss such a pair with a chance of 1e-7.
 NEAR = {"shingle": 5, "percent": 80, "bands": 30, "rows": 4}
 
+#: Column of the training position, from mixing to the token files.
+POSITION = "training_position"
+
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.passes(docs)
@@ -35,12 +38,12 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mixed_documents(docs)
+    return mixing.mixed_documents(docs, position_column=POSITION)
 
 
 def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = f"{checkpoint_dir(spark).rstrip('/')}/token-files-{uuid.uuid4().hex}"
-    dac.write_tokens(docs, path)
+    dac.write_tokens(docs, path, order=POSITION)
     return dac.read_tokens(spark, path)
 
 

@@ -117,17 +117,20 @@ class Shard:
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id: int = 0,
-                 shard_tokens: int = SHARD_TOKENS) -> None:
-    """Encode ``docs`` (``doc_id``, ``text``) and write the shards in ascending ``doc_id`` order.
+                 shard_tokens: int = SHARD_TOKENS, order: str = "doc_id") -> None:
+    """Encode ``docs`` (``doc_id``, ``text``) and write the shards in ascending order of the column ``order``.
 
+    Rows alike in ``order`` follow each other by ``doc_id``.
     ``end_id`` follows every document. A null text counts as empty. Rows without an id
     come first; rows with the same id follow each other, ordered by their text's hash.
     An empty table gives an empty shard table. Other columns are not read.
     """
     spec = shipped(docs, vocabulary)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-                   .repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text")))
+    first = [] if order == "doc_id" else [F.col(order).alias("_order")]
+    by = ["_order", "doc_id"] if first else ["doc_id"]
+    ordered = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *first)
+                   .repartitionByRange(parts, *by).sortWithinPartitions(*by, F.xxhash64("text")).select("doc_id", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         enc, part, seq = encoder(spec), TaskContext.get().partitionId(), 0

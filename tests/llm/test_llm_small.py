@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+import corpus_pipeline
 from pageloom.llm import dac, graph, leaks, lengths, lines, minhash, mixing, quality, repeats, tokens, toxicity, urls
 from pageloom.llm.common import covered, grams
 
@@ -310,6 +311,14 @@ def test_mixed_documents(spark, docs, empty):
     assert mixing.mixed_documents(empty).count() == 0
 
 
+def test_pipeline_files_are_in_training_order(spark, docs, tmp_path):
+    mixed = corpus_pipeline.mix_sources(spark, docs, str(tmp_path)).cache()
+    assert mixed.columns == [*DOC.names, corpus_pipeline.POSITION]
+    want = [r["doc_id"] for r in mixed.orderBy(corpus_pipeline.POSITION, "doc_id").collect()]
+    got = [r["doc_id"] for r in corpus_pipeline.write_token_files(spark, mixed, str(tmp_path)).orderBy("start").collect()]
+    assert got == want and got != sorted(got)
+
+
 # --- lines -------------------------------------------------------------------------------------
 
 def line_rows():
