@@ -93,7 +93,12 @@ FROM ruled"""
 
 @query("op6_line_join")
 def op6_line_join(spark, sf_dir):
-    return lines.repeated_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "n_links")
+    """One row per row of the table, with zeros and empty lists where no line holds a word."""
+    docs = table(spark, sf_dir, "documents")
+    found = lines.repeated_lines(docs)
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_lines", "n_removed", "n_links")]
+    lists = [F.coalesce(c, F.array().cast(found.schema[c].dataType)).alias(c) for c in ("removed", "classes")]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(found, "doc_id", "left").select("doc_id", *counts, *lists)
 
 
 @query("op7_url_vocabulary", _urls_sql())

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import corpus_pipeline
-from pageloom.llm import dac, graph, leaks, lengths, lines, minhash, mixing, quality, repeats, tokens, toxicity, urls
+from pageloom.llm import dac, graph, leaks, lengths, lines, minhash, mixing, quality, queries, repeats, tokens, toxicity, urls
 from pageloom.llm.common import covered, grams
 
 WORDS = ["alder", "birch", "cedar", "delta", "ember", "fjord", "grove", "heath", "islet", "jetty", "knoll", "larch", "moor", "nook"]
@@ -355,6 +355,18 @@ def test_lines_against_brute_force(spark, empty):
     assert lines.repeated_lines(empty).count() == 0
 
 
+def test_line_join_query_gives_every_document(spark, tmp_path):
+    data = [(1, "a b c d e\nx y"), (2, "x y\nf g h"), (3, None), (4, " \n"), (5, "e d c b a"), (None, "x y")]
+    frame(spark, data).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.QUERIES["op6_line_join"](spark, str(tmp_path)).collect()}
+    assert set(got) == {1, 2, 3, 4, 5, None}
+    assert {i: r["removed"] for i, r in got.items()} == {1: [], 2: [0], 3: [], 4: [], 5: [0], None: []}
+    assert [got[i]["n_lines"] for i in (1, 2, 3, 4, 5)] == [2, 2, 0, 0, 1] and got[3]["classes"] == []
+    a, b, c = got[1]["classes"], got[2]["classes"], got[5]["classes"]
+    assert a[1]["class_id"] == b[0]["class_id"] and a[0]["class_id"] == c[0]["class_id"] != b[1]["class_id"]
+    assert (b[0]["first_doc"], b[0]["first_line"], c[0]["first_doc"], c[0]["first_line"]) == (1, 1, 1, 0)
+
+
 # --- urls --------------------------------------------------------------------------------------
 
 def test_urls(spark):
