@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import dac, leaks, lengths, lines, minhash, mixing, quality, repeats, toxicity, urls
+from pageloom.llm import copies, dac, leaks, lengths, lexical, lines, minhash, mixing, quality, repeats, toxicity, urls, whitening
 from pageloom.llm.common import staged_table
 from pageloom.plans.stage import checkpoint_dir
 
@@ -130,3 +130,42 @@ def op10_seed_extend(spark, sf_dir):
 def op8_bayes_minhash(spark, sf_dir):
     classes = minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
     return classes.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+@query("op11_qdwh_whitening")
+def op11_qdwh_whitening(spark, sf_dir):
+    return whitening.whitened_components(table(spark, sf_dir, "embeddings"))
+
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def _lexical_sql() -> str:
+    found = f"regexp_extract_all(translate(coalesce(text, ''), '{copies.UPPER}', '{copies.LOWER}'), '{_TERM}')"
+    return f"""
+WITH docs AS (SELECT doc_id, t, CAST(len(t) AS BIGINT) AS n FROM (SELECT doc_id, {found} AS t FROM documents) WHERE len(t) > 0),
+whole AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS total FROM docs),
+held AS (SELECT doc_id, n, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT doc_id, n, unnest(t) AS term FROM docs) GROUP BY doc_id, n, term),
+weights AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w
+            FROM (SELECT term, count(*) AS df FROM held GROUP BY term), whole),
+asked AS (SELECT item_id, term, count(*) AS k FROM (SELECT item_id, unnest({found}) AS term FROM benchmark) GROUP BY item_id, term),
+scores AS (SELECT item_id, doc_id, CAST(sum(k * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // total)))) AS BIGINT) AS score
+           FROM asked JOIN held USING (term) JOIN weights USING (term), whole GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 20"""
+
+
+@query("op12_lexical_blocks", _lexical_sql())
+def op12_lexical_blocks(spark, sf_dir):
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), limit=20)
+
+
+_COPIES_SQL = f"""
+WITH texts AS (SELECT doc_id, translate(coalesce(text, ''), '{copies.UPPER}', '{copies.LOWER}') AS body FROM documents),
+kept AS (SELECT *, max(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size FROM texts)
+SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(body) AS text_sha256 FROM kept"""
+
+
+@query("op13_content_hash", _COPIES_SQL)
+def op13_content_hash(spark, sf_dir):
+    return copies.copy_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), keep="largest")
