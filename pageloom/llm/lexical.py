@@ -272,4 +272,4 @@ def search(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
             names = spark.createDataFrame([(i, r["item_id"]) for i, r in enumerate(block)], T.StructType([T.StructField("item", T.IntegerType()), dealt.schema["item_id"]]))
             found = found.join(F.broadcast(names), "item").select("item_id", "rank", "doc_id", "score")
             out = found if out is None else out.unionByName(found)
-    return out if out is not None else spark.createDataFrame([], T.StructType([dealt.schema["item_id"]]).add("rank", "int").add("doc_id", "long").add("score", "long"))
+    return out if out is not None else spark.createDataFrame([], T.StructType([dealt.schema["item_id"]]).add("rank", T.IntegerType()).add("doc_id", T.LongType()).add("score", T.LongType()))

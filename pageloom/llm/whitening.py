@@ -185,9 +185,9 @@ def _covariance(vectors: DataFrame, n: int, sums: np.ndarray) -> np.ndarray:
 
 
 def _fitted(vectors: DataFrame, components: int) -> Whitening | None:
-    """From distinct vectors ``x`` (a written table); None without any."""
+    """From distinct vectors ``x`` (a written table); None without any, or if they have no entries."""
     shape = vectors.agg(F.count(F.lit(1)).alias("n"), F.min(F.size("x")).alias("d"), F.max(F.size("x")).alias("most")).first()
-    if not shape["n"]:
+    if not shape["n"] or not shape["most"]:
         return None
     if shape["d"] != shape["most"]:
         raise ValueError(f"vectors have between {shape['d']} and {shape['most']} entries; one length is needed")
