@@ -165,11 +165,24 @@ def finalize_spans(spans: Column, base_bold: Column, base_italic: Column) -> Col
     return let(normalize_spans(spans), collapse)
 
 
-def running_starts(lengths: Column) -> Column:
-    """Start offset of each piece, given the lengths of consecutive pieces."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-    return F.aggregate(lengths, start, lambda a, n: F.struct(
-        (a["at"] + n).alias("at"), F.array_append(a["starts"], a["at"]).alias("starts")), lambda a: a["starts"])
+def running_starts(lengths: Column, block: int = 128, kind: str = "int") -> Column:
+    """Start offset of each piece, given the lengths of consecutive pieces (of type ``kind``).
+
+    Blocks of pieces are summed first, so that no accumulator is copied once per piece of a long array.
+    """
+    start = F.struct(F.lit(0).cast(kind).alias("at"), F.array().cast(f"array<{kind}>").alias("starts"))
+
+    def within(part: Column) -> Column:
+        return F.aggregate(part, start, lambda a, n: F.struct(
+            (a["at"] + n).alias("at"), F.array_append(a["starts"], a["at"]).alias("starts")))
+
+    def whole(all_: Column) -> Column:
+        firsts = F.sequence(F.lit(1), F.size(all_), F.lit(block))
+        parts = F.transform(firsts, lambda i: within(F.slice(all_, i, F.lit(block))))
+        return let(parts, lambda p: let(within(p["at"])["starts"], lambda base: F.flatten(
+            F.transform(p, lambda x, k: F.transform(x["starts"], lambda s: s + F.get(base, k))))))
+
+    return let(lengths, lambda all_: F.when(F.size(all_) > block, whole(all_)).otherwise(within(all_)["starts"]))
 
 
 def style_ranges(spans: Column) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.functions import text as tx
+from pageloom.functions.binding import let
+from pageloom.functions.metrics import FontWidth, StyledWidth
 from pageloom.schemas import PAGE
 
 # The cap, the truncation marker and the fallback glyph width.
@@ -120,16 +122,100 @@ def _wrap_line(line: Column, max_width: float, measure: tx.Measure) -> Column:
     return F.when(line == "", F.array(F.lit(""))).otherwise(wrapped)
 
 
-def wrap_lines(text: Column, max_width: float, measure: tx.Measure) -> Column:
-    """Greedy wrap to array<string>: white space kept, long words split, blank lines kept."""
-    if not 0 < max_width < float("inf"):
+#: Line starts that are held apart before they join the others, so that a long line's are not copied for each.
+RECENT = 256
+
+
+def _glyph_pieces(line: Column, limit: Column, units) -> Column:
+    """array<struct<c,w,must,i>>: words and stretches of white space, over-long ones as single characters.
+
+    ``units(text, at)`` is the width of a text that starts at character ``at`` of the line. ``must``
+    marks where a piece can't stay on a line with what stands before it.
+    """
+    tokens = F.regexp_extract_all(line, F.lit(f"{tx.WS}+|{tx.NOT_WS}+"), F.lit(0))
+
+    def measured(toks: Column) -> Column:
+        starts = tx.running_starts(F.transform(toks, lambda t: F.length(t)))
+        return let(starts, lambda at: F.transform(toks, lambda t, k: F.struct(
+            t.alias("c"), F.get(at, k).alias("at"), units(t, F.get(at, k)).alias("w"))))
+
+    def pieces(p: Column) -> Column:
+        piece = lambda c, w, must: F.struct(c.alias("c"), w.alias("w"), must.alias("must"))
+        letters = F.regexp_extract_all(p["c"], F.lit("(?s)."), F.lit(0))
+        return F.when(p["w"] <= limit, F.array(piece(p["c"], p["w"], F.lit(False)))).otherwise(
+            F.transform(letters, lambda c, i: piece(c, units(c, p["at"] + i), i == 0)))
+
+    return let(let(tokens, measured), lambda m: F.flatten(F.transform(m, pieces)))
+
+
+def _glyph_breaks(pieces: Column, limit: Column) -> Column:
+    """The pieces (from 0) that open a line: the widths' running sums, searched by halving once per line.
+
+    Before a piece that must open a line lies a gap that no line can hold.
+    """
+    added = lambda p: p["w"] + F.when(p["must"], limit + 1).otherwise(F.lit(0).cast("long"))
+    ends = let(tx.running_starts(F.transform(pieces, added), 64, "long"),
+               lambda x: F.transform(x, lambda v, i: v + added(F.get(pieces, i))))
+    n = F.size(pieces)
+    strides = F.transform(F.sequence(F.floor(F.log2(n)).cast("int"), F.lit(0), F.lit(-1)), lambda i: F.call_function("shiftleft", F.lit(1), i))
+
+    def found(end: Column, steps: Column) -> Column:
+        # What opens the line after next doesn't fit beside the first of this one: two lines take more than the limit.
+        most = F.least(n, (F.element_at(end, -1) * 2 / F.greatest(limit, F.lit(1).cast("long"))).cast("int") + 2)
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("done"), F.array().cast("array<int>").alias("recent"))
+
+        def line(acc: Column, _: Column) -> Column:
+            reach = F.get(end, acc["at"]) - F.get(pieces, acc["at"])["w"] + limit
+            stop = let(reach, lambda r: F.aggregate(steps, acc["at"] + 1, lambda e, b: F.when(F.get(end, e + b - 1) <= r, e + b).otherwise(e)))
+            full = F.size(acc["recent"]) >= RECENT
+            return F.when(acc["at"] >= n, acc).otherwise(F.struct(
+                stop.alias("at"), F.when(full, F.array_append(acc["done"], acc["recent"])).otherwise(acc["done"]).alias("done"),
+                F.when(full, F.array(acc["at"])).otherwise(F.array_append(acc["recent"], acc["at"])).alias("recent")))
+
+        return F.aggregate(F.sequence(F.lit(1), most), start, line, lambda acc: F.flatten(F.array_append(acc["done"], acc["recent"])))
+
+    return let(ends, lambda end: let(strides, lambda steps: found(end, steps)))
+
+
+def _wrap_glyphs(line: Column, limit: Column, units) -> Column:
+    """Greedy wrap by added-up widths, in time that grows with the line."""
+    def cut(pieces: Column) -> Column:
+        def joined(starts: Column, texts: Column) -> Column:
+            end = lambda k: F.coalesce(F.get(starts, k + 1), F.size(texts))
+            return F.transform(starts, lambda s, k: F.array_join(F.slice(texts, s + 1, end(k) - s), ""))
+        return let(_glyph_breaks(pieces, limit), lambda starts: let(pieces["c"], lambda texts: joined(starts, texts)))
+
+    return F.when(line == "", F.array(F.lit(""))).otherwise(let(_glyph_pieces(line, limit, units), cut))
+
+
+def _with_glyphs(measure: FontWidth, max_width: float | Column, body) -> Column:
+    """``body(limit, units)`` with the font's arrays and the limit bound once."""
+    return let(measure.table(), lambda t: let(measure.others(), lambda o: let(measure.limit(max_width), lambda n: body(
+        n, lambda text, at: measure.units(text, t, o)))))
+
+
+def _checked(max_width: float | Column) -> None:
+    if not isinstance(max_width, Column) and not 0 < max_width < float("inf"):
         raise ValueError("max_width must be a positive finite number")
+
+
+def wrap_lines(text: Column, max_width: float | Column, measure: tx.Measure) -> Column:
+    """Greedy wrap to array<string>: white space kept, long words split, blank lines kept.
+
+    With a ``FontWidth``, font, size and ``max_width`` may be columns; a width or size that is null
+    or not above 0 gives null.
+    """
+    _checked(max_width)
     logical = F.split(tx.unix_newlines(text), "\n")
-    wrapped = F.flatten(F.transform(logical, lambda s: _wrap_line(s, max_width, measure)))
+    if isinstance(measure, FontWidth):
+        wrapped = _with_glyphs(measure, max_width, lambda n, units: F.flatten(F.transform(logical, lambda s: _wrap_glyphs(s, n, units))))
+        wrapped = F.when(measure.usable(max_width), wrapped)
+    else:
+        wrapped = F.flatten(F.transform(logical, lambda s: _wrap_line(s, max_width, measure)))
     return F.when(text == "", F.array().cast("array<string>")).otherwise(wrapped)
 
 
-def wrap_chunks(docs: DataFrame, max_width: float, size_pt: float = 10.0,
+def wrap_chunks(docs: DataFrame, max_width: float | Column, size_pt: float = 10.0,
                 measure: tx.Measure | None = None) -> DataFrame:
     """Documents to chunks no wider than ``max_width``; no shuffle, one pass per row."""
     lines = wrap_lines(F.col("text"), max_width, measure or em_width(size_pt))
@@ -137,14 +223,14 @@ def wrap_chunks(docs: DataFrame, max_width: float, size_pt: float = 10.0,
 
 
 def wrap_spans(docs: DataFrame, max_width: float, size_pt: float = 10.0,
-               measure: tx.Measure | None = None) -> DataFrame:
+               measure: tx.Measure | StyledWidth | None = None) -> DataFrame:
     """Wrap ``(doc_id, spans)`` and carry each line's own styled spans.
 
     The text is wrapped as a whole, then every line takes its character range of
-    the spans; the line break itself is a one-character gap in the source.
+    the spans; the line break itself is a one-character gap in the source. A
+    ``StyledWidth`` measures every character in the face of its own span.
     """
-    if not 0 < max_width < float("inf"):
-        raise ValueError("max_width must be a positive finite number")
+    _checked(max_width)
     staged = docs.select("doc_id", tx.normalize_spans(F.col("spans")).alias("_norm"))
     staged = staged.select("doc_id", tx.style_ranges(F.col("_norm")).alias("_styles"),
                            tx.spans_text(F.col("_norm")).alias("_text")).where(F.col("_text") != "")
@@ -152,9 +238,89 @@ def wrap_spans(docs: DataFrame, max_width: float, size_pt: float = 10.0,
     starts = tx.running_starts(F.transform("_lines", lambda s: F.length(s) + 1))
     rows = logical.withColumn("_starts", starts).select(
         "doc_id", "_styles", F.posexplode(F.arrays_zip("_lines", "_starts")).alias("line_ord", "_z"))
-    rows = rows.withColumn("_wrapped", _wrap_line(F.col("_z._lines"), max_width, measure or em_width(size_pt)))
+    line, first = F.col("_z._lines"), F.col("_z._starts")
+    if isinstance(measure, StyledWidth):
+        wrapped = measure.bound(lambda units: let(measure.limit(max_width), lambda n: _wrap_glyphs(
+            line, n, lambda text, at: units(text, first + at, F.col("_styles")))))
+    elif isinstance(measure, FontWidth):
+        wrapped = _with_glyphs(measure, max_width, lambda n, units: _wrap_glyphs(line, n, units))
+    else:
+        wrapped = _wrap_line(line, max_width, measure or em_width(size_pt))
+    rows = rows.withColumn("_wrapped", wrapped)
     rows = rows.withColumn("_at", tx.running_starts(F.transform("_wrapped", lambda s: F.length(s))))
     out = rows.select("doc_id", "_styles", "line_ord", F.col("_z._starts").alias("_start"),
                       F.posexplode(F.arrays_zip("_wrapped", "_at")).alias("wrap_ord", "_p"))
     return out.select("doc_id", "line_ord", "wrap_ord", F.col("_p._wrapped").alias("text"),
                       tx.style_piece(F.col("_p._wrapped"), F.col("_start") + F.col("_p._at"), F.col("_styles")).alias("spans"))
+
+
+# --- the largest size that fits ---------------------------------------------------
+
+# The least sizes, the halvings of the range, the slack of the height.
+SMALLEST_SIZE, DEFAULT_LEAST, HALVINGS, SLACK = 0.1, 4.0, 18, 0.001
+
+
+def _line_count(measured: Column, limit: Column) -> Column:
+    """Lines of a logical line at ``limit``, from its measured words (``w``, widths of its characters ``g``)."""
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(1).alias("n"), F.lit(True).alias("blank"))
+    state = lambda used, n: F.struct(used.alias("used"), n.alias("n"), F.lit(False).alias("blank"))
+
+    def letters(acc: Column, p: Column) -> Column:
+        first = F.struct(F.lit(0).cast("long").alias("used"), F.when(acc["blank"], acc["n"]).otherwise(acc["n"] + 1).alias("n"), F.lit(True).alias("blank"))
+        return F.aggregate(p["g"], first, lambda a, w: F.when(~a["blank"] & (a["used"] + w > limit), state(w, a["n"] + 1)).otherwise(
+            state(a["used"] + w, a["n"])))
+
+    def step(acc: Column, p: Column) -> Column:
+        return (F.when(acc["used"] + p["w"] <= limit, state(acc["used"] + p["w"], acc["n"]))
+                .when(p["w"] <= limit, state(p["w"], F.when(acc["blank"], acc["n"]).otherwise(acc["n"] + 1)))
+                .otherwise(letters(acc, p)))
+
+    return F.aggregate(measured, start, step, lambda acc: acc["n"])
+
+
+def fit_text(boxes: DataFrame, font: str | Column, line_height=tx.free_line_height, max_size: str | Column = "max_size_pt",
+             min_size: float | Column = DEFAULT_LEAST) -> DataFrame:
+    """Adds ``size_pt, line_height_pt, lines, used_height_pt``: the largest size at which ``text`` stays in ``width`` x ``height``.
+
+    The largest size is tried first, then the range to the least is halved a set number of times; if no size fits, the
+    least one is taken. Words are measured once, in thousandths of the size: a trial only counts lines.
+    ``line_height`` maps a size column to the height of a line. Rows with a null or a width or height not
+    above 0 get nulls.
+    """
+    number = lambda x: F.col(x) if isinstance(x, str) else x if isinstance(x, Column) else F.lit(float(x))
+    text, width, height = F.coalesce(F.col("text"), F.lit("")), F.col("width"), F.col("height")
+    largest = F.greatest(F.lit(SMALLEST_SIZE), number(max_size).cast("double"))
+    least = F.least(largest, F.greatest(F.lit(SMALLEST_SIZE), number(min_size).cast("double")))
+    face = FontWidth(font, 1.0)
+    good = width.isNotNull() & height.isNotNull() & (width > 0) & (height > 0) & (width < float("inf")) & (height < float("inf")) & ~F.isnan(width) & ~F.isnan(height)
+
+    def words(t: Column, o: Column) -> Column:
+        def line(s: Column) -> Column:
+            tokens = F.regexp_extract_all(s, F.lit(f"{tx.WS}+|{tx.NOT_WS}+"), F.lit(0))
+            glyphs = lambda p: F.transform(F.regexp_extract_all(p, F.lit("(?s)."), F.lit(0)), lambda c: face.units(c, t, o))
+            return F.transform(F.transform(tokens, glyphs), lambda g: F.struct(F.aggregate(g, F.lit(0).cast("long"), lambda a, w: a + w).alias("w"), g.alias("g")))
+        return F.transform(F.split(tx.unix_newlines(text), "\n"), line)
+
+    measured = let(face.table(), lambda t: let(face.others(), lambda o: words(t, o)))
+
+    def used(size: Column, lines: Column) -> Column:
+        limit = FontWidth("Courier", size).limit(width)
+        rows = let(limit, lambda n: F.aggregate(lines, F.lit(0), lambda acc, s: acc + _line_count(s, n)))
+        return F.when(text == "", F.lit(0.0)).otherwise(size + (rows - 1) * line_height(size))
+
+    def search(lines: Column) -> Column:
+        start = F.struct(least.alias("low"), largest.alias("high"), least.alias("best"))
+
+        def halve(acc: Column, _: Column) -> Column:
+            return let((acc["low"] + acc["high"]) / 2, lambda mid: F.when(
+                used(mid, lines) <= height + SLACK, F.struct(mid.alias("low"), acc["high"].alias("high"), mid.alias("best"))).otherwise(
+                F.struct(acc["low"].alias("low"), mid.alias("high"), acc["best"].alias("best"))))
+
+        return F.when(used(largest, lines) <= height + SLACK, largest).otherwise(
+            F.aggregate(F.sequence(F.lit(1), F.lit(HALVINGS)), start, halve, lambda acc: acc["best"]))
+
+    sized = boxes.withColumn("size_pt", F.when(good, let(measured, search)))
+    wrapped = wrap_lines(text, width, FontWidth(font, F.col("size_pt")))
+    out = sized.withColumn("line_height_pt", line_height(F.col("size_pt"))).withColumn("lines", F.when(good, wrapped))
+    tall = F.when(F.size("lines") == 0, F.lit(0.0)).otherwise(F.col("size_pt") + (F.size("lines") - 1) * F.col("line_height_pt"))
+    return out.withColumn("used_height_pt", F.when(F.col("lines").isNotNull(), tall))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pageloom.functions import dates as fd
+from pageloom.functions import metrics
 from pageloom.functions import text as tx
 from pageloom.operators import chat, dates, doctext, edits, requests, spans
 from pageloom.schemas import PAGE
@@ -14,7 +15,7 @@ from pageloom.streaming.run import run_available
 from workloads import views as v
 from workloads.layout_queries import DOC_SQL
 from workloads.registry import query, shared_dir
-from workloads.sql_views import wrap_sql
+from workloads.sql_views import glyph_wrap_sql, wrap_sql
 
 # --- dates ----------------------------------------------------------------------
 
@@ -188,6 +189,19 @@ def wrap_spans(spark, sf):
                       bold.cast("long").alias("bold_chars"))
 
 
+@query("wrap_spans_metric", glyph_wrap_sql(f"""SELECT page_id AS doc_id, string_agg(text, '' ORDER BY span_ord) AS text, string_agg(repeat(CASE WHEN bold THEN '1' ELSE '0' END, CAST(length(text) AS INTEGER)), '' ORDER BY span_ord) AS flags,
+  0 AS k0, 1 AS k1 FROM ({NORMAL}) GROUP BY page_id""", f"""
+SELECT doc_id, CAST(l AS INTEGER) AS line_ord, CAST(i AS INTEGER) AS wrap_ord, chunk AS text,
+       CAST(greatest(0, least(length(chunk), line_at + chunk_at + length(chunk) - plain)) AS BIGINT) AS bold_chars
+FROM (SELECT *, coalesce(sum(length(chunk)) OVER (PARTITION BY doc_id, l ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk_at FROM v_wrapped)
+JOIN (SELECT page_id AS doc_id, length(text) AS plain FROM ({NORMAL}) WHERE NOT bold) USING (doc_id)""", 22_000))
+def wrap_spans_metric(spark, sf):
+    """Plain text in Times-Roman, bold text in Times-Bold."""
+    out = doctext.wrap_spans(_html(spark, sf).withColumnRenamed("page_id", "doc_id"), 220.0, measure=metrics.StyledWidth("serif", 10.0))
+    bold = F.aggregate(F.filter("spans", lambda s: s["bold"]), F.lit(0), lambda a, s: a + F.length(s["text"]))
+    return out.select("doc_id", "line_ord", "wrap_ord", tx.spans_text(F.col("spans")).alias("text"), bold.cast("long").alias("bold_chars"))
+
+
 # --- edits ---------------------------------------------------------------------------------
 
 def _events(spark, sf):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pageloom.functions import metrics
 from pageloom.functions import text as tx
 from pageloom.operators import bullets, doctext, layout, regions
 from pageloom.plans.stage import staged
@@ -11,7 +12,7 @@ from pageloom.schemas import PAGE
 from pageloom.sources import corpus, items, sinks
 from workloads import views as v
 from workloads.registry import query
-from workloads.sql_views import FAMILY, wrap_sql
+from workloads.sql_views import FAMILY, glyph_wrap_sql, wrap_sql
 
 RECT = ["x", "y", "w", "h"]
 
@@ -402,3 +403,11 @@ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY l, i) - 1 AS
 @query("wrap_chunks", WRAP_SQL)
 def wrap_chunks(spark, sf):
     return doctext.wrap_chunks(v.table(spark, sf, "documents"), 220.0)
+
+
+@query("wrap_metric", glyph_wrap_sql("SELECT doc_id, regexp_replace(text, '\\r\\n?', chr(10), 'g') AS text, '' AS flags, CAST(doc_id % 12 AS INTEGER) AS k0, 0 AS k1 FROM documents", """
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY l, i) - 1 AS INTEGER) AS chunk_ord, chunk FROM v_wrapped""", 22_000))
+def wrap_metric(spark, sf):
+    """Each document in one of the twelve faces, at size 10 in 220 points."""
+    font = F.get(F.array(*(F.lit(name) for name in metrics.FACES)), (F.col("doc_id") % 12).cast("int"))
+    return doctext.wrap_chunks(v.table(spark, sf, "documents"), 220.0, measure=metrics.FontWidth(font, 10.0))

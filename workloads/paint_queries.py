@@ -467,6 +467,58 @@ def scenario_missing(spark, sf):
     return compare.scenario_result(ratios.withColumn("scenario", F.col("image_id") % 4), ["scenario"], scored=F.col("image_id") % 2 == 0)
 
 
+PERCEPTUAL = """
+SELECT * FROM (WITH drawn AS (
+  SELECT image_id, px, py, r, g, b, a, image_id % 3 < 2 AS d,
+         (px - 24) + (py - 24) * ((image_id % 7 - 3) / 4.0) AS pos FROM v_pixel),
+s AS (SELECT 0 AS side, image_id, px, py, CASE WHEN d THEN t ELSE r END AS r, CASE WHEN d THEN t ELSE g END AS g, CASE WHEN d THEN t ELSE b END AS b, a
+      FROM (SELECT *, floor(255 * least(1.0, greatest(0.0, pos))) AS t FROM drawn)
+      UNION ALL
+      SELECT 1, image_id, px, py, CASE WHEN d THEN t ELSE r END + CASE WHEN image_id % 3 = 2 AND (px + py) % 5 = 0 THEN 70 ELSE 0 END,
+             CASE WHEN d THEN t ELSE g END, CASE WHEN d THEN t ELSE b END, a
+      FROM (SELECT *, floor(255 * least(1.0, greatest(0.0, pos + CASE WHEN image_id % 3 = 0 THEN 0.375 ELSE 1.5 END))) AS t FROM drawn)),
+w AS (SELECT side, image_id, px, py, [r, g, b, a]::DOUBLE[] AS c, 255 + (r - 255) * (a / 255::DOUBLE) AS r, 255 + (g - 255) * (a / 255::DOUBLE) AS g,
+             255 + (b - 255) * (a / 255::DOUBLE) AS b FROM s),
+y AS (SELECT *, r * 0.29889531::DOUBLE + g * 0.58662247::DOUBLE + b * 0.11448223::DOUBLE AS y, r * 0.59597799::DOUBLE - g * 0.27417610::DOUBLE - b * 0.32180189::DOUBLE AS i,
+             r * 0.21147017::DOUBLE - g * 0.52261711::DOUBLE + b * 0.31114694::DOUBLE AS q FROM w),
+around AS (
+  SELECT o.side, o.image_id, o.px, o.py, n.px AS nx, n.py AS ny, n.c = o.c AS same, CASE WHEN n.c = o.c THEN 0 ELSE o.y - n.y END AS delta,
+         (n.px - o.px + 1) * 3 + (n.py - o.py + 1) AS k
+  FROM y o JOIN (SELECT * FROM (VALUES (-1), (0), (1)) a(dx), (VALUES (-1), (0), (1)) b(dy) WHERE dx <> 0 OR dy <> 0) ON true
+  JOIN y n ON n.side = o.side AND n.image_id = o.image_id AND n.px = o.px + dx AND n.py = o.py + dy),
+told AS (
+  SELECT side, image_id, px, py, CASE WHEN count(*) < 8 THEN 1 ELSE 0 END AS edge, count_if(same) + edge > 2 AS flat, count_if(delta = 0) + edge <= 2 AS few,
+         arg_min({'x': nx, 'y': ny}, {'d': delta, 'k': k}) FILTER (delta < 0) AS low, arg_min({'x': nx, 'y': ny}, {'d': -delta, 'k': k}) FILTER (delta > 0) AS high
+  FROM around GROUP BY ALL),
+areas AS (SELECT image_id, px, py, bool_and(flat) AS flat FROM told GROUP BY ALL),
+smooth AS (
+  SELECT t.image_id, t.px, t.py, bool_or(few AND low IS NOT NULL AND high IS NOT NULL AND (l.flat OR h.flat)) AS smooth
+  FROM told t LEFT JOIN areas l ON l.image_id = t.image_id AND l.px = t.low.x AND l.py = t.low.y
+  LEFT JOIN areas h ON h.image_id = t.image_id AND h.px = t.high.x AND h.py = t.high.y GROUP BY ALL),
+marked AS (
+  SELECT e.image_id, 0.5053::DOUBLE * (e.y - a.y) * (e.y - a.y) + 0.299::DOUBLE * (e.i - a.i) * (e.i - a.i) + 0.1957::DOUBLE * (e.q - a.q) * (e.q - a.q) > 35215::DOUBLE * 0.1::DOUBLE * 0.1::DOUBLE AS far, smooth
+  FROM y e JOIN y a ON e.side = 0 AND a.side = 1 AND e.image_id = a.image_id AND e.px = a.px AND e.py = a.py
+  JOIN smooth m ON m.image_id = e.image_id AND m.px = e.px AND m.py = e.py)
+SELECT image_id, count(*) AS n_rows, CAST(count_if(far AND NOT smooth) AS BIGINT) AS n_mismatched, CAST(count_if(far) AS BIGINT) AS n_far,
+       round(count_if(far AND NOT smooth) / count(*), 6) AS ratio FROM marked GROUP BY image_id)"""
+
+
+@query("image_diff", PERCEPTUAL)
+def image_diff(spark, sf):
+    """Pixels that differ to the eye; ``n_far`` counts those that only smooth an edge as well."""
+    want, have = v.edge_pictures(spark, sf)
+    strict = compare.image_mismatch(want, have, ["image_id"], smoothing=False).select("image_id", F.col("n_mismatched").alias("n_far"))
+    return compare.image_mismatch(want, have, ["image_id"]).select(
+        "image_id", "n_rows", "n_mismatched", F.round("ratio", 6).alias("ratio")).join(strict, "image_id")
+
+
+@query("image_scenarios", f"""
+SELECT image_id % 3 AS scenario, count(*) AS n_groups, max(ratio) AS ratio, max(ratio) <= 0.001 AS pass FROM ({PERCEPTUAL}) GROUP BY ALL""")
+def image_scenarios(spark, sf):
+    ratios = compare.image_mismatch(*v.edge_pictures(spark, sf), ["image_id"]).withColumn("ratio", F.round("ratio", 6))
+    return compare.scenario_result(ratios.withColumn("scenario", F.col("image_id") % 3), ["scenario"])
+
+
 @query("nearest_edges", """
 SELECT r.doc_id, r.page_index, r.run_ord, 'min' AS edge, b.block_ord, b.x - r.x AS delta
 FROM v_run r JOIN (SELECT doc_id, page_index, CAST(block_ord AS BIGINT) AS block_ord, x FROM v_block) b

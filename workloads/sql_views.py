@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import re
 
+from pageloom.functions import metrics
+
 PK = "doc_id, page_index"
 
 CTES: dict[str, str] = {}
@@ -376,3 +378,38 @@ def wrap_sql(source: str, tail: str) -> str:
                FROM (SELECT doc_id, string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)) AS ls FROM (SOURCE))))))"""
     wrapped = wrapped.replace("SOURCE", source)
     return tail.replace("v_wrapped", f"({wrapped})")
+
+
+def glyph_wrap_sql(source: str, tail: str, limit: int) -> str:
+    """Greedy wrap by advance widths of ``source(doc_id, text, flags, k0, k1)`` as ``v_wrapped(doc_id, l, i, chunk, line_at)``.
+
+    ``flags`` has a 0 or 1 for each character of ``text``, which chooses the face number ``k0`` or ``k1``;
+    ``limit`` is in thousandths of the size. Over-long words are single characters, the first of which opens a line.
+    """
+    names = list(metrics.FACES)
+    rows = []
+    for k, name in enumerate(names):
+        known = metrics.widths(name)
+        direct = [known.get(chr(c), metrics.FALLBACK) for c in range(metrics.DIRECT)]
+        rows.append(f"({k}, {direct}, {[known[c] for c in metrics.TYPOGRAPHIC]})")
+    width = f"""coalesce(CASE WHEN unicode(CH) < {metrics.DIRECT} THEN (CASE WHEN FLAG = '1' THEN t1 ELSE t0 END)[unicode(CH) + 1]
+      ELSE (CASE WHEN FLAG = '1' THEN o1 ELSE o0 END)[instr('{metrics.TYPOGRAPHIC}', CH)] END, {metrics.FALLBACK})"""
+    of = width.replace("CH", "substr(tok, i, 1)").replace("FLAG", "substr(flags, tok_at + i, 1)")
+    wrapped = rf"""
+ SELECT * FROM (WITH faces(k, t, o) AS (VALUES {", ".join(rows)}),
+ texts AS (SELECT *, string_split(text, chr(10)) AS ls FROM ({source})),
+ lines AS (SELECT doc_id, flags, k0, k1, line, l, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY l ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS line_at
+           FROM (SELECT *, unnest(ls) AS line, unnest(range(len(ls))) AS l FROM texts)),
+ tokens AS (SELECT *, line_at + CAST(coalesce(sum(length(tok)) OVER (PARTITION BY doc_id, l ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS tok_at
+            FROM (SELECT doc_id, flags, k0, k1, l, line_at, unnest(ts) AS tok, unnest(range(len(ts))) AS n
+                  FROM (SELECT *, CASE WHEN line = '' THEN [''] ELSE regexp_extract_all(line, '\s+|\S+') END AS ts FROM lines))),
+ sized AS (SELECT doc_id, l, line_at, n, tok, [{of} FOR i IN range(1, length(tok) + 1)] AS ws
+           FROM tokens, (SELECT k AS a, t AS t0, o AS o0 FROM faces), (SELECT k AS b, t AS t1, o AS o1 FROM faces) WHERE a = k0 AND b = k1),
+ pieces AS (SELECT doc_id, l, line_at, flatten(list(CASE WHEN coalesce(list_sum(ws), 0) <= {limit} THEN [{{'o': []::VARCHAR[], 'c': tok, 'w': CAST(coalesce(list_sum(ws), 0) AS BIGINT), 'm': false}}]
+              ELSE [{{'o': []::VARCHAR[], 'c': substr(tok, i, 1), 'w': CAST(ws[i] AS BIGINT), 'm': i = 1}} FOR i IN range(1, length(tok) + 1)] END ORDER BY n)) AS ps
+            FROM sized GROUP BY doc_id, l, line_at)
+ SELECT doc_id, l, line_at, unnest(lines) AS chunk, unnest(range(len(lines))) AS i FROM (
+  SELECT doc_id, l, line_at, list_append(f.o, f.c) AS lines FROM (
+   SELECT doc_id, l, line_at, list_reduce(ps, lambda a, b: CASE WHEN b.m OR a.w + b.w > {limit} THEN {{'o': list_append(a.o, a.c), 'c': b.c, 'w': b.w, 'm': false}}
+     ELSE {{'o': a.o, 'c': a.c || b.c, 'w': a.w + b.w, 'm': false}} END) AS f FROM pieces)))"""
+    return tail.replace("v_wrapped", f"({wrapped})")

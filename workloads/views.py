@@ -118,6 +118,21 @@ def pixels(spark: SparkSession, sf: str) -> DataFrame:
         F.when((image % 5 == 0) & (F.col("idx") % 97 == 0), 0).otherwise(255).alias("a")))
 
 
+def edge_pictures(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Pixels with a smoothed edge, and the same edge moved by less or more than a pixel; every third image is recoloured."""
+    base = pixels(spark, sf)
+    slope = (F.col("image_id") % 7 - 3) / F.lit(4.0)
+
+    def side(moved) -> DataFrame:
+        cover = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("px") - 24) + (F.col("py") - 24) * slope + moved))
+        tone, drawn = F.floor(cover * 255).cast("int"), F.col("image_id") % 3 < 2
+        return base.withColumns({c: F.when(drawn, tone).otherwise(F.col(c)) for c in ("r", "g", "b")})
+
+    have = side(F.when(F.col("image_id") % 3 == 0, 0.375).otherwise(1.5))
+    shift = F.when((F.col("image_id") % 3 == 2) & ((F.col("px") + F.col("py")) % 5 == 0), 70).otherwise(0)
+    return side(F.lit(0.0)), have.withColumn("r", F.col("r") + shift)
+
+
 def image_boxes(spark: SparkSession, sf: str) -> DataFrame:
     """Four overlapping boxes on each image, some reaching over its edge."""
     images = table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 36).alias("image_id")).distinct()
