@@ -296,15 +296,16 @@ def blocks(line_rows: DataFrame) -> DataFrame:
 def hit_test(points: DataFrame, runs: DataFrame) -> DataFrame:
     """For each ``(point_id, px, py)``: the smallest run holding it, the later on ties.
 
-    A point inside no run has nulls. ``point_id`` is unique within its page.
+    A point inside no run, or without finite coordinates, has nulls. ``point_id`` is unique within its page.
     """
-    zero = F.lit(0.0)
-    slim = runs.select(*PAGE, "run_ord", "text", "x", "y", "w", "h")
-    pairs = grid_pairs(points, slim, PAGE, Rect(F.col("px"), F.col("py"), zero, zero), Rect.of())
+    zero, slim = F.lit(0.0), runs.select(*PAGE, "run_ord", "text", "x", "y", "w", "h")
+    placed = points.select(*PAGE, "point_id", "px", "py")
+    # A point has one copy on each level: an outer join keeps the points that no run holds.
+    pairs = grid_pairs(placed, slim, PAGE, Rect(F.col("px"), F.col("py"), zero, zero), Rect.of(), large="right", how="left")
     best = F.min_by(F.struct("run_ord", "text", "x", "y", "w", "h"),
-                    F.struct(F.col("w") * F.col("h"), -F.col("run_ord")))
+                    F.when(F.col("run_ord").isNotNull(), F.struct(F.col("w") * F.col("h"), -F.col("run_ord"))))
     hits = pairs.groupBy(*PAGE, "point_id").agg(best.alias("hit"))
-    return points.select(*PAGE, "point_id").join(hits, [*PAGE, "point_id"], "left").select(*PAGE, "point_id", "hit.*")
+    return hits.select(*PAGE, "point_id", "hit.*")
 
 
 def next_block_below(lists: DataFrame, block_rows: DataFrame, column_width: float = 128.0) -> DataFrame:

@@ -318,7 +318,7 @@ def current_rules(rule_rows: DataFrame, edits: DataFrame) -> DataFrame:
     zero = F.lit(0.0)
     hit = grid_pairs(source.select(*PAGE, "rule_ord", "x", "y", "w", "h"), covers, PAGE,
                      Rect(r.x, r.y, zero, zero),
-                     Rect(c.x - 0.02, c.y - 0.02, F.lit(0.04), F.lit(0.04)), near)
+                     Rect(c.x - 0.02, c.y - 0.02, F.lit(0.04), F.lit(0.04)), near, large="right")
     first = hit.groupBy(*PAGE, "rule_ord").agg(F.min_by(F.struct("cover_id", "_cz"), "log_pos").alias("_c"))
     lines = edits.where("kind = 'line'").groupBy(*PAGE, F.col("z").alias("_lz")).agg(F.min_by("id", "log_pos").alias("line_id"))
     marked = (rule_rows.join(first, [*PAGE, "rule_ord"], "left").withColumn("_lz", F.col("_c._cz") + 1)

@@ -28,8 +28,11 @@ def text_backed_regions(regions: DataFrame, runs: DataFrame, paragraph_text: flo
                         *[F.col(c).alias(f"t_{c}") for c in ("x", "y", "w", "h")])
                 .where((F.col("_t") != "") & (F.col("t_w") * F.col("t_h") > 0)))
     region, run = Rect.of(), Rect.of("t_")
-    pairs = grid_pairs(regions.select(*PAGE, "region_id", "x", "y", "w", "h"), slim, PAGE, region, run,
-                       fraction_inside(run, region) >= inside)
+    # A run that lies inside for more than half has its centre inside: one copy, and no size to ask for.
+    zero, by_centre = F.lit(0.0), inside > 0.51
+    spot = Rect(run.x + run.w / 2, run.y + run.h / 2, zero, zero) if by_centre else run
+    pairs = grid_pairs(regions.select(*PAGE, "region_id", "x", "y", "w", "h"), slim, PAGE, region, spot,
+                       fraction_inside(run, region) >= inside, large="left" if by_centre else "both")
     chars = pairs.groupBy(*PAGE, "region_id").agg(F.sum(F.length("_t")).alias("_chars"))
     count = F.coalesce("_chars", F.lit(0))
     return (regions.join(chars, [*PAGE, "region_id"], "left")
@@ -79,5 +82,5 @@ def uncovered_regions(regions: DataFrame, edits: DataFrame) -> DataFrame:
         regions.select(*PAGE, "region_id", "x", "y", "w", "h"), covers, PAGE,
         Rect(region.x, region.y, zero, zero),
         Rect(cover.x - EPS * 2, cover.y - EPS * 2, F.lit(EPS * 4), F.lit(EPS * 4)),
-        rect_same(region, cover, EPS))
+        rect_same(region, cover, EPS), large="right")
     return regions.join(pairs.select(*PAGE, "region_id").distinct(), [*PAGE, "region_id"], "left_anti")

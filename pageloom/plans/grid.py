@@ -1,10 +1,11 @@
-"""Spatial joins as equi-joins on a page grid.
+"""Spatial joins as equi-joins on a page grid of three levels.
 
-A rectangle is copied to every grid cell it touches, so two rectangles meet only
-inside a shared ``(page, cell)`` key. A crowded page is therefore spread over its
-cells instead of landing in one task, and no page forms all pairs. Each meeting
-pair is kept in exactly one cell: the one holding the lower-left corner of the
-intersection.
+A rectangle lives on the finest level on which it touches at most ``MOST`` cells: the fine grid, a grid of cells
+16 times as wide and high, or the page as a whole. So a page-wide or infinite rectangle is copied no more often than
+a small one. Two rectangles meet on the coarser of their levels: each also probes the levels above its own that the
+other side uses, and a probe meets only what lives there. Which levels a side uses is asked before the join, by an
+aggregate over its edges: where all rectangles are small, nothing is probed. A crowded page is spread over its cells and never forms all pairs; each touching
+pair is kept in exactly one cell, the one holding the lower-left corner of the intersection.
 """
 
 from __future__ import annotations
@@ -15,39 +16,98 @@ from pyspark.sql import functions as F
 from pageloom.functions.geometry import Rect
 
 CELL = (128.0, 64.0)
+#: Width of a level's cells in cells of the fine grid; the level after the last is the page.
+SCALES = (1, 16)
+PAGE_LEVEL = len(SCALES)
+#: Cells that a rectangle touches at most on its own level.
+MOST = 16
+#: Coordinates from here on have no cell: such rectangles live on the page level.
+FAR = 2.0 ** 50
 
 
-def _cells(lo: Column, hi: Column, size: float) -> Column:
-    return F.explode(F.sequence(F.floor(lo / size), F.floor(hi / size)))
+def _level(rect: Rect, cell: tuple[float, float]) -> Column:
+    """The level a rectangle lives on; null for one without a place: a null or NaN edge, or a negative size."""
+    edges = (rect.x, rect.y, rect.right, rect.top)
+    real, near = F.lit(True), F.lit(True)
+    for e in edges:
+        real, near = real & e.isNotNull() & ~F.isnan(e), near & (F.abs(e) < FAR)
+    real = real & (rect.right >= rect.x) & (rect.top >= rect.y)
+    out = F.when(~F.coalesce(real, F.lit(False)), F.lit(None).cast("int"))
+    for k, scale in enumerate(SCALES):
+        cells = F.lit(1.0)
+        for lo, hi, size in ((rect.x, rect.right, cell[0] * scale), (rect.y, rect.top, cell[1] * scale)):
+            cells = cells * (F.floor(hi / size).cast("double") - F.floor(lo / size).cast("double") + 1)
+        out = out.when(near & (cells <= MOST), F.lit(k))
+    return out.otherwise(F.lit(PAGE_LEVEL))
 
 
-def on_grid(df: DataFrame, rect: Rect, cell=CELL) -> DataFrame:
-    """Copy each row to the grid cells its rectangle touches (edges included)."""
-    return (df.withColumn("_cx", _cells(rect.x, rect.right, cell[0]))
-              .withColumn("_cy", _cells(rect.y, rect.top, cell[1])))
+def coarse_levels(df: DataFrame, rect: Rect, cell=CELL) -> list[int]:
+    """The levels above the fine grid on which rectangles live: one pass over their edges."""
+    found = df.select(_level(rect, cell).alias("k")).agg(F.collect_set(F.when(F.col("k") > 0, F.col("k")))).first()[0]
+    return sorted(found)
 
 
-def grid_pairs(left: DataFrame, right: DataFrame, keys: list[str], left_rect: Rect,
-               right_rect: Rect, condition: Column | None = None, cell=CELL) -> DataFrame:
+def on_grid(df: DataFrame, rect: Rect, probed: list[int] = (), tag: int = 0, meets_probes: bool = False, cell=CELL) -> DataFrame:
+    """Copies of each row for its cells, in ``_code, _cx, _cy``; the code is twice the level, plus a tag.
+
+    Tag 0 joins what lives in a cell. ``probed`` are coarser levels, on which a row has copies with ``tag``; with
+    ``meets_probes`` what lives on such a level has copies with tag 1 too. A rectangle without a place has one copy
+    without a code. (Outer explodes: a filter on the code would be pushed down and repeat the edges' expressions.)
+    """
+    def codes(k: int) -> Column:
+        own = [2 * k, 2 * k + 1] if meets_probes and k else [2 * k]
+        return F.array(*(F.lit(c) for c in own + [2 * j + tag for j in probed if j > k]))
+
+    lives = F.col("_lives")
+    chosen = F.when(lives == 0, codes(0))
+    for k in range(1, PAGE_LEVEL + 1):
+        chosen = chosen.when(lives == k, codes(k))
+
+    def cells(lo: Column, hi: Column, size: float) -> Column:
+        low = high = F.when(F.col("_code").isNotNull(), F.lit(0).cast("long"))
+        for k, scale in reversed(list(enumerate(SCALES))):
+            here = F.col("_code") < 2 * (k + 1)
+            low, high = F.when(here, F.floor(lo / (size * scale))).otherwise(low), F.when(here, F.floor(hi / (size * scale))).otherwise(high)
+        return F.explode_outer(F.sequence(low, high))
+
+    out = df.withColumn("_lives", _level(rect, cell))
+    return (out.withColumn("_code", F.explode_outer(chosen)).withColumn("_cx", cells(rect.x, rect.right, cell[0]))
+               .withColumn("_cy", cells(rect.y, rect.top, cell[1])).drop("_lives"))
+
+
+def grid_pairs(left: DataFrame, right: DataFrame, keys: list[str], left_rect: Rect, right_rect: Rect,
+               condition: Column | None = None, cell=CELL, large: str = "both", how: str = "inner") -> DataFrame:
     """Pairs of touching rectangles with equal ``keys``; other columns must not clash.
 
-    The right side's key columns are renamed internally and dropped.
+    A rectangle with a null or NaN edge or a negative size touches nothing; one of infinite size touches what it
+    holds. ``large`` names the sides (``left``, ``right``, ``both``) that may hold a rectangle of more than ``MOST``
+    cells, and which are asked for the levels they use (a job); the other side must have a known bound. With ``how="left"``
+    every row of ``left`` comes out, without a partner once for each of its copies. The right side's key
+    columns are renamed internally and dropped.
     """
+    if large not in ("left", "right", "both") or how not in ("inner", "left"):
+        raise ValueError("large is left, right or both; how is inner or left")
     renamed = {k: f"_r_{k}" for k in keys}
-    rdf = on_grid(right, right_rect, cell)
-    for k, r in renamed.items():
+    large_left, large_right = large in ("left", "both"), large in ("right", "both")
+    of_left = coarse_levels(left, left_rect, cell) if large_left else []
+    of_right = coarse_levels(right, right_rect, cell) if large_right else []
+    rdf = on_grid(right, right_rect, of_left, 0, bool(of_right), cell)
+    for k, r in {**renamed, **{c: f"_r{c}" for c in ("_code", "_cx", "_cy")}}.items():
         rdf = rdf.withColumnRenamed(k, r)
-    rdf = rdf.withColumnRenamed("_cx", "_rcx").withColumnRenamed("_cy", "_rcy")
-    ldf = on_grid(left, left_rect, cell)
-    on = (F.col("_cx") == F.col("_rcx")) & (F.col("_cy") == F.col("_rcy"))
+    ldf = on_grid(left, left_rect, of_right, 1, False, cell)
+    on = F.lit(True)
+    for c in ("_code", "_cx", "_cy"):
+        on = on & (F.col(c) == F.col(f"_r{c}"))
     for k, r in renamed.items():
         on = on & (F.col(k) == F.col(r))
     touching = ((left_rect.x <= right_rect.right) & (right_rect.x <= left_rect.right)
                 & (left_rect.y <= right_rect.top) & (right_rect.y <= left_rect.top))
-    home = ((F.floor(F.greatest(left_rect.x, right_rect.x) / cell[0]) == F.col("_cx"))
-            & (F.floor(F.greatest(left_rect.y, right_rect.y) / cell[1]) == F.col("_cy")))
+    home = F.col("_code") >= 2 * PAGE_LEVEL
+    for k, scale in enumerate(SCALES):
+        home = home | (F.col("_code").between(2 * k, 2 * k + 1)
+                       & (F.floor(F.greatest(left_rect.x, right_rect.x) / (cell[0] * scale)) == F.col("_cx"))
+                       & (F.floor(F.greatest(left_rect.y, right_rect.y) / (cell[1] * scale)) == F.col("_cy")))
     on = on & touching & home
     if condition is not None:
         on = on & condition
-    return ldf.join(rdf, on).drop("_cx", "_cy", "_rcx", "_rcy", *renamed.values())
-
+    return ldf.join(rdf, on, how).drop("_code", "_cx", "_cy", "_r_code", "_r_cx", "_r_cy", *renamed.values())

@@ -5,7 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from pageloom.functions.geometry import Rect
 from pageloom.operators import bullets, doctext, layout, regions
+from pageloom.plans.grid import MOST, coarse_levels, grid_pairs, on_grid
 from pageloom.schemas import REGION, RUN
 
 STYLE = ("Helvetica", 10.0, False, False, (0.0, 0.0, 0.0))
@@ -108,7 +110,48 @@ def test_hit_test_prefers_small_then_late(spark):
     points = spark.createDataFrame([(1, 0, 1, 35.0, 35.0), (1, 0, 2, 200.0, 200.0), (1, 0, 3, 100.0, 100.0)],
                                    "doc_id long, page_index int, point_id long, px double, py double")
     got = {r.point_id: r.text for r in layout.hit_test(points, runs).collect()}
-    assert got == {1: "twin", 3: "big"}
+    assert got == {1: "twin", 2: None, 3: "big"}
+
+
+def test_hit_test_of_wide_and_odd_rectangles(spark):
+    inf, nan = float("inf"), float("nan")
+    runs = run_rows(spark, [(0, "page", -1e6, -1e6, 2e6, 2e6), (0, "endless", 50, 50, inf, 10), (0, "odd", nan, 0, 10, 10), (0, "plane", -1e300, 0, 2e300, 1)])
+    points = spark.createDataFrame([(1, 0, 1, 1e5, 55.0), (1, 0, 2, 10.0, 0.5), (1, 0, 3, nan, 1.0), (1, 0, 4, None, 1.0), (1, 0, 5, 1e200, 0.5), (1, 0, 6, inf, inf),
+                                    (2, 0, 1, 10.0, 0.5), (1, 0, 7, 1e5, 1e5)], "doc_id long, page_index int, point_id long, px double, py double")
+    got = {(r.doc_id, r.point_id): r.text for r in layout.hit_test(points, runs).collect()}
+    assert got == {(1, 1): "page", (1, 2): "page", (1, 3): None, (1, 4): None, (1, 5): "plane", (1, 6): None, (2, 1): None, (1, 7): "page"}
+
+
+def grid_rects(rng, n):
+    def one():
+        scale = rng.choice([0.0, 1.0, 30.0, 300.0, 5000.0, 1e6, 1e12])
+        return (rng.uniform(-500, 900) * rng.choice([1, 1, 40]), rng.uniform(-500, 900), rng.random() * scale, rng.random() * rng.choice([scale, 5.0]))
+    odd = [(0.0, 0.0, float("inf"), 3.0), (float("nan"), 0.0, 1.0, 1.0), (0.0, None, 1.0, 1.0), (5.0, 5.0, -1.0, 1.0), (-1e60, -1e60, 1e61, 1e61), (128.0, 64.0, 128.0, 64.0)]
+    return [(i, rng.randrange(2), *r) for i, r in enumerate([one() for _ in range(n)] + odd)]
+
+
+def grid_touch(a, b):
+    def fine(r):
+        return all(v is not None and v == v for v in r) and r[2] >= 0 and r[3] >= 0
+    return fine(a) and fine(b) and a[0] <= b[0] + b[2] and b[0] <= a[0] + a[2] and a[1] <= b[1] + b[3] and b[1] <= a[1] + a[3]
+
+
+@pytest.mark.parametrize("large", ["both", "right", "left"])
+def test_grid_pairs_against_all_pairs(spark, large):
+    rng = random.Random(21)
+    left, right = grid_rects(rng, 120), grid_rects(rng, 120)
+    if large != "both":
+        small = [(i, k, x, y, min(w or 0.0, 90.0), min(h or 0.0, 60.0)) for i, k, x, y, w, h in (left if large == "right" else right)]
+        left, right = (small, right) if large == "right" else (left, small)
+    schema = "page int, %sx double, %sy double, %sw double, %sh double"
+    frame = lambda rows, p: spark.createDataFrame(rows, f"{p}id long, " + schema % (p, p, p, p))
+    lr, rr = frame(left, "l_"), frame(right, "r_")
+    got = grid_pairs(lr, rr, ["page"], Rect.of("l_"), Rect.of("r_"), large=large).select("l_id", "r_id").collect()
+    want = [(a[0], b[0]) for a in left for b in right if a[1] == b[1] and grid_touch(a[2:], b[2:])]
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 300
+    assert coarse_levels(rr, Rect.of("r_")) == ([2] if large == "left" else [1, 2])
+    copies = on_grid(lr, Rect.of("l_"), [1, 2], 1, True).groupBy("l_id").count().agg(F.max("count")).first()[0]
+    assert copies <= 2 * MOST + 4 + 1
 
 
 def test_region_text_threshold(spark):

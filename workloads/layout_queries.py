@@ -246,12 +246,14 @@ def hit_test(spark, sf):
 
 
 @query("hit_test_misses", """
-SELECT doc_id, page_index, run_ord AS point_id, CASE WHEN run_ord % 24 = 0 THEN run_ord END AS run_ord FROM v_run WHERE run_ord % 12 = 0""")
+SELECT p.doc_id, p.page_index, p.point_id, q.run_ord
+FROM (SELECT doc_id, page_index, run_ord AS point_id, CASE WHEN run_ord % 2 = 0 THEN x ELSE -50.0 END AS px, y + 1 AS py FROM v_run) p
+LEFT JOIN v_run q ON p.doc_id = q.doc_id AND p.page_index = q.page_index AND p.px BETWEEN q.x AND q.x + q.w AND p.py BETWEEN q.y AND q.y + q.h
+QUALIFY row_number() OVER (PARTITION BY p.doc_id, p.page_index, p.point_id ORDER BY q.w * q.h, q.run_ord DESC) = 1""")
 def hit_test_misses(spark, sf):
-    """Every other point lies left of the page, where no run is."""
+    """A point for every run; every other one lies left of the page, where no run is."""
     r = v.runs(spark, sf)
-    points = r.where("run_ord % 12 = 0").select(*PAGE, F.col("run_ord").alias("point_id"),
-                                                F.when(F.col("run_ord") % 24 == 0, F.col("x") + 0.01).otherwise(-50.0).alias("px"), (F.col("y") + 1).alias("py"))
+    points = r.select(*PAGE, F.col("run_ord").alias("point_id"), F.when(F.col("run_ord") % 2 == 0, F.col("x")).otherwise(-50.0).alias("px"), (F.col("y") + 1).alias("py"))
     return layout.hit_test(points, r).select(*PAGE, "point_id", "run_ord")
 
 
