@@ -21,7 +21,7 @@ from pageloom.llm.common import in_arrow, kept_in_worker, slices
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 #: A generation of remembered pieces; a worker keeps this one and the last. Longer pieces are not remembered.
-REMEMBERED, LONGEST = 150_000, 64
+REMEMBERED, LONGEST = 300_000, 64
 _WHITE_RUN, _CUT = re.compile(r"\s\s"), re.compile(r" (?=\S)")
 _TAIL = ".,;:!?"
 #: A byte-level vocabulary shows a byte that isn't a visible Latin-1 character as one of the characters from 256 on.
@@ -43,7 +43,10 @@ class _Pieces(dict):
             letters = word[broken:]
             # Letters, the marks after them and a line break before them are pre-tokens of their own.
             if letters.isalpha() and len(tail) < 3:
-                ids = self.mark("\n") + self.merge(letters) if broken else self.merge(" " + letters)
+                if broken:
+                    ids = self.mark("\n") + self.merge(letters)
+                else:  # the bare word may be known
+                    ids = self[word] if tail else self.merge(" " + letters)
                 ids += self.mark(tail)
             else:
                 ids = self.whole(piece if broken else " " + piece)
@@ -77,7 +80,10 @@ class Encoder:
 
     def _merge(self, word: str) -> bytes:
         """Ids of one pre-token."""
-        shown = word.encode().decode("latin-1").translate(_SHOWN)
+        if word.isascii():  # letters, after a space at most
+            shown = word.replace(" ", chr(_SHOWN[32]))
+        else:
+            shown = word.encode().decode("latin-1").translate(_SHOWN)
         return array(self.kind, [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
