@@ -10,7 +10,7 @@ from pageloom.functions import text as tx
 from pageloom.operators import chat, dates, doctext, edits, requests, spans
 from pageloom.schemas import PAGE
 from pageloom.sources import corpus, html, sinks
-from pageloom.streaming import logs, replay
+from pageloom.streaming import gates, logs, replay
 from pageloom.streaming.run import run_available
 from workloads import views as v
 from workloads.layout_queries import DOC_SQL
@@ -598,3 +598,28 @@ SELECT CAST(epoch_us(date_trunc('hour', ts)) AS BIGINT) AS window_us, client_ip,
 def rate_stream(spark, sf):
     out = run_available(logs.rate_stream(_stream(spark, sf, v.requests)))
     return out.groupBy(F.unix_micros("window_start").alias("window_us"), "client_ip").agg(F.max("n").alias("n"))
+
+
+@query("rate_gate_stream", """
+SELECT client_ip, request_no AS request_id, CAST(epoch_us(ts) AS BIGINT) AS us, in_window, in_window <= 3 AS within_rate
+FROM v_rate WHERE ts < (SELECT max(ts) FROM v_request) - INTERVAL 10 MINUTE""")
+def rate_gate_stream(spark, sf):
+    """The requests that the watermark has passed when the input ends."""
+    return run_available(gates.rate_gate_stream(_stream(spark, sf, v.requests), 3600, 3), mode="append")
+
+
+@query("current_answer_stream", """
+SELECT doc_id, request_id, 'a' || request_id AS answer FROM (
+  SELECT user_id AS doc_id, event_id AS request_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1)
+WHERE event_type <> 'error'""")
+def current_answer_stream(spark, sf):
+    """Every event is a request; all but errors are answered."""
+    asked = _stream(spark, sf, lambda _, __, e: e.select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("request_id"), "event_type"))
+    told = asked.where("event_type <> 'error'").withColumn("answer", F.concat(F.lit("a"), F.col("request_id").cast("string")))
+    return gates.current_answers(run_available(gates.current_answer_stream(asked, told)))
+
+
+@query("edit_map_stream", REPLAY_SQL)
+def edit_map_stream(spark, sf):
+    log = _stream(spark, sf, v.edit_events).where("action NOT IN ('undo', 'redo')")
+    return replay.live_edits(run_available(replay.edit_map_stream(log))).select("doc_id", "add_seq", "add_ord", "id", "kind", "z", "text")
