@@ -313,12 +313,13 @@ def without_near_duplicates(docs: DataFrame, **how) -> DataFrame:
     Rows without an id stay as they are: nothing links them. All columns pass through.
     """
     classes = near_duplicates(docs, **how)
-    gone = classes.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_g_id")).distinct()
-    kept = docs.join(gone, F.col("doc_id") == F.col("_g_id"), "left_anti")
+    other = fresh(docs, "_g_id")
+    gone = classes.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(other)).distinct()
+    kept = docs.join(gone, F.col("doc_id") == F.col(other), "left_anti")
     # Repeated ids are rare; only their rows are ranked.
-    again = classes.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_g_id"))
+    again = classes.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(other))
     rank, twice = fresh(docs, "_rank"), fresh(docs, "_twice")
-    marked = kept.join(again.withColumn(twice, F.lit(True)), F.col("doc_id") == F.col("_g_id"), "left").drop("_g_id")
+    marked = kept.join(again.withColumn(twice, F.lit(True)), F.col("doc_id") == F.col(other), "left").drop(other)
     single, repeated = marked.where(F.col(twice).isNull()), marked.where(F.col(twice).isNotNull())
     order: list[Column] = [F.col(c).cast("string") for c in docs.columns]
     repeated = repeated.withColumn(rank, F.row_number().over(W.partitionBy("doc_id").orderBy(*order))).where(F.col(rank) == 1)

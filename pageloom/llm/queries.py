@@ -98,7 +98,8 @@ def op6_line_join(spark, sf_dir):
     found = lines.repeated_lines(docs)
     counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_lines", "n_removed", "n_links")]
     lists = [F.coalesce(c, F.array().cast(found.schema[c].dataType)).alias(c) for c in ("removed", "classes")]
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(found, "doc_id", "left").select("doc_id", *counts, *lists)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
+    return rows.join(found, ["doc_id", "text_hash"], "left").select("doc_id", *counts, *lists)
 
 
 @query("op7_url_vocabulary", _urls_sql())

@@ -202,12 +202,12 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     replaced; an empty table gives an empty result.
     """
     runs = repeated_windows(docs, doc_id, text, width, anchor)
-    runs = runs.groupBy(F.col("doc_id").alias("_r_id"), F.col("text_hash").alias("_r_text")).agg(
-        F.collect_list(F.struct("start", "n_windows")).alias("_r_runs"))
     docs = docs.drop(*(c for c in docs.columns if c.lower() in ("n_words", "n_removed", "kept_words") and c not in (doc_id, text)))
-    name = fresh(docs, "_text_hash")
+    name, r_id, r_text, r_runs = (fresh(docs, c) for c in ("_text_hash", "_r_id", "_r_text", "_r_runs"))
+    runs = runs.groupBy(F.col("doc_id").alias(r_id), F.col("text_hash").alias(r_text)).agg(
+        F.collect_list(F.struct("start", "n_windows")).alias(r_runs))
     hashed = text_hashes(docs, name, text)
-    joined = hashed.join(runs, (F.col(doc_id) == F.col("_r_id")) & (F.col(name) == F.col("_r_text")), "left").drop("_r_id", "_r_text", name)
+    joined = hashed.join(runs, (F.col(doc_id) == F.col(r_id)) & (F.col(name) == F.col(r_text)), "left").drop(r_id, r_text, name)
     schema = docs.select("*", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"),
                          F.lit("").alias("kept_words")).schema
     others = docs.columns
@@ -215,7 +215,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in slices(batches, text, 8 << 20):
             n_words, n_removed, kept = [], [], []
-            for value, spans in zip(batch.column(text).to_pylist(), batch.column("_r_runs").to_pylist()):
+            for value, spans in zip(batch.column(text).to_pylist(), batch.column(r_runs).to_pylist()):
                 words = (value or "").encode().split()
                 n_words.append(len(words))
                 if spans:

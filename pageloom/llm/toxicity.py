@@ -53,9 +53,12 @@ def maximal_segments(at: list[int], scores: list[float], drift: float = DRIFT) -
     """All maximal scoring segments ``(score, first, end)`` of a text whose tokens ``at`` score and all others cost ``drift``.
 
     A stack of candidates with the sums left of and up to each; a candidate joins the last
-    one whose left sum is smaller, if that one's right sum is smaller too. Linear time.
+    one whose left sum is smaller, if that one's right sum is smaller too. Linear time: a
+    candidate knows the last one with a smaller left sum, so those between are passed over,
+    and where there is none, all that stand before are final.
     """
-    stack: list[tuple[float, float, int, int]] = []  # left sum, right sum, first, end
+    done: list[tuple[float, int, int]] = []
+    stack: list[tuple[float, float, int, int, int]] = []  # left sum, right sum, first, end, last one with a smaller left sum
     total, end = 0.0, 0
     for i, s in zip(at, scores):
         total -= drift * (i - end)
@@ -63,17 +66,20 @@ def maximal_segments(at: list[int], scores: list[float], drift: float = DRIFT) -
         left, total = total, total + s
         if s <= 0:
             continue
-        new = (left, total, i, i + 1)
+        first, k = i, len(stack) - 1
         while True:
-            k = len(stack) - 1
-            while k >= 0 and stack[k][0] >= new[0]:
-                k -= 1
-            if k < 0 or stack[k][1] >= new[1]:
-                stack.append(new)
+            while k >= 0 and stack[k][0] >= left:
+                k = stack[k][4]
+            if k < 0:
+                done.extend((r - a, f, e) for a, r, f, e, _ in stack)
+                stack = []
+            if k < 0 or stack[k][1] >= total:
+                stack.append((left, total, first, i + 1, k))
                 break
-            new = (stack[k][0], new[1], stack[k][2], new[3])
+            left, _, first, _, before = stack[k]
             del stack[k:]
-    return [(r - a, first, end) for a, r, first, end in stack]
+            k = before
+    return done + [(r - a, f, e) for a, r, f, e, _ in stack]
 
 
 class _Scores(dict):

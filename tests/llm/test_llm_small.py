@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -125,6 +126,45 @@ def test_toxicity_without_labels(spark, docs, empty):
     assert toxicity.score(empty, model).count() == 0
 
 
+def test_segments_in_linear_time():
+    """Sparse hits that never join, joining ones, and both in turn: the steps grow with the hits."""
+    for gap in (40, 3):
+        for n in (4_000, 64_000):
+            began = time.process_time()
+            toxicity.maximal_segments([gap * i for i in range(n)], [5.0 if i % 7 else 0.7 for i in range(n)])
+            assert time.process_time() - began < n * 2e-5 + 0.05
+
+
+# --- clashing names, shared ids ----------------------------------------------------------------
+
+def test_helper_columns_never_clash(spark):
+    names = ["_g_id", "_rank", "_twice", "_m_id", "_m_content", "_m_epoch", "_m_at", "_m_words", "_m_n", "_size", "_r_id", "_r_text", "_r_runs", "_text_hash",
+             "_line_doc", "_line_row", "_line_cut", "_copy_key", "size", "n", "row", "key", "at", "cell"]
+    rng = random.Random(3)
+    data = [(i, made(rng, 40) if i % 3 else "one text here\nof several lines and words that come again and again in full", "a") for i in range(12)]
+    plain = spark.createDataFrame(data, "doc_id long, text string, source string")
+    odd = plain.select("*", *(F.lit(k).alias(c) for k, c in enumerate(names)))
+    for fn in (minhash.without_near_duplicates, mixing.mixed_documents, repeats.without_repeats, lines.without_repeated_lines):
+        got, want = fn(odd), fn(plain)
+        same = plain.columns + [c for c in want.columns if c not in plain.columns]
+        assert set(got.columns) == {*odd.columns, *same}
+        assert sorted(map(tuple, got.select(same).collect())) == sorted(map(tuple, want.select(same).collect()))
+        assert got.select(names).distinct().count() == 1
+
+
+def test_rows_of_one_id_keep_their_own_lines_and_copies(spark):
+    data = [(1, "a b c d e"), (3, "a b c d e\nx y z"), (3, "unique line of its own\nk l m")]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in data], "doc_id long, text string, source string")
+    got = sorted((r["doc_id"], r["text"]) for r in lines.without_repeated_lines(docs).collect())
+    assert got == [(1, "a b c d e"), (3, "unique line of its own\nk l m"), (3, "x y z")]
+    same = spark.createDataFrame([(7, "one two three four", "s"), (7, "five six", "s"), (7, "seven", "t"), (7, "seven", "t")], "doc_id long, text string, source string")
+    out = [(r["text"], r["source"]) for r in mixing.mixed_documents(same, weight=lambda rank: F.lit(1.0)).collect()]
+    taken = mixing.mix(same, weight=lambda rank: F.lit(1.0)).collect()
+    for text, source in {(r["text"], r["source"]) for r in same.collect()}:
+        n, own = len(text.split()), [r["taken"] for r in taken if r["source"] == source and r["size"] == len(text.split())]
+        assert abs(out.count((text, source)) / len(own) - sum(own) / len(own) / n) <= 1.01
+
+
 # --- tokens ------------------------------------------------------------------------------------
 
 def test_pieces_encode_like_whole_texts():
@@ -343,13 +383,16 @@ def test_lines_against_brute_force(spark, empty):
     for i, k, s in all_lines:
         first[s] = min(first.get(s, (i, k)), (i, k))
     near = {s: [o for o in first if o != s and 100 * len(s & o) >= 80 * len(s | o)] for s in first}
-    want = collections.defaultdict(lambda: [0, 0, 0])
-    for i, k, s in all_lines:
-        want[i][0] += 1
-        want[i][1] += (i, k) > min([first[s], *(first[o] for o in near[s])])
-        want[i][2] += len(near[s])
-    got = {r["doc_id"]: [r["n_lines"], r["n_removed"], r["n_links"]] for r in lines.repeated_lines(frame(spark, data)).collect()}
-    assert got == dict(want) and sum(w[2] for w in want.values()) > 0
+    # One result a text of an id: repeated rows are reported once, rows of one id with different texts apart.
+    want = collections.defaultdict(list)
+    for i, t in sorted({x for x in data if x[0] is not None and (x[1] or "").strip()}):
+        mine = [(k, frozenset(x.replace("\t", " ").split())) for k, x in enumerate(t.split("\n")) if x.strip()]
+        want[i].append([len(mine), sum((i, k) > min([first[s], *(first[o] for o in near[s])]) for k, s in mine), sum(len(near[s]) for _, s in mine)])
+    got = collections.defaultdict(list)
+    for r in lines.repeated_lines(frame(spark, data)).collect():
+        got[r["doc_id"]].append([r["n_lines"], r["n_removed"], r["n_links"]])
+    order = lambda found: {i: sorted(x) for i, x in found.items()}
+    assert order(got) == order(want) and sum(w[2] for x in want.values() for w in x) > 0
     kept = lines.without_repeated_lines(frame(spark, data))
     assert kept.columns == DOC.names and kept.count() == len(data)
     assert lines.repeated_lines(empty).count() == 0
