@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from pyspark.sql import types as T
 from pageloom.functions import text as tx
 from pageloom.functions.geometry import Rect, horizontal_overlap, union_aggs
 from pageloom.plans.folds import fold_columns
-from pageloom.plans.grid import grid_pairs
+from pageloom.plans.grid import FAR, grid_pairs
 from pageloom.schemas import PAGE
 
 LINE = [*PAGE, "row_id", "seg"]
@@ -165,9 +167,22 @@ def _spacing_breaks(gap: float, expected: float) -> bool:
     return abs(gap - expected) > max(2.0, expected * 0.35)
 
 
-def _median(values: list[float]) -> float:
-    ordered, mid = sorted(values), len(values) // 2
-    return ordered[mid] if len(ordered) % 2 else (ordered[mid - 1] + ordered[mid]) / 2
+class RunningMedian:
+    """The median of what has been added: the smaller half in one heap, the larger in another."""
+
+    def __init__(self):
+        self.low: list[float] = []   # negated, so that the largest of the half is first
+        self.high: list[float] = []
+
+    def add(self, value: float) -> None:
+        heapq.heappush(self.high, -heapq.heappushpop(self.low, -value))
+        if len(self.high) > len(self.low):
+            heapq.heappush(self.low, -heapq.heappop(self.high))
+
+    def value(self) -> float | None:
+        if not self.low:
+            return None
+        return -self.low[0] if len(self.low) > len(self.high) else (-self.low[0] + self.high[0]) / 2
 
 
 class _Blocks:
@@ -189,10 +204,10 @@ class _Blocks:
                     best = (away, block)
         if best is None:
             self.count += 1
-            self.open.append({"id": self.count, "last": line, "gaps": []})
+            self.open.append({"id": self.count, "last": line, "usual": RunningMedian()})
             return self.count
         block = best[1]
-        block["gaps"].append(block["last"]["baseline"] - line["baseline"])
+        block["usual"].add(block["last"]["baseline"] - line["baseline"])
         block["last"] = line
         return block["id"]
 
@@ -210,7 +225,8 @@ class _Blocks:
         ratio = max(0.0, overlap) / max(1.0, min(last["w"], line["w"]))
         if abs(last["x"] - line["x"]) > max(9.0, size) and ratio < 0.7:
             return False
-        return not (block["gaps"] and _spacing_breaks(gap, _median(block["gaps"])))
+        usual = block["usual"].value()
+        return usual is None or not _spacing_breaks(gap, usual)
 
 
 def _style_key() -> Column:
@@ -308,30 +324,47 @@ def hit_test(points: DataFrame, runs: DataFrame) -> DataFrame:
     return hits.select(*PAGE, "point_id", "hit.*")
 
 
+class _Sweep:
+    """Blocks of one strip, lowest first; a list asks for the highest one so far that shares its column."""
+
+    def __init__(self):
+        self.passed: list[tuple[int, float, float, float]] = []
+
+    def meet(self, row: tuple) -> tuple:
+        is_list, block, x, w, top = row
+        if not is_list:
+            self.passed.append((block, x, w, top))
+            return None, None
+        for other, ox, ow, otop in reversed(self.passed):
+            shared = min(x + w, ox + ow) - max(x, ox)
+            if other != block and shared >= max(2.0, min(w, ow) * 0.2):
+                return other, otop
+        return None, None
+
+
 def next_block_below(lists: DataFrame, block_rows: DataFrame, column_width: float = 128.0) -> DataFrame:
     """Highest other block under each list in the same column, and the free height to it.
 
     ``lists`` has the cover rectangle as ``cover_*`` and the text rectangle as
-    ``list_*``. A list with nothing below it reaches to the page bottom.
+    ``list_*``. A list with nothing below it reaches to the page bottom. Blocks and lists are sorted by
+    height in each strip of the page and passed once from the bottom up: a list meets the blocks right below
+    it, until one shares its column. Rectangles without finite edges share no column.
     """
     span = lambda lo, hi: F.explode(F.sequence(F.floor(lo / column_width), F.floor(hi / column_width)))
-    lrect, brect = Rect.of("list_"), Rect.of("n_")
-    near = block_rows.select(
-        *PAGE, F.col("block_ord").alias("n_block_ord"),
-        *[F.col(c).alias(f"n_{c}") for c in ("x", "y", "w", "h")])
-    left = (lists.select(*PAGE, "block_ord", "cover_y", *[f"list_{c}" for c in ("x", "y", "w", "h")])
-                 .withColumn("_c", span(lrect.x, lrect.right)))
-    right = near.withColumn("_c", span(brect.x, brect.right))
-    shared = horizontal_overlap(lrect, brect)
-    below = (left.join(right, [*PAGE, "_c"])
-             .where((F.col("n_block_ord") != F.col("block_ord")) & (brect.top <= F.col("cover_y") + 0.5)
-                    & (shared >= F.greatest(F.lit(2.0), F.least(lrect.w, brect.w) * 0.2)))
-             .groupBy(*PAGE, "block_ord")
-             .agg(F.max_by(F.struct("n_block_ord", brect.top.alias("n_top")),
-                           F.struct(brect.top, -F.col("n_block_ord"))).alias("_n")))
+    lrect, brect = Rect.of("list_"), Rect.of()
+    finite = lambda r: (F.abs(r.x) < FAR) & (F.abs(r.right) < FAR) & ~F.isnan(r.x) & ~F.isnan(r.right) & (r.w >= 0)
+    rows = lambda df, r, at, is_list: df.where(finite(r)).select(
+        *PAGE, F.col("block_ord").alias("_block"), r.x.alias("_x"), r.w.alias("_w"), at.alias("_at"),
+        F.lit(is_list).alias("_list"), span(r.x, r.right).alias("_c"))
+    both = rows(block_rows, brect, brect.top, False).unionByName(rows(lists, lrect, F.col("cover_y") + 0.5, True))
+    order = ["_at", "_list", F.col("_block").desc()]
+    swept = fold_columns(both, [*PAGE, "_c"], order, ["_list", "_block", "_x", "_w", "_at"], _Sweep, lambda state, row: state.meet(row),
+                         T.StructType([T.StructField("_next", T.LongType()), T.StructField("_top", T.DoubleType())]))
+    below = (swept.where("_list AND _next IS NOT NULL").groupBy(*PAGE, F.col("_block").alias("block_ord"))
+                  .agg(F.max_by(F.struct("_next", "_top"), F.struct(F.col("_top"), -F.col("_next"))).alias("_n")))
     joined = lists.join(below, [*PAGE, "block_ord"], "left")
-    room = F.col("cover_y") + F.col("cover_h") - F.coalesce(F.col("_n.n_top"), F.lit(0.0))
-    return (joined.withColumn("next_block_ord", F.col("_n.n_block_ord"))
+    room = F.col("cover_y") + F.col("cover_h") - F.coalesce(F.col("_n._top"), F.lit(0.0))
+    return (joined.withColumn("next_block_ord", F.col("_n._next"))
                   .withColumn("available_height_pt", F.greatest(F.lit(0.0), room)).drop("_n"))
 
 

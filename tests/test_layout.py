@@ -244,3 +244,40 @@ def test_rows_mode_difference_is_the_running_mean(spark):
     window = layout.assign_rows(run_rows(spark, rows)).select("row_id").distinct().count()
     exact = layout.assign_rows(run_rows(spark, rows), "exact").select("row_id").distinct().count()
     assert window == 1 and exact > 1
+
+
+def test_running_median():
+    import statistics
+    import time
+    rng = random.Random(4)
+    for _ in range(60):
+        values, m = [], layout.RunningMedian()
+        assert m.value() is None
+        for _ in range(rng.randrange(1, 60)):
+            values.append(rng.choice([1.0, 2.5, rng.uniform(-5, 5)]))
+            m.add(values[-1])
+            assert m.value() == statistics.median(values)
+    began, state = time.process_time(), layout._Blocks()
+    for i in range(60_000):  # one paragraph of very many lines
+        state.add((1e7 - 14.0 * i - (i % 3) * 0.1, 40.0, 400.0, 10.0, "s", True, False, 10.0))
+    assert state.count == 1 and time.process_time() - began < 5
+
+
+def test_next_block_below_against_all_pairs(spark):
+    rng = random.Random(31)
+    block, wanted = [], []
+    for page in range(6):
+        for k in range(40):
+            block.append((1, page, k, float(rng.randrange(0, 500, 20)), float(rng.randrange(0, 700, 10)), float(rng.choice([1, 30, 200, 450])), 10.0))
+    lists = [(d, p, k, x, y, w, h, x - 1, y - 1, w + 2, h + 2) for d, p, k, x, y, w, h in block if k % 4 == 0]
+    block.append((1, 0, 90, float("inf"), 5.0, 10.0, 10.0))
+    brows = spark.createDataFrame(block, "doc_id long, page_index int, block_ord long, x double, y double, w double, h double")
+    names = [f"{p}_{c} double" for p in ("list", "cover") for c in "xywh"]
+    lrows = spark.createDataFrame(lists, "doc_id long, page_index int, block_ord long, " + ", ".join(names))
+    for d, p, k, x, y, w, h, _, cy, _, ch in lists:
+        under = [(by + bh, -bk) for _, bp, bk, bx, by, bw, bh in block if bp == p and bk != k and by + bh <= cy + 0.5
+                 and min(x + w, bx + bw) - max(x, bx) >= max(2.0, min(w, bw) * 0.2)]
+        top, near = max(under, default=(0.0, None))
+        wanted.append((p, k, None if near is None else -near, max(0.0, cy + ch - top)))
+    got = layout.next_block_below(lrows, brows).select("page_index", "block_ord", "next_block_ord", "available_height_pt").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(wanted, key=repr)
