@@ -9,7 +9,7 @@ from pageloom.functions import colors, dates as fd, geometry as g, text as tx
 from pageloom.operators import chat, compare, dates, edits, paint, pixels, requests
 from pageloom.plans.order import global_position
 from pageloom.schemas import EDIT_EVENT, PAINT_OP
-from pageloom.sources import corpus, html
+from pageloom.sources import corpus, html, sinks
 from pageloom.streaming import replay
 from pageloom.streaming.run import run_available
 from workloads import views as v
@@ -241,3 +241,22 @@ def test_repeated_answers_are_dropped_in_a_stream(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "answers"))
     got = run_available(logs.latest_wins_stream(stream), mode="append").collect()
     assert sorted((r.doc_id, r.request_id) for r in got) == [(1, 7), (1, 8), (2, 7)]
+
+
+def test_exports_are_versions_behind_a_manifest(spark, tmp_path):
+    path = str(tmp_path / "export")
+    rows = lambda n: spark.range(n).selectExpr("id", "if(id % 2 = 0, 'text', 'line') AS kind")
+    warned = spark.createDataFrame([(1, "w")], "doc_id long, warning string")
+    first = sinks.write_export(rows(4), warned, path)
+    second = sinks.write_export(rows(6), warned.limit(0), path)
+    edits_, warnings = sinks.read_export(spark, path)
+    assert (edits_.count(), warnings.count(), sorted(edits_.columns)) == (6, 0, ["id", "kind"])
+    # A write that fails half-way leaves the current export as it is.
+    with pytest.raises(Exception):
+        sinks.write_export(rows(9), warned.select(F.raise_error(F.lit("stop")).alias("x")), path)
+    assert sinks.read_export(spark, path)[0].count() == 6
+    assert sinks.read_export(spark, path, first)[0].count() == 4 and first < second
+    sinks.write_export(rows(0), warned.limit(0), path)
+    assert sinks.read_export(spark, path)[0].count() == 0
+    with pytest.raises(ValueError, match="no such export"):
+        sinks.read_export(spark, path, "never")

@@ -365,7 +365,7 @@ def export_sink(spark, sf):
     log = v.edits(spark, sf)
     warnings = log.where("kind = 'text'").select("doc_id", F.concat(F.lit("check "), "id").alias("warning"))
     sinks.write_export(log, warnings, path)
-    return spark.read.parquet(f"{path}/edits").groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.max("z").alias("top_z"))
+    return sinks.read_export(spark, path)[0].groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.max("z").alias("top_z"))
 
 
 @query("export_replayed", f"""
@@ -377,8 +377,9 @@ def export_replayed(spark, sf):
     live = edits.replay_edits(_events(spark, sf)).withColumns({"font_name": font, "bold": F.lit(False), "italic": F.lit(False)})
     mapped = sinks.map_fonts(live)
     sinks.write_export(mapped.drop("warning"), mapped.where("warning IS NOT NULL").select("doc_id", "id", "warning"), path)
-    kept = spark.read.parquet(f"{path}/edits").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_edits"), F.max("z").alias("top_z"))
-    warned = spark.read.parquet(f"{path}/warnings").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_warnings"))
+    written, told = sinks.read_export(spark, path)
+    kept = written.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_edits"), F.max("z").alias("top_z"))
+    warned = told.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_warnings"))
     return kept.join(warned, "doc_id", "left").select("doc_id", "n_edits", "top_z", F.coalesce("n_warnings", F.lit(0)).alias("n_warnings"))
 
 
