@@ -23,7 +23,7 @@ def histogram(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY)
 
 
 def suffix_sums(hist: DataFrame) -> DataFrame:
-    """Per length: ``n_docs, docs_at_least, tokens_at_least, docs_up_to, n_tokens_up_to, truncated_total``.
+    """Per length: ``n_docs, docs_at_least, tokens_at_least, docs_up_to, tokens_up_to, truncated_total``.
 
     ``truncated_total`` counts the ids that remain if every document is cut at this
     length. Blocks of lengths are summed first, so that one task sees one row a block.
