@@ -43,7 +43,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = f"{checkpoint_dir(spark).rstrip('/')}/token-files-{uuid.uuid4().hex}"
-    dac.write_tokens(docs, path, order=POSITION)
+    dac.write_tokens(docs, path, order=POSITION, forget=True)
     return dac.read_tokens(spark, path)
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pageloom.llm.common import in_arrow, slices
+from pageloom.llm.common import give_back, in_arrow, slices
 from pageloom.llm.tokens import VOCABULARY, encoder, shipped
 
 MAGIC, HEADER, BLOCK = b"DAC1", "<4sBxxxQQ", 512
@@ -117,10 +117,11 @@ class Shard:
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id: int = 0,
-                 shard_tokens: int = SHARD_TOKENS, order: str = "doc_id") -> None:
+                 shard_tokens: int = SHARD_TOKENS, order: str = "doc_id", forget: bool = False) -> None:
     """Encode ``docs`` (``doc_id``, ``text``) and write the shards in ascending order of the column ``order``.
 
-    Rows alike in ``order`` follow each other by ``doc_id``.
+    Rows alike in ``order`` follow each other by ``doc_id``. With ``forget`` a worker drops its remembered pieces after
+    each task: less memory for what runs in it later, at some CPU time.
     ``end_id`` follows every document. A null text counts as empty. Rows without an id
     come first; rows with the same id follow each other, ordered by their text's hash.
     An empty table gives an empty shard table. Other columns are not read.
@@ -154,6 +155,9 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_i
                     keys, ids, held, seq = [], [], 0, seq + 1
         if keys:
             yield shard()
+        if forget:
+            enc.forget()
+            give_back()
 
     ordered.transform(in_arrow, run, SHARD_SCHEMA).write.parquet(path)
 

@@ -75,6 +75,11 @@ class Encoder:
         self.kind = "H" if self.dtype.itemsize == 2 else "I"
         self.known = _Pieces(self.whole, self._merge)
 
+    def forget(self) -> None:
+        """Drop the remembered pieces."""
+        self.known.clear()
+        self.known.older = {}
+
     def whole(self, text: str) -> bytes:
         return array(self.kind, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
