@@ -13,18 +13,22 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from pageloom.operators.requests import client_ip
 
-_INSTANT = T.StructType([T.StructField("us", T.LongType())])
-_COUNT = T.StructType([T.StructField("n", T.LongType())])
-_IDS = T.StructType([T.StructField("ids", T.ArrayType(T.LongType()))])
+_SEEN = T.StructType([T.StructField("client_ip", T.StringType()), T.StructField("request_id", T.LongType()), T.StructField("us", T.LongType()),
+                     T.StructField("waits", T.BooleanType())])
+_DUE = T.StructType([T.StructField("ms", T.LongType())])
+#: Clients share this many groups in a block of time.
+GROUPS = 16
 GATED = T.StructType([T.StructField("client_ip", T.StringType()), T.StructField("request_id", T.LongType()), T.StructField("us", T.LongType()),
                       T.StructField("in_window", T.LongType()), T.StructField("within_rate", T.BooleanType())])
 
 
 class RateGate(StatefulProcessor):
-    """One client's instants of the trailing window, and the requests that wait for the watermark.
+    """The requests of one block of time, and of the block before it, from one group of clients.
 
-    An instant is settled once the watermark has passed it: then no request at or before it can
-    arrive. Instants that no later window reaches leave the state, so an idle client has none.
+    A block is as long as the window. A request waits in its own block and is only counted in the next one, so
+    the state of a key is bounded by two windows, and a client's history is spread over its blocks. An instant is
+    settled once the watermark has passed it: then no request at or before it can arrive. A key has one timer,
+    at its earliest waiting instant or else at its block's end, where its state goes.
     """
 
     def __init__(self, window_us: int, limit: int):
@@ -32,38 +36,54 @@ class RateGate(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.counts = handle.getMapState("counts", _INSTANT, _COUNT)
-        self.waiting = handle.getMapState("waiting", _INSTANT, _IDS)
+        self.seen = handle.getListState("seen", _SEEN)
+        self.due = handle.getValueState("due", _DUE)
+
+    @staticmethod
+    def _settles(us: int) -> int:
+        """The first watermark, in milliseconds, that settles an instant."""
+        return (us + 999) // 1000 + 1
+
+    def _block_end(self, key) -> int:
+        return -(-(int(key[1]) + 1) * self.window_us // 1000)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        met: dict[int, list[int]] = {}
-        for pdf in rows:
-            for us, request in zip(pdf["us"].tolist(), pdf["request_id"].tolist()):
-                if us > passed:
-                    met.setdefault(int(us), []).append(int(request))
-        for us, ids in met.items():
-            at = (us,)
-            before = int(self.counts.getValue(at)[0]) if self.counts.containsKey(at) else 0
-            self.counts.updateValue(at, (before + len(ids),))
-            held = [int(i) for i in self.waiting.getValue(at)[0]] if self.waiting.containsKey(at) else []
-            self.waiting.updateValue(at, (held + ids,))
-            self.handle.registerTimer(us // 1000 + 1)
-            self.handle.registerTimer((us + self.window_us) // 1000 + 2)
+        met = [(client, int(request), int(us), bool(waits)) for pdf in rows
+               for client, request, us, waits in zip(pdf["client_ip"], pdf["request_id"], pdf["us"], pdf["waits"]) if us > passed]
+        if met:
+            self.seen.appendList(met)
+            at = min([self._settles(us) for _, _, us, waits in met if waits], default=self._block_end(key))
+            before = int(self.due.get()[0]) if self.due.exists() else None
+            if before is None or at < before:
+                if before is not None:
+                    self.handle.deleteTimer(before)
+                self.handle.registerTimer(at)
+                self.due.update((at,))
         yield pd.DataFrame(columns=GATED.names)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        settled = sorted((int(k[0]), [int(i) for i in v[0]]) for k, v in self.waiting.iterator() if int(k[0]) < passed - 999)
-        known = sorted((int(k[0]), int(v[0])) for k, v in self.counts.iterator())
-        at, total = np.array([u for u, _ in known], np.int64), np.cumsum([0, *(n for _, n in known)])
-        out = []
-        for us, ids in settled:
-            n = int(total[np.searchsorted(at, us, "right")] - total[np.searchsorted(at, us - self.window_us, "left")])
-            out += [(key[0], i, us, n, n <= self.limit) for i in ids]
-            self.waiting.removeKey((us,))
-        for us in at[at < passed - self.window_us].tolist():
-            self.counts.removeKey((us,))
+        seen = list(self.seen.get())
+        clients, requests = [r[0] for r in seen], [int(r[1]) for r in seen]
+        us, waits = np.array([int(r[2]) for r in seen], np.int64), np.array([bool(r[3]) for r in seen], bool)
+        settled = waits & (us < passed - 999)
+        # A client's instants follow each other, a stretch apart from the next client's that no window crosses.
+        codes: dict[str, int] = {}
+        at = np.array([codes.setdefault(c, len(codes)) for c in clients], np.int64) * (4 * self.window_us) + (us - int(key[1]) * self.window_us)
+        line = np.sort(at)
+        counts = np.searchsorted(line, at[settled], "right") - np.searchsorted(line, at[settled] - self.window_us, "left")
+        out = [(clients[i], requests[i], int(us[i]), int(n), bool(n <= self.limit)) for i, n in zip(np.flatnonzero(settled).tolist(), counts.tolist())]
+        if passed >= self._block_end(key) * 1000 and not (waits & ~settled).any():
+            self.seen.clear()
+            self.due.clear()
+        else:
+            waits &= ~settled
+            left = [(clients[i], requests[i], int(us[i]), bool(waits[i])) for i in np.flatnonzero(waits | (us >= passed - self.window_us)).tolist()]
+            self.seen.put(left) if left else self.seen.clear()
+            due = min([self._settles(u) for u in us[waits].tolist()], default=self._block_end(key))
+            self.handle.registerTimer(due)
+            self.due.update((due,))
         yield pd.DataFrame(out, columns=GATED.names)
 
     def close(self) -> None:
@@ -76,12 +96,18 @@ def rate_gate_stream(requests: DataFrame, window_seconds: int, limit: int, reque
     ``in_window`` counts the client's requests of the trailing window, those of the same instant included, as
     :func:`~pageloom.operators.requests.rate_flags` does for a table. Requests that come more than ``late`` behind
     the newest one are neither counted nor answered; those without a time or id are left out. Append mode; needs
-    the RocksDB state store.
+    the RocksDB state store. State is kept by block of one window and group of clients, so that a busy client's
+    instants are spread over blocks and each is looked at a set number of times for every time its block settles.
     """
+    span = window_seconds * 1_000_000
     keyed = requests.where(F.col("ts").isNotNull() & F.col(request_id).isNotNull()).select(
         client_ip(F.col("headers")).alias("client_ip"), F.col(request_id).cast("long").alias("request_id"), F.unix_micros("ts").alias("us"), "ts")
-    return keyed.withWatermark("ts", late).groupBy("client_ip").transformWithStateInPandas(
-        statefulProcessor=RateGate(window_seconds * 1_000_000, limit), outputStructType=GATED, outputMode="Append", timeMode="EventTime")
+    home = F.expr(f"(us - pmod(us, {span}L)) div {span}L")
+    spread = (keyed.withColumn("_group", F.pmod(F.xxhash64("client_ip"), F.lit(GROUPS))).withColumn("_home", home)
+                   .withColumn("_block", F.explode(F.array(F.col("_home"), F.col("_home") + 1)))
+                   .withColumn("waits", F.col("_block") == F.col("_home")).drop("_home"))
+    return spread.withWatermark("ts", late).groupBy("_group", "_block").transformWithStateInPandas(
+        statefulProcessor=RateGate(span, limit), outputStructType=GATED, outputMode="Append", timeMode="EventTime")
 
 
 _REQUEST = T.StructType([T.StructField("request_id", T.LongType())])
