@@ -118,7 +118,8 @@ def region_richness(regions: DataFrame, pixels: DataFrame) -> DataFrame:
     pick = lambda lo, hi, k: F.floor(F.col(lo) + (F.col(k) + 0.5) * (F.col(hi) - F.col(lo)) / SAMPLE)
     cells = grid.withColumn("_sx", pick("x1", "x2", "_i")).withColumn("_sy", pick("y1", "y2", "_j"))
     source = pixels.select("image_id", F.col("px").cast("long").alias("_sx"), F.col("py").cast("long").alias("_sy"), "r", "g", "b", "a")
-    sampled = cells.join(source, ["image_id", "_sx", "_sy"]).select(
+    # The regions' size tells nothing of their cells': neither side may be taken for small and sent to every task.
+    sampled = cells.join(source.hint("merge"), ["image_id", "_sx", "_sy"]).select(
         "region_id", F.col("_i").alias("px"), F.col("_j").alias("py"), "r", "g", "b", "a")
     share = region_windows(regions).select("region_id", "area_fraction")
     return image_richness(sampled, keys=["region_id"]).join(share, "region_id")
