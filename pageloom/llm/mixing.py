@@ -148,9 +148,9 @@ def mix(docs: DataFrame, weight: Callable[[Column], Column] = contract_weight,
 
 
 def copies(mixed: DataFrame) -> DataFrame:
-    """One row per copy that training reads: ``doc_id, content, epoch, position, words``, from ``mix``'s rows.
+    """One row per copy that training reads: ``doc_id, content, first, epoch, position, words``, from ``mix``'s rows.
 
-    ``words`` is below the document's size for the cut copy of each source.
+    Id, content and ``first`` name the row of ``mix`` that a copy is of. ``words`` is below the document's size for the cut copy of each source.
     """
     taken, size = F.col("taken"), F.col("size")
     reads = F.when(size > 0, F.ceil(taken / size)).otherwise(0)
@@ -158,7 +158,7 @@ def copies(mixed: DataFrame) -> DataFrame:
     start = F.col("first") + F.col("epoch") * F.col("source_size")
     return (out.withColumn("position", position(start, F.col("target"), F.col("pieces")))
                .withColumn("words", F.least(size, taken - F.col("epoch") * size))
-               .select("doc_id", "content", "epoch", "position", "words"))
+               .select("doc_id", "content", "first", "epoch", "position", "words"))
 
 
 def mixed_documents(docs: DataFrame, position_column: str | None = None, **how) -> DataFrame:
