@@ -25,3 +25,63 @@ def test_rate_gate_with_a_busy_client_is_linear(spark, tmp_path):
     key = lambda df, i: sorted(tuple(r) for r in df.select("client_ip", i, "in_window", "within_rate").collect())
     assert key(got, "request_id") == key(want, "request_no")
     assert {r.within_rate for r in got.select("within_rate").distinct().collect()} == {True, False}
+
+
+def test_words_are_cut_like_the_pattern(spark):
+    from pageloom.functions import text as tx
+    texts = ["", None, "  a  b\tc　d﻿", *("x" + chr(i) + "y" + chr(i) for i in [*range(1, 0x300), *range(0x1670, 0x1690), *range(0x1FF0, 0x2070), 0x3000, 0xFEFF])]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert df.where(~tx.words(F.col("text")).eqNullSafe(F.regexp_extract_all("text", F.lit(tx.NOT_WS + "+"), F.lit(0)))).count() == 0
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_fold_does_not_move_rows_that_lie_together(spark):
+    from pyspark.sql import types as T
+    from pageloom.plans.folds import fold_columns
+    rows = spark.createDataFrame([(i % 3, i % 2, -i) for i in range(40)], "a long, b long, v long").repartition(5, "a")
+    added = T.StructType([T.StructField("n", T.LongType())])
+
+    def step(seen, row):
+        seen.append(row[0])
+        return (len(seen),)
+
+    out = fold_columns(rows, ["a", "b"], ["v"], ["v"], list, step, added)
+    assert plan_of(out).count("Exchange") == 1
+    assert out.columns == ["a", "b", "v", "n"]
+    got = {}
+    for r in out.collect():
+        got.setdefault((r.a, r.b), []).append((r.n, r.v))
+    assert all([v for _, v in sorted(g)] == sorted(v for _, v in g) for g in got.values()) and sum(map(len, got.values())) == 40
+
+
+def test_region_samples_are_not_broadcast(spark):
+    from pageloom.operators import pixels
+    regions = spark.createDataFrame([(1, 1, 0.0, 0.0, 4.0, 4.0, 8, 8)], "region_id long, image_id long, left double, top double, width double, height double, image_w long, image_h long")
+    dots = spark.createDataFrame([(1, x, y, x * 9, y * 9, 3, 255) for x in range(8) for y in range(8)], "image_id long, px int, py int, r int, g int, b int, a int")
+    out = pixels.region_richness(regions.groupBy(*regions.columns).count(), dots)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=merge" in plan
+    assert out.collect()[0].region_id == 1
+
+
+def test_sizes_of_what_was_not_read_are_left_out(spark, sf):
+    from pageloom.plans.sizing import expanded_partitions
+    made = spark.createDataFrame([(1,)], "a long")
+    assert expanded_partitions(made, made.checkpoint()) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_mixing_query_takes_what_the_copies_take_in_training_order(spark, tmp_path):
+    from pageloom.llm import queries
+    rows = [(i // 2 if i < 8 else i, " ".join(["w"] * (i * 7 % 23)), "en", "abc"[i % 3] if i % 7 else None, 1) for i in range(60)]
+    spark.createDataFrame(rows + rows[:6], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.op4_mixing(spark, str(tmp_path))
+    from pageloom.llm import mixing
+    mixed = mixing.mix(spark.read.parquet(f"{tmp_path}/documents.parquet"))
+    key = lambda df: sorted(repr(tuple(r)) for r in df.select("doc_id", "size", "source_size", "target", "taken").collect())
+    assert key(out) == key(mixed) and out.count() == 66
+    order = [r.position for r in out.collect()]
+    placed = [p for p in order if p is not None]
+    assert placed == sorted(placed) and order[:len(placed)] == placed
