@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pageloom.plans.sizing import expanded_partitions
+
 
 def diff_ratio(expected: DataFrame, actual: DataFrame, group: list[str], keys: list[str],
                values: list[str], threshold: float = 0.1, scale: float = 255.0) -> DataFrame:
@@ -184,7 +186,8 @@ def nearest_within(left: DataFrame, right: DataFrame, on: list[str], left_id: st
     bucket = lambda c: F.floor(F.col(c) / threshold)
     spread = unique.withColumn("_b", F.explode(F.array(*[bucket("_pos") + d for d in (-1, 0, 1)])))
     rows = left.select(*on, F.col(left_pos).alias("_pos"), bucket(left_pos).alias("_b"), F.struct(left_id, left_pos).alias("_left"))
-    both = rows.unionByName(spread, allowMissingColumns=True)
+    # As many partitions as the rows need: a union forgets those of its sides, and two sorts follow.
+    both = rows.unionByName(spread, allowMissingColumns=True).repartition(expanded_partitions(left, right), *on, "_b")
     # At one position the right row sorts first in both directions.
     left_last = F.col("_left").isNotNull()
     up = W.partitionBy(*on, "_b").orderBy(F.col("_pos"), left_last)

@@ -317,11 +317,13 @@ def hit_test(points: DataFrame, runs: DataFrame) -> DataFrame:
     zero, slim = F.lit(0.0), runs.select(*PAGE, "run_ord", "text", "x", "y", "w", "h")
     placed = points.select(*PAGE, "point_id", "px", "py")
     # A point has one copy on each level: an outer join keeps the points that no run holds.
-    pairs = grid_pairs(placed, slim, PAGE, Rect(F.col("px"), F.col("py"), zero, zero), Rect.of(), large="right", how="left")
+    pairs = grid_pairs(placed, slim, PAGE, Rect(F.col("px"), F.col("py"), zero, zero), Rect.of(), large="right", how="left", keep_cells=True)
     best = F.min_by(F.struct("run_ord", "text", "x", "y", "w", "h"),
                     F.when(F.col("run_ord").isNotNull(), F.struct(F.col("w") * F.col("h"), -F.col("run_ord"))))
-    hits = pairs.groupBy(*PAGE, "point_id").agg(best.alias("hit"))
-    return hits.select(*PAGE, "point_id", "hit.*")
+    # All runs that a point meets on a level are in one task: the smallest of these is found there, and only it moves on.
+    hits = pairs.groupBy(*PAGE, "point_id", "_code", "_cx", "_cy").agg(best.alias("hit"))
+    smallest = F.min_by("hit", F.when(F.col("hit").isNotNull(), F.struct(F.col("hit.w") * F.col("hit.h"), -F.col("hit.run_ord"))))
+    return hits.groupBy(*PAGE, "point_id").agg(smallest.alias("hit")).select(*PAGE, "point_id", "hit.*")
 
 
 class _Sweep:

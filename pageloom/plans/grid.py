@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.functions.geometry import Rect
+from pageloom.plans.sizing import expanded_partitions
 
 CELL = (128.0, 64.0)
 #: Width of a level's cells in cells of the fine grid; the level after the last is the page.
@@ -76,14 +77,15 @@ def on_grid(df: DataFrame, rect: Rect, probed: list[int] = (), tag: int = 0, mee
 
 
 def grid_pairs(left: DataFrame, right: DataFrame, keys: list[str], left_rect: Rect, right_rect: Rect,
-               condition: Column | None = None, cell=CELL, large: str = "both", how: str = "inner") -> DataFrame:
+               condition: Column | None = None, cell=CELL, large: str = "both", how: str = "inner", keep_cells: bool = False) -> DataFrame:
     """Pairs of touching rectangles with equal ``keys``; other columns must not clash.
 
     A rectangle with a null or NaN edge or a negative size touches nothing; one of infinite size touches what it
     holds. ``large`` names the sides (``left``, ``right``, ``both``) that may hold a rectangle of more than ``MOST``
     cells, and which are asked for the levels they use (a job); the other side must have a known bound. With ``how="left"``
     every row of ``left`` comes out, without a partner once for each of its copies. The right side's key
-    columns are renamed internally and dropped.
+    columns are renamed internally and dropped. With ``keep_cells`` the left side's cell stays, in ``_code, _cx, _cy``:
+    a grouping by key and cell finds the pairs where they are.
     """
     if large not in ("left", "right", "both") or how not in ("inner", "left"):
         raise ValueError("large is left, right or both; how is inner or left")
@@ -95,6 +97,11 @@ def grid_pairs(left: DataFrame, right: DataFrame, keys: list[str], left_rect: Re
     for k, r in {**renamed, **{c: f"_r{c}" for c in ("_code", "_cx", "_cy")}}.items():
         rdf = rdf.withColumnRenamed(k, r)
     ldf = on_grid(left, left_rect, of_right, 1, False, cell)
+    parts = expanded_partitions(left, right)
+    if parts > int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        # Large inputs: partitions of one size, so that the join's sorts stay in memory.
+        ldf = ldf.repartition(parts, *keys, "_code", "_cx", "_cy")
+        rdf = rdf.repartition(parts, *renamed.values(), "_r_code", "_r_cx", "_r_cy")
     on = F.lit(True)
     for c in ("_code", "_cx", "_cy"):
         on = on & (F.col(c) == F.col(f"_r{c}"))
@@ -110,4 +117,5 @@ def grid_pairs(left: DataFrame, right: DataFrame, keys: list[str], left_rect: Re
     on = on & touching & home
     if condition is not None:
         on = on & condition
-    return ldf.join(rdf, on, how).drop("_code", "_cx", "_cy", "_r_code", "_r_cx", "_r_cy", *renamed.values())
+    met = ldf.join(rdf, on, how).drop("_r_code", "_r_cx", "_r_cy", *renamed.values())
+    return met if keep_cells else met.drop("_code", "_cx", "_cy")
