@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pageloom.functions import text as tx
 from pageloom.functions.binding import let
 from pageloom.functions.metrics import FontWidth, StyledWidth
+from pageloom.plans.sizing import expanded_partitions
 from pageloom.schemas import PAGE
 
 # The cap, the truncation marker and the fallback glyph width.
@@ -217,8 +218,13 @@ def wrap_lines(text: Column, max_width: float | Column, measure: tx.Measure) ->
 
 def wrap_chunks(docs: DataFrame, max_width: float | Column, size_pt: float = 10.0,
                 measure: tx.Measure | None = None) -> DataFrame:
-    """Documents to chunks no wider than ``max_width``; no shuffle, one pass per row."""
+    """Documents to chunks no wider than ``max_width``, one pass per row.
+
+    Measuring each character takes long: for a font, documents are dealt out first, as a file may be few splits.
+    """
     lines = wrap_lines(F.col("text"), max_width, measure or em_width(size_pt))
+    if isinstance(measure, FontWidth):
+        docs = docs.repartition(expanded_partitions(docs))
     return docs.select("doc_id", F.posexplode(lines).alias("chunk_ord", "chunk"))
 
 

@@ -85,3 +85,17 @@ def test_mixing_query_takes_what_the_copies_take_in_training_order(spark, tmp_pa
     order = [r.position for r in out.collect()]
     placed = [p for p in order if p is not None]
     assert placed == sorted(placed) and order[:len(placed)] == placed
+
+
+def test_metric_wrapping_is_dealt_out(spark):
+    """A file of one split was wrapped by one task."""
+    from pageloom.functions.metrics import FontWidth
+    from pageloom.operators import doctext
+    texts = ["", None, "a b" * 40, "x\n\r\n  y\t", "é€ \U0001f600… " * 30]
+    docs = spark.createDataFrame([(i, texts[i % 5]) for i in range(60)], "doc_id long, text string").coalesce(1)
+    out = doctext.wrap_chunks(docs, 100.0, measure=FontWidth("Helvetica", 10.0))
+    assert out.rdd.getNumPartitions() >= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    got = {}
+    for r in out.orderBy("doc_id", "chunk_ord").collect():
+        got.setdefault(r.doc_id, []).append(r.chunk)
+    assert all("".join(got.get(i, [])) == (texts[i % 5] or "").replace("\r\n", "\n").replace("\n", "") for i in range(60))
