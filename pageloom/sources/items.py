@@ -46,11 +46,13 @@ def runs_from_text(documents: DataFrame, words_per_row: int = 12, rows_per_page:
                    lift: Callable[[Column], Column] = lambda i: F.lit(0.0),
                    drop: Callable[[Column], Column] = lambda r: F.lit(0.0),
                    font_name: Column | None = None,
-                   bold: Callable[[Column], Column] = lambda r: F.lit(False)) -> DataFrame:
+                   bold: Callable[[Column], Column] = lambda r: F.lit(False),
+                   row_starts: bool = False) -> DataFrame:
     """Set the words of each document on fixed pages, one run per word.
 
     ``gap(i)`` is the space after word ``i``, ``shift(i)`` and ``lift(i)`` move it,
-    ``drop(r)`` lowers page row ``r``. Documents are hash-partitioned on
+    ``drop(r)`` lowers page row ``r``. With ``row_starts`` only the first run of
+    each row is made. Documents are hash-partitioned on
     ``doc_id`` while still compact; the words are expanded after that, so later
     per-page windows find their rows in place.
     """
@@ -61,6 +63,9 @@ def runs_from_text(documents: DataFrame, words_per_row: int = 12, rows_per_page:
     # Words are cut once, by a split: a character class of this size costs ten times as much, a slice per row the whole array.
     runs = (docs.select("doc_id", "_font", "_heavy", "_slanted", F.posexplode(tx.words(F.col("text"))).alias("_i", "_word"))
                 .withColumn("_row", F.floor(F.col("_i") / words_per_row).cast("int")).withColumn("_j", F.col("_i") % words_per_row))
+    if row_starts:
+        # Nothing stands before them in their row: the other words need not be placed.
+        runs = runs.where("_j = 0")
     index = lambda j: F.col("_row").cast("long") * words_per_row + j
     # The window's key starts with doc_id, so the rows stay where they are.
     before = W.partitionBy("doc_id", "_row").orderBy("_j").rowsBetween(W.unboundedPreceding, -1)

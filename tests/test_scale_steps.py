@@ -99,3 +99,22 @@ def test_metric_wrapping_is_dealt_out(spark):
     for r in out.orderBy("doc_id", "chunk_ord").collect():
         got.setdefault(r.doc_id, []).append(r.chunk)
     assert all("".join(got.get(i, [])) == (texts[i % 5] or "").replace("\r\n", "\n").replace("\n", "") for i in range(60))
+
+
+def test_row_starts_are_the_first_runs_of_rows(spark, tmp_path):
+    from pageloom.sources.items import runs_from_text
+    texts = ["", None, " ", "one", "w x" * 30, "ab " * 700, "é  \tz\n" * 13]
+    spark.createDataFrame([(i % 6 or None, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/in")
+    docs = spark.read.parquet(f"{tmp_path}/in")
+    how = {"gap": lambda i: F.when(i % 7 == 3, 0.0).otherwise(3.0), "lift": lambda i: (i % 2) * 0.5, "bold": lambda r: r % 8 == 0}
+    whole, starts = runs_from_text(docs, **how).where("run_ord % 12 = 0"), runs_from_text(docs, row_starts=True, **how)
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(whole.where("doc_id IS NOT NULL")) == rows(starts.where("doc_id IS NOT NULL")) and starts.count() == whole.count() > 60
+
+
+def test_regions_are_made_once_and_without_the_other_words(spark, sf):
+    """Every word of the documents was placed three times for each region query."""
+    from workloads import paint_queries, views
+    assert "_j" in plan_of(views.regions(spark, sf)).split("Window")[-1] and "= 0" in plan_of(views.regions(spark, sf))
+    for made in (paint_queries.dedupe_regions(spark, sf), paint_queries.uncovered_regions(spark, sf)):
+        assert "documents.parquet" not in plan_of(made)

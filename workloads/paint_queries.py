@@ -289,7 +289,7 @@ def current_rules(spark, sf):
 @query("dedupe_regions", """
 SELECT doc_id, page_index, region_id, x, y, w, h FROM v_region""")
 def dedupe_regions(spark, sf):
-    r = v.regions(spark, sf)
+    r = staged(v.regions(spark, sf))
     near = r.withColumn("x", F.col("x") + 0.0078125).withColumn("region_id", F.col("region_id") + (1 << 40))
     again = r.withColumn("region_id", F.col("region_id") + (1 << 41))
     return regions.dedupe_regions(r.unionByName(near).unionByName(again)).select(*PAGE, "region_id", *RECT)
@@ -298,7 +298,7 @@ def dedupe_regions(spark, sf):
 @query("uncovered_regions", """
 SELECT doc_id, page_index, region_id FROM v_region WHERE NOT (region_id % 2 = 0 AND doc_id % 3 < 2)""")
 def uncovered_regions(spark, sf):
-    r = v.regions(spark, sf)
+    r = staged(v.regions(spark, sf))
     name = F.element_at(F.array(F.lit("image-cover-"), F.lit("image-delete-cover-"), F.lit("cover-")), (F.col("doc_id") % 3 + 1).cast("int"))
     edit = r.where("region_id % 2 = 0").select(
         *PAGE, F.concat(name, F.col("region_id").cast("string")).alias("id"), F.lit("cover").alias("kind"),

@@ -27,8 +27,8 @@ def _events(spark: SparkSession, sf: str, events: DataFrame | None) -> DataFrame
     return table(spark, sf, "events") if events is None else events
 
 
-def runs(spark: SparkSession, sf: str) -> DataFrame:
-    """Words of ``documents`` set on pages: 12 per row, 48 rows per page."""
+def runs(spark: SparkSession, sf: str, row_starts: bool = False) -> DataFrame:
+    """Words of ``documents`` set on pages: 12 per row, 48 rows per page; with ``row_starts`` the first of each row."""
     doc = F.col("doc_id")
     font = F.element_at(F.array(*[F.lit(f) for f in FONTS]), (doc % 5 + 1).cast("int"))
     col = lambda i: i % 12
@@ -39,7 +39,7 @@ def runs(spark: SparkSession, sf: str) -> DataFrame:
         lift=lambda i: (col(i) % 2) * 0.5,
         drop=lambda r: F.floor(r / 8) * 10.0,
         font_name=font,
-        bold=lambda r: r % 8 == 0)
+        bold=lambda r: r % 8 == 0, row_starts=row_starts)
 
 
 def lines(spark: SparkSession, sf: str, segments: bool = False) -> DataFrame:
@@ -147,7 +147,7 @@ def image_boxes(spark: SparkSession, sf: str) -> DataFrame:
 def regions(spark: SparkSession, sf: str) -> DataFrame:
     """An image box at the start of every text row, and a 3 pt square left of it on each third row."""
     r = F.floor(F.col("run_ord") / 12)
-    starts = runs(spark, sf).where("run_ord % 12 = 0").select(*PAGE, "run_ord", r.alias("row"), "x", "y")
+    starts = runs(spark, sf, row_starts=True).select(*PAGE, "run_ord", r.alias("row"), "x", "y")
     box = lambda k, x, y, w, h: F.struct(F.lit(k).cast("long").alias("k"), x.alias("x"), y.alias("y"),
                                          F.lit(w).alias("w"), F.lit(h).alias("h"))
     wide = box(0, F.col("x"), F.col("y") - 20, 280.0, 60.0)
