@@ -118,3 +118,13 @@ def test_regions_are_made_once_and_without_the_other_words(spark, sf):
     assert "_j" in plan_of(views.regions(spark, sf)).split("Window")[-1] and "= 0" in plan_of(views.regions(spark, sf))
     for made in (paint_queries.dedupe_regions(spark, sf), paint_queries.uncovered_regions(spark, sf)):
         assert "documents.parquet" not in plan_of(made)
+
+
+def test_guides_stage_rectangles_only_and_pages_are_counted_by_a_split(spark, tmp_path):
+    from workloads import layout_queries, views
+    texts = ["", None, " \t\n", "one", "a b c", "x\x0by\x0cz\rw  v\n" * 200, " em"]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    pages = views.page_counts(spark, str(tmp_path))
+    assert "regexp" not in plan_of(pages)
+    assert sorted((r.doc_id, r.page_index) for r in pages.collect()) == [(3, 0), (4, 0), (5, 0), (5, 1), (6, 0)]
+    assert layout_queries._block_rects(spark, str(tmp_path)).columns == ["doc_id", "page_index", "block_ord", "x", "y", "w", "h"]

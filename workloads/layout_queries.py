@@ -187,9 +187,14 @@ FROM (
 GROUP BY doc_id, page_index, edge"""
 
 
+def _block_rects(spark, sf):
+    """The blocks' rectangles, staged: their texts and styles set no guide and are not written."""
+    return staged(v.blocks(spark, sf).select(*PAGE, "block_ord", *RECT))
+
+
 @query("page_guides", GUIDES_SQL)
 def page_guides(spark, sf):
-    return layout.page_guides(staged(v.blocks(spark, sf)), v.plain_pages(spark, sf)).select(*PAGE, "edge", "pos")
+    return layout.page_guides(_block_rects(spark, sf), v.plain_pages(spark, sf)).select(*PAGE, "edge", "pos")
 
 
 @query("page_guides_down", """
@@ -202,7 +207,7 @@ FROM (
   UNION ALL SELECT doc_id, page_index, 'max', 792.0::DOUBLE - y - h + h, block_ord * 3 + 2 FROM v_block)
 GROUP BY doc_id, page_index, edge""")
 def page_guides_down(spark, sf):
-    return layout.page_guides(staged(v.blocks(spark, sf)), v.plain_pages(spark, sf), axis="y").select(*PAGE, "edge", "pos")
+    return layout.page_guides(_block_rects(spark, sf), v.plain_pages(spark, sf), axis="y").select(*PAGE, "edge", "pos")
 
 
 @query("line_covers", """
