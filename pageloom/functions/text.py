@@ -34,6 +34,12 @@ STANDARD_FONTS = [
     ("mono", False, True, "Courier-Oblique"), ("mono", True, True, "Courier-BoldOblique"),
 ]
 
+# What binds to a neighbour. Java's $ also stands before a last \u0085, Arrow's does not.
+NUMBER = r"^[0-9.,/-]{1,6}$"
+NUMBER_END = "^[0-9.,/-]{1,6}\u0085?$"
+CLOSING = r"^[,.;:!?%)}\]]"
+OPENING = r"[(\[{/]$"
+
 
 def words(text: Column) -> Column:
     """The words between white space, in order."""
@@ -75,12 +81,12 @@ def is_indic(text: Column) -> Column:
 
 
 def is_standalone_number(text: Column) -> Column:
-    return utrim(text).rlike(r"^[0-9.,/-]{1,6}$")
+    return utrim(text).rlike(NUMBER)
 
 
 def starts_closing(text: Column) -> Column:
     """Begins with punctuation that binds to the word before it."""
-    return text.rlike(r"^[,.;:!?%)}\]]")
+    return text.rlike(CLOSING)
 
 
 def ends_opening(text: Column) -> Column:

@@ -11,9 +11,10 @@ from pyspark.sql import types as T
 
 from pageloom.functions import text as tx
 from pageloom.functions.geometry import Rect, horizontal_overlap, union_aggs
-from pageloom.plans.folds import fold_columns
+from pageloom.plans.folds import NUMBER, fold_columns, sorted_by_key
 from pageloom.plans.grid import FAR, grid_pairs
-from pageloom.schemas import PAGE
+from pageloom.plans.rows import Packing, line_pass
+from pageloom.schemas import PAGE, RECT
 
 LINE = [*PAGE, "row_id", "seg"]
 
@@ -123,6 +124,8 @@ def lines(runs: DataFrame, mode: str = "window", segments: bool = False) -> Data
     With ``segments`` the line also carries the character span and rectangle of
     each run, for mapping text matches back to geometry.
     """
+    if mode == "window" and not segments:
+        return reading_order(_summed_lines(runs))
     placed = assign_lines(runs, mode)
     piece = F.when(F.col("space"), F.concat(F.lit(" "), F.col("part"))).otherwise(F.col("part"))
     placed = placed.withColumn("_piece", piece)
@@ -146,6 +149,24 @@ def lines(runs: DataFrame, mode: str = "window", segments: bool = False) -> Data
     return reading_order(grouped)
 
 
+def _summed_lines(runs: DataFrame) -> DataFrame:
+    """The lines of ``assign_lines``, cut and added up in one pass over the runs, sorted once."""
+    slim = runs.select(*PAGE, "run_ord", "text", *(F.col(c).cast("double").alias(c) for c in RECT), "style")
+    ordered = sorted_by_key(slim, PAGE, [F.col("y").desc(), F.col("x"), F.col("run_ord")])
+    pack = Packing()
+    for c in ("run_ord", NUMBER):
+        pack.add(F.col(c), T.LongType())
+    for c in (*(F.col(c) for c in RECT), _size().cast("double")):
+        pack.add(c, T.DoubleType())
+    style = pack.add(F.col("style"), slim.schema["style"].dataType)
+    long, double, string = T.LongType(), T.DoubleType(), T.StringType()
+    added = [("row_id", long), ("seg", long), ("text", string), *((c, double) for c in (*RECT, "baseline_y")),
+             ("style", slim.schema["style"].dataType), ("n_runs", long), ("first_run_ord", long)]
+    schema = T.StructType([*(slim.schema[k] for k in PAGE), *(T.StructField(c, kind) for c, kind in added)])
+    found = line_pass(PAGE, style, tx.WS_CHARS, tx.NUMBER_END, tx.CLOSING, tx.OPENING, schema.names)
+    return ordered.select(*PAGE, "text", *pack.columns()).mapInArrow(found, schema)
+
+
 def reading_order(line_rows: DataFrame) -> DataFrame:
     """Adds ``line_ord``: top to bottom, then left to right within the page."""
     w = W.partitionBy(*PAGE).orderBy(F.col("baseline_y").desc(), "x", "row_id", "seg")
@@ -238,15 +259,17 @@ def _paragraph_like() -> Column:
     return (F.length("text") >= 24) | (F.col("n_runs") >= 3)
 
 
-def assign_blocks(line_rows: DataFrame, mode: str = "exact") -> DataFrame:
+def assign_blocks(line_rows: DataFrame, mode: str = "exact", keep: list[str] | None = None) -> DataFrame:
     """Adds ``block_ord``, the paragraph each line belongs to, numbered per page.
 
     ``exact`` tests a line against every open paragraph and takes the nearest by
     left edge. ``window`` splits the page into left-edge columns and compares each
-    line with the one above it; it is meant for one-column pages.
+    line with the one above it; it is meant for one-column pages. ``keep`` names the
+    columns wanted beside the page, ``line_ord`` and ``block_ord``: no others go through the pass.
     """
+    wanted = line_rows.columns if keep is None else list(dict.fromkeys([*PAGE, "line_ord", *keep]))
     if mode == "window":
-        return _assign_blocks_window(line_rows)
+        return _assign_blocks_window(line_rows).select(*wanted, "block_ord")
     if mode != "exact":
         raise ValueError(f"unknown mode {mode!r}")
     prepared = (line_rows
@@ -255,10 +278,11 @@ def assign_blocks(line_rows: DataFrame, mode: str = "exact") -> DataFrame:
                 .withColumn("_number", tx.is_standalone_number(F.col("text")))
                 .withColumn("_psize", F.max(_size()).over(W.partitionBy(*PAGE))))
     inputs = ["baseline_y", "x", "w", "_size", "_style", "_long", "_number", "_psize"]
+    prepared = prepared.select(*dict.fromkeys([*wanted, *inputs]))
     folded = fold_columns(prepared, PAGE, ["line_ord"], inputs, _Blocks,
                           lambda state, row: (state.add(row),),
                           T.StructType([T.StructField("block_ord", T.LongType())]))
-    return folded.drop("_size", "_style", "_long", "_number", "_psize")
+    return folded.select(*wanted, "block_ord")
 
 
 def _assign_blocks_window(line_rows: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 NUMBER = "_fold_number"
 
 
-def _sorted_by_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
+def sorted_by_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The rows by key and order, with their number in ``NUMBER``: rows that lie together by key are not moved again."""
     return df.withColumn(NUMBER, F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
 
@@ -49,7 +49,7 @@ def fold_columns(df: DataFrame, keys: list[str], order: list[str | Column], inpu
                 [batch.column(i) for i in kept] + [pa.array(v, t) for v, t in zip(out, types)],
                 names=[batch.schema.names[i] for i in kept] + names)
 
-    return _sorted_by_key(df, keys, order).mapInArrow(run, schema)
+    return sorted_by_key(df, keys, order).mapInArrow(run, schema)
 
 
 def fold_groups(df: DataFrame, keys: list[str], order: list[str | Column], inputs: list[str],
@@ -85,4 +85,4 @@ def fold_groups(df: DataFrame, keys: list[str], order: list[str | Column], input
         if pending:
             yield flush()
 
-    return _sorted_by_key(df.select(*dict.fromkeys([*keys, *inputs])), keys, order).mapInArrow(run, schema)
+    return sorted_by_key(df.select(*dict.fromkeys([*keys, *inputs])), keys, order).mapInArrow(run, schema)

@@ -128,3 +128,44 @@ def test_guides_stage_rectangles_only_and_pages_are_counted_by_a_split(spark, tm
     assert "regexp" not in plan_of(pages)
     assert sorted((r.doc_id, r.page_index) for r in pages.collect()) == [(3, 0), (4, 0), (5, 0), (5, 1), (6, 0)]
     assert layout_queries._block_rects(spark, str(tmp_path)).columns == ["doc_id", "page_index", "block_ord", "x", "y", "w", "h"]
+
+
+def test_lines_are_cut_and_added_up_in_one_pass(spark):
+    """Four windows, two sorts and a sorted aggregate went over every word; the column form gives the same lines."""
+    import random
+    from pageloom.functions.geometry import union_aggs
+    from pageloom.operators import layout
+    from pageloom.schemas import RUN
+    pick, nan = random.Random(3), float("nan")
+    odd = lambda v: pick.choice([None, nan, float("inf")]) if pick.random() < 0.03 else v
+    words = ["a", " ora ", "(", ",", "12", "3.5", "12\u0085", "  ", "", "\U0001f600b", "/", "x]", "9999999", None]
+    rows = []
+    for page in range(60):
+        for i in range(pick.randrange(1, 70)):
+            style = None if pick.random() < 0.03 else (pick.choice(["Times", None]), odd(pick.choice([8.0, 20.0])), pick.random() < 0.5, False, pick.choice([None, (0.0, 0.5, None)]))
+            rows.append((pick.choice([page // 2, page // 2, None]), page % 3 or None, len(rows), pick.choice(words),
+                         odd(pick.random() * 300), odd(pick.randrange(20) * 1.75), odd(pick.random() * 30), odd(10.0), style))
+    runs = spark.createDataFrame(rows, RUN)
+    piece = F.when(F.col("space"), F.concat(F.lit(" "), F.col("part"))).otherwise(F.col("part"))
+    columns = layout.reading_order(layout.assign_lines(runs).withColumn("_piece", piece).groupBy(*layout.LINE).agg(
+        F.expr("listagg(_piece, '') WITHIN GROUP (ORDER BY seg_ord)").alias("text"), *union_aggs(), F.avg("y").alias("baseline_y"),
+        F.max_by("style", F.struct(F.length("part"), -F.col("seg_ord"))).alias("style"), F.count(F.lit(1)).alias("n_runs"), F.min("run_ord").alias("first_run_ord")))
+    lines = layout.lines(runs)
+    assert lines.dtypes == columns.dtypes and "listagg" not in plan_of(lines)
+    key = lambda df: sorted(repr(tuple(r)) for r in df.select("doc_id", "page_index", "row_id", "seg", "text", "x", "y", "w", "h", "baseline_y", "style", "n_runs", "first_run_ord", "line_ord").collect())
+    want = key(columns)
+    assert len(want) > 500 and key(lines) == want
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert key(layout.lines(runs)) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert layout.lines(runs.limit(0)).count() == 0
+
+
+def test_blocks_hand_over_only_what_is_wanted(spark, sf):
+    from workloads import layout_queries
+    made = layout_queries.block_lines_exact(spark, sf)
+    assert made.columns == ["doc_id", "page_index", "line_ord", "block_ord"]
+    assert ", style#" not in plan_of(made).split("MapInArrow")[1].split("\n")[0]

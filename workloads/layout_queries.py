@@ -163,7 +163,7 @@ FROM (SELECT *, quantile_cont(g, 0.5) OVER (PARTITION BY doc_id, page_index, blo
 def spacing_median(spark, sf):
     from pyspark.sql import Window as W
     w = W.partitionBy(*PAGE, "block_ord").orderBy("line_ord")
-    gaps = v.block_lines(spark, sf).withColumn("g", F.lag("baseline_y").over(w) - F.col("baseline_y"))
+    gaps = v.block_lines(spark, sf, ["baseline_y"]).withColumn("g", F.lag("baseline_y").over(w) - F.col("baseline_y"))
     return gaps.select(*PAGE, "line_ord", F.round(F.expr("percentile(g, 0.5)").over(
         w.rowsBetween(W.unboundedPreceding, -1)), 6).alias("expected_gap"))
 
@@ -171,7 +171,7 @@ def spacing_median(spark, sf):
 @query("block_lines_exact", """
 SELECT doc_id, page_index, CAST(line_ord AS INTEGER) AS line_ord, CAST(block_ord AS BIGINT) AS block_ord FROM v_block_line""")
 def block_lines_exact(spark, sf):
-    return layout.assign_blocks(v.lines(spark, sf), mode="exact").select(*PAGE, "line_ord", "block_ord")
+    return layout.assign_blocks(v.lines(spark, sf), mode="exact", keep=[])
 
 
 GUIDES_SQL = """

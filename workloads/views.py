@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.operators import layout
-from pageloom.schemas import PAGE
+from pageloom.schemas import PAGE, RECT
 from pageloom.sources.items import runs_from_text
 
 FONTS = ["Helvetica", "ABCDEE+Cambria", "CourierNew", "TimesNewRomanPS-ItalicMT", "Unknown-700"]
@@ -46,12 +46,12 @@ def lines(spark: SparkSession, sf: str, segments: bool = False) -> DataFrame:
     return layout.lines(runs(spark, sf), segments=segments)
 
 
-def block_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return layout.assign_blocks(lines(spark, sf))
+def block_lines(spark: SparkSession, sf: str, keep: list[str] | None = None) -> DataFrame:
+    return layout.assign_blocks(lines(spark, sf), keep=keep)
 
 
 def blocks(spark: SparkSession, sf: str) -> DataFrame:
-    return layout.blocks(block_lines(spark, sf))
+    return layout.blocks(block_lines(spark, sf, ["text", *RECT, "baseline_y", "style"]))
 
 
 def page_counts(spark: SparkSession, sf: str) -> DataFrame:
