@@ -410,6 +410,33 @@ def test_line_join_query_gives_every_document(spark, tmp_path):
     assert (b[0]["first_doc"], b[0]["first_line"], c[0]["first_doc"], c[0]["first_line"]) == (1, 1, 1, 0)
 
 
+def test_long_similar_lines_move_once_a_word(spark, monkeypatch):
+    """Long lines around one template meet under their first common word; their sets do not move once a pair."""
+    rng = random.Random(4)
+    words = [f"{'x' * rng.randrange(1, 9)}{k}" for k in range(3000)]
+    data, white = [], [" ", "  ", "\t", "\x0b", "\f", "\r"]
+    for n in (20, 64, 65, 150, 300):
+        base = rng.sample(words, n)
+        for _ in range(12):
+            w = list(base)
+            for at in rng.sample(range(n), rng.randrange(0, n // 8)):
+                w[at] = rng.choice(words)
+            data.append(rng.choice(["", " "]) + "".join(x + rng.choice(white) for x in w))
+    # No two of these are similar, but all share the word that stands first in the order.
+    data += ["first" * 9 + " " + " ".join(rng.sample(words, 110)) for _ in range(40)]
+    data = list(enumerate(data))
+    sets = [frozenset(t.split()) for _, t in data]
+    near = [[j for j, o in enumerate(sets) if o != s and 100 * len(s & o) >= 80 * len(s | o)] for s in sets]
+    made_rows = {}
+    monkeypatch.setattr(lines, "frequent_words", lambda docs, text: [])
+    monkeypatch.setattr(lines, "staged_table", lambda df, name: made_rows.setdefault(name, df.cache()))
+    got = {r["doc_id"]: (r["n_links"], r["n_removed"]) for r in lines.repeated_lines(frame(spark, data)).collect()}
+    same = [min(j for j, o in enumerate(sets) if o == s) for s in sets]
+    assert got == {i: (len({sets[j] for j in near[i]}), int(min([same[i], *near[i]]) < i)) for i, _ in data}
+    seats = made_rows["line-seats"].collect()
+    assert len(seats) < sum(map(len, near)) / 4 and len({r["key"] for r in seats}) <= 60
+
+
 # --- urls --------------------------------------------------------------------------------------
 
 def test_urls(spark):
