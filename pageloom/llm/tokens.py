@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterable, Iterator, Sequence
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pageloom.llm.common import in_arrow, kept_in_worker, slices
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 #: A generation of remembered pieces; a worker keeps this one and the last. Longer pieces are not remembered.
-REMEMBERED, LONGEST = 300_000, 64
+REMEMBERED, LONGEST = 400_000, 64
 _WHITE_RUN, _CUT = re.compile(r"\s\s"), re.compile(r" (?=\S)")
 _TAIL = ".,;:!?"
 #: A byte-level vocabulary shows a byte that isn't a visible Latin-1 character as one of the characters from 256 on.
@@ -92,7 +93,7 @@ class Encoder:
         return array(self.kind, [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
-        out, look = [], self.known.__getitem__
+        out = []
         for text in texts:
             if not text:
                 out.append(b"")
@@ -101,8 +102,9 @@ class Encoder:
                 pieces = _CUT.split(text)
             else:
                 pieces = text.replace("\n", " \n").split(" ")
-            first = pieces[0]
-            out.append(b"".join([self.whole(first) if first else b"", *map(look, pieces[1:])]))
+            first, rest = pieces[0], pieces[1:]
+            ids = itemgetter(*rest)(self.known) if len(rest) > 1 else map(self.known.__getitem__, rest)  # one key gives no tuple
+            out.append(b"".join([self.whole(first) if first else b"", *ids]))
         return out
 
 

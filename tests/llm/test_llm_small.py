@@ -178,6 +178,17 @@ def test_pieces_encode_like_whole_texts():
         assert enc.encode([text])[0] == enc.whole(text), repr(text)
 
 
+def test_many_pieces_stay_remembered():
+    """350,000 different pieces lie in one generation; texts of no, one and two pieces look them up like long ones."""
+    with open(tokens.VOCABULARY, encoding="utf-8") as f:
+        enc = tokens.Encoder(f.read())
+    texts = ["", "a", "a b", "a b c", "\n", "a\nb", " b", None]
+    assert enc.encode(texts) == [enc.whole(t) if t else b"" for t in texts]
+    enc.known.merge = enc.known.whole = lambda word: b"xy"
+    enc.encode([" ".join(f"{k}a" for k in range(350_000))])
+    assert not enc.known.older and len(enc.known) >= 349_999
+
+
 def test_length_sums(spark, docs, empty):
     enc = tokens.Encoder(open(tokens.VOCABULARY, encoding="utf-8").read())
     sizes = [len(enc.tokenizer.encode(t or "", add_special_tokens=False).ids) for _, t in rows()]
