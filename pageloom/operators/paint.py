@@ -12,6 +12,7 @@ from pageloom.functions.geometry import Rect, affine_apply, affine_mul, transfor
 from pageloom.operators.regions import dedupe_regions
 from pageloom.plans.folds import fold_columns
 from pageloom.plans.grid import grid_pairs
+from pageloom.plans.stage import staged
 from pageloom.schemas import PAGE
 
 # Thresholds in points.
@@ -287,7 +288,8 @@ def drop_underlines(rules: DataFrame, hints: DataFrame) -> DataFrame:
 def rules(paint_ops: DataFrame, pages: DataFrame, hints: DataFrame, mode: str = "exact") -> DataFrame:
     """Divider rules of each page, from paint log to final list."""
     candidates = drop_page_frame(rule_candidates(rule_paints(paint_ops)), pages)
-    return drop_underlines(long_rules(merge_rules(candidates, mode)), hints)
+    # The hints are met and the rest is told from them: three readers.
+    return drop_underlines(staged(long_rules(merge_rules(candidates, mode))), hints)
 
 
 def rule_rects(rule_rows: DataFrame, padding: float = 0.0) -> DataFrame:

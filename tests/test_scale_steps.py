@@ -169,3 +169,21 @@ def test_blocks_hand_over_only_what_is_wanted(spark, sf):
     made = layout_queries.block_lines_exact(spark, sf)
     assert made.columns == ["doc_id", "page_index", "line_ord", "block_ord"]
     assert ", style#" not in plan_of(made).split("MapInArrow")[1].split("\n")[0]
+
+
+def test_staged_joins_are_sized_by_their_files(spark):
+    """Spark's estimate of a join is the product of its sides: staged, it counted as files of that size."""
+    from pageloom.plans.sizing import expanded_partitions
+    from pageloom.plans.stage import staged
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        side = lambda c: spark.range(0, 2000, numPartitions=2).select(F.col("id").alias("k"), F.concat(F.lit(c * 200), F.col("id").cast("string")).alias(c))
+        joined = side("a").join(side("b"), "k")
+        made = staged(joined)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert made.count() == 2000
+    assert expanded_partitions(made, made.where("k > 5")) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # 250,000 rows of 1 KB: as many partitions as their files need.
+    wide = staged(spark.range(0, 250_000, numPartitions=4).select("id", *(F.rand(i).alias(f"v{i}") for i in range(125))))
+    assert 5 <= expanded_partitions(wide) <= 12
