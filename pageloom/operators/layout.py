@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pageloom.functions import text as tx
 from pageloom.functions.geometry import Rect, horizontal_overlap, union_aggs
 from pageloom.plans.folds import NUMBER, fold_columns, sorted_by_key
-from pageloom.plans.grid import FAR, grid_pairs
+from pageloom.plans.grid import FAR, with_cell_mates
 from pageloom.plans.rows import Packing, line_pass
 from pageloom.schemas import PAGE, RECT
 
@@ -340,14 +340,17 @@ def hit_test(points: DataFrame, runs: DataFrame) -> DataFrame:
     """
     zero, slim = F.lit(0.0), runs.select(*PAGE, "run_ord", "text", "x", "y", "w", "h")
     placed = points.select(*PAGE, "point_id", "px", "py")
-    # A point has one copy on each level: an outer join keeps the points that no run holds.
-    pairs = grid_pairs(placed, slim, PAGE, Rect(F.col("px"), F.col("py"), zero, zero), Rect.of(), large="right", how="left", keep_cells=True)
-    best = F.min_by(F.struct("run_ord", "text", "x", "y", "w", "h"),
-                    F.when(F.col("run_ord").isNotNull(), F.struct(F.col("w") * F.col("h"), -F.col("run_ord"))))
-    # All runs that a point meets on a level are in one task: the smallest of these is found there, and only it moves on.
-    hits = pairs.groupBy(*PAGE, "point_id", "_code", "_cx", "_cy").agg(best.alias("hit"))
-    smallest = F.min_by("hit", F.when(F.col("hit").isNotNull(), F.struct(F.col("hit.w") * F.col("hit.h"), -F.col("hit.run_ord"))))
-    return hits.groupBy(*PAGE, "point_id").agg(smallest.alias("hit")).select(*PAGE, "point_id", "hit.*")
+    near = with_cell_mates(placed, slim, PAGE, Rect(F.col("px"), F.col("py"), zero, zero), Rect.of(), large="right")
+
+    # A point has one copy on each level, in one cell, where it meets each run of the level that holds it.
+    def held(r: Column) -> Column:
+        return ((r["x"] <= F.col("px")) & (F.col("px") <= r["x"] + r["w"]) & (r["y"] <= F.col("py")) & (F.col("py") <= r["y"] + r["h"])
+                & r["run_ord"].isNotNull())
+
+    ranked = F.transform(F.filter("_mates", held), lambda r: F.struct((r["w"] * r["h"]).alias("area"), (-r["run_ord"]).alias("later"), r.alias("run")))
+    found = near.select(*PAGE, "point_id", F.array_min(ranked).alias("best"))
+    best = F.min_by("best.run", F.when(F.col("best").isNotNull(), F.struct("best.area", "best.later"))).alias("hit")
+    return found.groupBy(*PAGE, "point_id").agg(best).select(*PAGE, "point_id", "hit.*")
 
 
 class _Sweep:

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from pageloom.functions import text as tx
 from pageloom.functions.geometry import Rect, fraction_inside, rect_same
 from pageloom.plans.folds import fold_columns
-from pageloom.plans.grid import grid_pairs
+from pageloom.plans.grid import grid_pairs, meet, with_cell_mates
 from pageloom.schemas import PAGE
 
 EPS = 0.01
@@ -26,19 +26,26 @@ def text_backed_regions(regions: DataFrame, runs: DataFrame, paragraph_text: flo
         raise ValueError("inside must be between 0 and 1")
     slim = (runs.select(*PAGE, tx.utrim(F.col("text")).alias("_t"),
                         *[F.col(c).alias(f"t_{c}") for c in ("x", "y", "w", "h")])
-                .where((F.col("_t") != "") & (F.col("t_w") * F.col("t_h") > 0)))
+                .where((F.col("_t") != "") & (F.col("t_w") * F.col("t_h") > 0)).withColumn("_t", F.length("_t")))
     region, run = Rect.of(), Rect.of("t_")
     # A run that lies inside for more than half has its centre inside: one copy, and no size to ask for.
     zero, by_centre = F.lit(0.0), inside > 0.51
     spot = Rect(run.x + run.w / 2, run.y + run.h / 2, zero, zero) if by_centre else run
-    pairs = grid_pairs(regions.select(*PAGE, "region_id", "x", "y", "w", "h"), slim, PAGE, region, spot,
-                       fraction_inside(run, region) >= inside, large="left" if by_centre else "both")
-    chars = pairs.groupBy(*PAGE, "region_id").agg(F.sum(F.length("_t")).alias("_chars"))
+    near = with_cell_mates(slim, regions.select(*PAGE, "region_id", "x", "y", "w", "h").where(F.col("region_id").isNotNull()), PAGE, spot, region,
+                           large="right" if by_centre else "both")
+    pairs = (near.withColumn("_mate", F.explode("_mates")).select("*", "_mate.*")
+                 .where(meet(spot, region) & (fraction_inside(run, region) >= inside)))
+    # Regions and what they hold meet in a window, which leaves rows that lie together by page where they are.
+    keys = [*PAGE, "region_id"]
+    chars = pairs.groupBy(*keys).agg(F.sum("_t").alias("_chars"))
+    row = F.struct(*(F.col(c) for c in regions.columns))
+    both = (regions.select(*keys, row.alias("_row"), F.lit(None).cast("long").alias("_chars"))
+                   .unionByName(chars.select(*keys, F.lit(None).cast(regions.select(row).schema[0].dataType).alias("_row"), "_chars")))
+    held = both.withColumn("_chars", F.max("_chars").over(W.partitionBy(*keys))).where(F.col("_row").isNotNull()).select("_row.*", "_chars")
     count = F.coalesce("_chars", F.lit(0))
-    return (regions.join(chars, [*PAGE, "region_id"], "left")
-                   .withColumn("has_text", F.col("_chars").isNotNull())
-                   .withColumn("paragraph", count > paragraph_text)
-                   .withColumn("n_chars", count).drop("_chars"))
+    return (held.withColumn("has_text", F.col("_chars").isNotNull())
+                .withColumn("paragraph", count > paragraph_text)
+                .withColumn("n_chars", count).drop("_chars"))
 
 
 def dedupe_regions(regions: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ pair is kept in exactly one cell, the one holding the lower-left corner of the i
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pageloom.functions.geometry import Rect
@@ -76,19 +77,63 @@ def on_grid(df: DataFrame, rect: Rect, probed: list[int] = (), tag: int = 0, mee
                .withColumn("_cy", cells(rect.y, rect.top, cell[1])).drop("_lives"))
 
 
+def _touching(left: Rect, right: Rect) -> Column:
+    return (left.x <= right.right) & (right.x <= left.right) & (left.y <= right.top) & (right.y <= left.top)
+
+
+def _home(left: Rect, right: Rect, cell: tuple[float, float]) -> Column:
+    """Whether the copies in ``_code, _cx, _cy`` are those that keep the pair."""
+    home = F.col("_code") >= 2 * PAGE_LEVEL
+    for k, scale in enumerate(SCALES):
+        home = home | (F.col("_code").between(2 * k, 2 * k + 1)
+                       & (F.floor(F.greatest(left.x, right.x) / (cell[0] * scale)) == F.col("_cx"))
+                       & (F.floor(F.greatest(left.y, right.y) / (cell[1] * scale)) == F.col("_cy")))
+    return home
+
+
+def with_cell_mates(rows: DataFrame, others: DataFrame, keys: list[str], rect: Rect, others_rect: Rect,
+                    large: str = "both", cell=CELL) -> DataFrame:
+    """``rows`` in the cells of ``grid_pairs``, each copy with all ``others`` of its cell: an array of structs, ``_mates``.
+
+    For sides that lie together by ``keys`` or the first of them already, in equal numbers of partitions: a union and a
+    window leave such rows where they are, while a join on cells moves both sides. Rows that lie elsewhere are moved once,
+    by cell. The mates of a cell are held in memory and come with each of its rows, so ``others`` should be the side of
+    fewer or smaller rows. They touch the row or not; ``meet`` tells, in one cell for each pair. A row with a null key or
+    without a place has one copy and no mates. ``large`` is as in ``grid_pairs``, ``rows`` being on the left.
+    """
+    if large not in ("left", "right", "both"):
+        raise ValueError("large is left, right or both")
+    of_rows = coarse_levels(rows, rect, cell) if large in ("left", "both") else []
+    of_others = coarse_levels(others, others_rect, cell) if large in ("right", "both") else []
+    place = [*keys, "_code", "_cx", "_cy"]
+    placed = F.col("_code").isNotNull()
+    for k in keys:
+        placed = placed & F.col(k).isNotNull()
+    mine = on_grid(rows, rect, of_others, 1, False, cell)
+    mate = F.struct(*(F.col(c) for c in others.columns if c not in keys))
+    # Not a filter on the keys: that would make another scan of a table that both sides read.
+    theirs = on_grid(others, others_rect, of_rows, 0, bool(of_others), cell).select(*place, F.when(placed, mate).alias("_mate"))
+    both = mine.withColumn("_mate", F.lit(None).cast(theirs.schema["_mate"].dataType)).withColumn("_mine", F.lit(True)).unionByName(
+        theirs, allowMissingColumns=True)
+    return both.withColumn("_mates", F.collect_list("_mate").over(W.partitionBy(*place))).where("_mine").drop("_mate", "_mine")
+
+
+def meet(rect: Rect, other: Rect, cell=CELL) -> Column:
+    """Whether a row and a mate touch, true in one cell for each pair."""
+    return _touching(rect, other) & _home(rect, other, cell)
+
+
 def grid_pairs(left: DataFrame, right: DataFrame, keys: list[str], left_rect: Rect, right_rect: Rect,
-               condition: Column | None = None, cell=CELL, large: str = "both", how: str = "inner", keep_cells: bool = False) -> DataFrame:
+               condition: Column | None = None, cell=CELL, large: str = "both") -> DataFrame:
     """Pairs of touching rectangles with equal ``keys``; other columns must not clash.
 
     A rectangle with a null or NaN edge or a negative size touches nothing; one of infinite size touches what it
     holds. ``large`` names the sides (``left``, ``right``, ``both``) that may hold a rectangle of more than ``MOST``
-    cells, and which are asked for the levels they use (a job); the other side must have a known bound. With ``how="left"``
-    every row of ``left`` comes out, without a partner once for each of its copies. The right side's key
-    columns are renamed internally and dropped. With ``keep_cells`` the left side's cell stays, in ``_code, _cx, _cy``:
-    a grouping by key and cell finds the pairs where they are.
+    cells, and which are asked for the levels they use (a job); the other side must have a known bound. The right side's key
+    columns are renamed internally and dropped.
     """
-    if large not in ("left", "right", "both") or how not in ("inner", "left"):
-        raise ValueError("large is left, right or both; how is inner or left")
+    if large not in ("left", "right", "both"):
+        raise ValueError("large is left, right or both")
     renamed = {k: f"_r_{k}" for k in keys}
     large_left, large_right = large in ("left", "both"), large in ("right", "both")
     of_left = coarse_levels(left, left_rect, cell) if large_left else []
@@ -107,15 +152,7 @@ def grid_pairs(left: DataFrame, right: DataFrame, keys: list[str], left_rect: Re
         on = on & (F.col(c) == F.col(f"_r{c}"))
     for k, r in renamed.items():
         on = on & (F.col(k) == F.col(r))
-    touching = ((left_rect.x <= right_rect.right) & (right_rect.x <= left_rect.right)
-                & (left_rect.y <= right_rect.top) & (right_rect.y <= left_rect.top))
-    home = F.col("_code") >= 2 * PAGE_LEVEL
-    for k, scale in enumerate(SCALES):
-        home = home | (F.col("_code").between(2 * k, 2 * k + 1)
-                       & (F.floor(F.greatest(left_rect.x, right_rect.x) / (cell[0] * scale)) == F.col("_cx"))
-                       & (F.floor(F.greatest(left_rect.y, right_rect.y) / (cell[1] * scale)) == F.col("_cy")))
-    on = on & touching & home
+    on = on & _touching(left_rect, right_rect) & _home(left_rect, right_rect, cell)
     if condition is not None:
         on = on & condition
-    met = ldf.join(rdf, on, how).drop("_r_code", "_r_cx", "_r_cy", *renamed.values())
-    return met if keep_cells else met.drop("_code", "_cx", "_cy")
+    return ldf.join(rdf, on).drop("_code", "_cx", "_cy", "_r_code", "_r_cx", "_r_cy", *renamed.values())

@@ -187,3 +187,62 @@ def test_staged_joins_are_sized_by_their_files(spark):
     # 250,000 rows of 1 KB: as many partitions as their files need.
     wide = staged(spark.range(0, 250_000, numPartitions=4).select("id", *(F.rand(i).alias(f"v{i}") for i in range(125))))
     assert 5 <= expanded_partitions(wide) <= 12
+
+
+def moves(df):
+    return [line for line in plan_of(df).splitlines() if "Exchange" in line]
+
+
+def test_points_and_regions_meet_runs_without_moving_words(spark, sf):
+    """Points, runs, regions and hits lie together by document: documents are dealt out for each reader, nothing else moves."""
+    from workloads.layout_queries import query  # noqa: F401
+    from workloads.registry import QUERIES
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("hit_test", "hit_test_misses", "text_backed_regions"):
+            found = moves(QUERIES[name](spark, sf))
+            assert found and all("REPARTITION_BY_NUM" in line for line in found), name
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_hits_and_covered_text_against_all_pairs(spark):
+    """Runs of all levels, repeated points and regions, null keys, and sides that lie apart."""
+    from pageloom.operators import layout, regions
+    from pageloom.schemas import PAGE
+    rect = "doc_id long, page_index int, {} long, x double, y double, w double, h double"
+    runs = [(1, 0, 0, 0.0, 0.0, 50.0, 10.0), (1, 0, 1, 20.0, 0.0, 50.0, 10.0), (1, 0, 2, -9e9, -9e9, 2e10, 2e10), (1, 0, 3, 0.0, 0.0, 3000.0, 700.0),
+            (1, 1, 4, 0.0, 0.0, 5.0, 5.0), (None, 0, 5, 0.0, 0.0, 50.0, 10.0), (1, 0, 6, 120.0, 60.0, 20.0, 8.0), (1, 0, 6, 120.0, 60.0, 20.0, 8.0)]
+    words = spark.createDataFrame(runs, rect.format("run_ord")).withColumn("text", F.concat(F.lit("w"), F.col("run_ord").cast("string")))
+    points = [(1, 0, 1, 30.0, 5.0), (1, 0, 2, 128.0, 64.0), (1, 0, 3, 2500.0, 600.0), (1, 0, 4, 9e8, 1.0), (1, 1, 5, 2.0, 2.0), (1, 1, 6, 7.0, 2.0), (1, 0, 1, 5.0, 5.0),
+              (None, 0, 7, 5.0, 5.0), (1, 0, 8, None, 5.0), (2, 0, 9, 0.0, 0.0)]
+    got = layout.hit_test(spark.createDataFrame(points, "doc_id long, page_index int, point_id long, px double, py double"), words)
+    want = {}
+    for d, p, i, px, py in points:
+        held = [(w * h, -o) for rd, rp, o, x, y, w, h in runs if None not in (d, px) and (rd, rp) == (d, p) and x <= px <= x + w and y <= py <= y + h]
+        want[d, p, i] = min([*held, *want.get((d, p, i), [])], default=None) and [min([*held, *want.get((d, p, i), [])])]
+    assert {(r.doc_id, r.page_index, r.point_id): r.run_ord for r in got.collect()} == {k: v and -v[0][1] for k, v in want.items()}
+    assert got.count() == len(want)
+
+    boxes = [(1, 0, 1, -5.0, -5.0, 80.0, 30.0), (1, 0, 2, 100.0, 40.0, 60.0, 60.0), (1, 0, 3, -1e10, -1e10, 3e10, 3e10), (1, 1, 4, 900.0, 0.0, 5.0, 5.0),
+             (1, 0, 1, -5.0, -5.0, 80.0, 30.0), (1, 0, None, -5.0, -5.0, 80.0, 30.0), (None, 0, 5, -5.0, -5.0, 80.0, 30.0), (1, 0, 6, 0.0, 0.0, -1.0, 9.0)]
+    areas = spark.createDataFrame(boxes, rect.format("region_id")).withColumn("kept", F.col("region_id") * 10)
+    for inside in (0.6, 0.3):
+        out = regions.text_backed_regions(areas, words, paragraph_text=6, inside=inside)
+        assert out.columns == [*areas.columns, "has_text", "paragraph", "n_chars"]
+
+        def chars(box):
+            d, p, i, x, y, w, h = box
+            n = 0
+            for bd, bp, bi, bx, by, bw, bh in boxes:
+                if None in (d, i) or (bd, bp, bi) != (d, p, i) or bw < 0:
+                    continue
+                for rd, rp, _, rx, ry, rw, rh in runs:
+                    if (rd, rp) == (d, p):
+                        both = max(0, min(bx + bw, rx + rw) - max(bx, rx)) * max(0, min(by + bh, ry + rh) - max(by, ry))
+                        n += 2 * (both / (rw * rh) >= inside)
+            return n
+
+        key = lambda rows: sorted(rows, key=repr)
+        assert key([(*r[:3], r.kept, r.has_text, r.paragraph, r.n_chars) for r in out.select(*PAGE, "region_id", "kept", "has_text", "paragraph", "n_chars").collect()]) == key(
+            [(*b[:3], b[2] and b[2] * 10, chars(b) > 0, chars(b) > 6, chars(b)) for b in boxes])
